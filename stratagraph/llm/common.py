@@ -5,12 +5,20 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def find_package(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver found it, even if only the driver's
+    sys.path names that folder (a packaged or installed library is found first)."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

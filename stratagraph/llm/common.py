@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -56,6 +57,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go when the driver's JVM collects their handles: ask it to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a plan's size (file sizes for a scan)."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.llm import chat, licences, mixing, quality, records, site_templates, toxicity
+from stratagraph.llm import chat, licences, mixing, ngram_join, quality, records, site_templates, toxicity
 from stratagraph.llm.common import read, scratch
 
 
@@ -20,6 +20,10 @@ def op2_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_classes(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -43,7 +47,7 @@ def op10_chat_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_digests(chat.format_conversations(turns.unionByName(more)))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_boosted_quality, op5_compression_toxicity, op6_poisson_mix, op7_site_templates, op8_template_licences, op10_chat_templates)}
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_boosted_quality, op3_ngram_join, op5_compression_toxicity, op6_poisson_mix, op7_site_templates, op8_template_licences, op10_chat_templates)}
 
 ORACLE = {
     "op6_poisson_mix": mixing.MIX_SQL.format(

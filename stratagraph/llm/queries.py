@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.llm import chat, licences, mixing, ngram_join, quality, records, site_templates, toxicity
+from stratagraph.llm import chat, licences, mixing, ngram_join, quality, records, rotated_codes, site_templates, suffix_arrays, toxicity
 from stratagraph.llm.common import read, scratch
 
 
@@ -24,6 +24,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_classes(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated_codes.search(read(spark, sf_dir, "embeddings"))
+
+
 def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -40,6 +44,10 @@ def op8_template_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(read(spark, sf_dir, "documents")).drop("matches").withColumnRenamed("id", "doc_id")
 
 
+def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_arrays.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 def op10_chat_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -47,7 +55,7 @@ def op10_chat_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_digests(chat.format_conversations(turns.unionByName(more)))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_boosted_quality, op3_ngram_join, op5_compression_toxicity, op6_poisson_mix, op7_site_templates, op8_template_licences, op10_chat_templates)}
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_boosted_quality, op3_ngram_join, op4_rotated_codes, op5_compression_toxicity, op6_poisson_mix, op7_site_templates, op8_template_licences, op9_suffix_arrays, op10_chat_templates)}
 
 ORACLE = {
     "op6_poisson_mix": mixing.MIX_SQL.format(

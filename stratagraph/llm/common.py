@@ -54,7 +54,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     executor's loss costs nothing that is done."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by written(), and the shuffle files that made them; nothing may read them later."""
+    for t in tables:
+        _delete(t.sparkSession, t._written_at)
+    free_shuffles(tables[0].sparkSession)
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from stratagraph.llm import words
-from stratagraph.llm.common import free_shuffles, partitions, written
+from stratagraph.llm.common import drop, free_shuffles, partitions, written
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 3, 4  # 100 * both >= 75 * all
 GROUPS, FANOUT = 256, 16
@@ -68,10 +68,20 @@ def prefix(elements: np.ndarray) -> np.ndarray:
     return elements[: len(elements) - least_common(len(elements)) + 1] if len(elements) else elements
 
 
+#: Marks the counts of a set with more than 254 elements in a group: it has no bound.
+FULL = 255
+
+
 def counts(elements: np.ndarray) -> np.ndarray:
-    """Elements in each group; of a set too large for 16 bits, no bound: full counts everywhere."""
+    """Elements in each group, as bytes."""
     c = np.bincount((elements >> np.uint64(17)).astype(np.int64) % GROUPS, minlength=GROUPS)
-    return (c if c.max(initial=0) < 1 << 16 else np.full(GROUPS, (1 << 16) - 1)).astype("<u2")
+    return (c if c.max(initial=0) < FULL else np.full(GROUPS, FULL)).astype(np.uint8)
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Summed coordinate minima of rows of counts; without end where both are FULL."""
+    bound = np.minimum(x, y).sum(1, dtype=np.int64)
+    return np.where((x[..., 0] == FULL) & (y[..., 0] == FULL), 1 << 40, bound)
 
 
 def may_link(bound, a, b):
@@ -108,22 +118,32 @@ class Tree:
             least = np.maximum(low[now], least_common(size))
             fits = (high[now] >= least) & (NUMERATOR * low[now] <= DENOMINATOR * size)
             now, least = now[fits], least[fits]
-            now = now[may_link(np.minimum(upper[now], point).sum(1, dtype=np.int64), size, least)]
+            now = now[may_link(overlap_bound(upper[now], point), size, least)]
             if k:
                 now = (now[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                 now = now[now < len(self.levels[k - 1][0])]
         return self.order[now]
 
 
-def block_pairs(ids: np.ndarray, components: np.ndarray, sizes: np.ndarray, points: np.ndarray, cut: np.ndarray | None) -> list[tuple[int, int]]:
-    """Pairs of different components that may link; with cuts 0 and 1, those across the two."""
-    inside = np.ones(len(ids), bool) if cut is None else cut == 0
-    held = np.flatnonzero(inside)
+def block_pairs(ids: np.ndarray, components: np.ndarray, seen: np.ndarray, sizes: np.ndarray, points: np.ndarray, cut: np.ndarray | None) -> list[tuple[int, int]]:
+    """Pairs of different components that may link; with cuts 0 and 1, those across the two.
+
+    seen: of each member the earlier block (its first) that it shares with all of the same number, 0 for
+    none: such pairs are that block's.  The largest of these groups, or the largest component, needs no
+    searches of its own, as all others search for its members."""
+    sides = np.zeros(len(ids), np.int8) if cut is None else cut
+    largest = []
+    for of, some in ((seen, seen != 0), (components, np.ones(len(ids), bool))):
+        values, n = np.unique(of[some], return_counts=True)
+        largest.append((of == values[n.argmax()]) & some if len(values) else ~some)
+    quiet = max(largest, key=np.sum) if cut is None else np.zeros(len(ids), bool)
+    held = np.flatnonzero(sides == 0)
     tree = Tree(points[held], sizes[held])
     out = []
-    for i in range(len(ids)) if cut is None else np.flatnonzero(cut == 1):
+    for i in np.flatnonzero(~quiet if cut is None else sides == 1):
         near = held[tree.search(points[i], int(sizes[i]))]
-        near = near[(components[near] != components[i]) & ((ids[near] < ids[i]) if cut is None else (ids[near] != ids[i]))]
+        near = near[(components[near] != components[i]) & ((seen[near] != seen[i]) | (seen[i] == 0))]
+        near = near[quiet[near] | (ids[near] < ids[i])] if cut is None else near[ids[near] != ids[i]]
         out += [(min(int(ids[i]), int(j)), max(int(ids[i]), int(j))) for j in ids[near]]
     return out
 
@@ -160,8 +180,8 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 @F.arrow_udf(BooleanType())
 def _bounded(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
-    x, y = (np.frombuffer(b"".join(v.to_pylist()), "<u2").reshape(-1, GROUPS) for v in (a, b))
-    return pa.array(may_link(np.minimum(x, y).sum(1, dtype=np.int64), n.to_numpy(), m.to_numpy()))
+    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, GROUPS) for v in (a, b))
+    return pa.array(may_link(overlap_bound(x, y), n.to_numpy(), m.to_numpy()))
 
 
 @F.arrow_udf(BooleanType())
@@ -169,16 +189,21 @@ def _verified(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([links(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(a, b)], pa.bool_())
 
 
-def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, vectors: DataFrame, docs: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b), those whose sets link.  Only documents in a pair that passes the
     bound are read again and their sets sent."""
-    of = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
-    sized = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR)
-    left = written(sized.where(_bounded("ca", "cb", "na", "nb")).select("a", "b"), "bounded")
+    of = lambda c: vectors.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
+    near = F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR
+    sized = pairs.join(vectors.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(vectors.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").where(near).select("a", "b")
+    sized = written(sized, "sized")
+    left = written(sized.join(of("a"), "a").join(of("b"), "b").where(_bounded("ca", "cb", "na", "nb")).select("a", "b"), "bounded")
     needed = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
-    sets = written(_sets(docs.join(needed, "id", "left_semi").dropDuplicates(["id"])), "sets")
+    sets = written(_sets(docs.join(needed, "id", "left_semi")).groupBy("id").agg(F.min("elements").alias("elements")), "sets")
+    free_shuffles(docs.sparkSession)
     of = lambda c: sets.select(F.col("id").alias(c), F.col("elements").alias(f"e{c}"))
-    return written(left.join(of("b"), "b").join(of("a"), "a").where(_verified("ea", "eb")).select("a", "b"), "links")
+    out = written(left.join(of("b"), "b").join(of("a"), "a").where(_verified("ea", "eb")).select("a", "b"), "links")
+    drop(sized, left, sets)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -192,11 +217,13 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).where("a != b").distinct()
-        edges = written(small, "stars")
+        before, edges = edges, written(small, "stars")
+        if state is not None:
+            drop(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             nodes = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-            return nodes.union(edges.select("b", "b").distinct().toDF("id", "component"))
+            return written(nodes.union(edges.select("b", "b").distinct().toDF("id", "component")), "components")
         state = tuple(now)
 
 
@@ -212,29 +239,29 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    table = written(_classes(rows), "classes")
+    table = written(_classes(rows), "sets")
     usable = table.where("id is not null and digest is not null")
-    classes = written(usable.groupBy("digest").agg(F.min("id").alias("rep")), "digests")
-    reps = written(table.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).drop("digest"), "representatives")
-    free_shuffles(spark)
+    classes = written(usable.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    reps = table.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")
+    vectors = written(reps.groupBy("id").agg(F.max("n").alias("n"), F.max("counts").alias("counts")), "vectors")
+    sizes = written(table.select("id", "n", "digest"), "sizes")
     keys = reps.select(F.explode("keys").alias("key"), "id")
-    n_keys = partitions(reps, 4)
     blocks = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first")).where("members >= 2")
-    members = written(keys.repartition(n_keys, "key").join(blocks, "key"), "blocks")
-    free_shuffles(spark)
+    members = written(keys.repartition(partitions(table, 4), "key").join(blocks, "key"), "blocks")
+    drop(table)
     stars = members.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    vectors = reps.select("id", "n", "counts")
     found = _links(stars, vectors, rows)
-    free_shuffles(spark)
     first = components(found)
-    more = _tree_round(members.where("members >= 3"), vectors, first)
-    found = written(found.union(_links(more.select("a", "b").distinct(), vectors, rows)), "all-links")
-    free_shuffles(spark)
+    pairs = _tree_round(members.where("members >= 3"), vectors, first)
+    more = _links(pairs, vectors, rows)
+    links = written(found.union(more), "links")
+    drop(members, vectors, first, pairs, found, more)
     # rows that repeat an id with other texts: their classes are one document
+    usable = sizes.where("id is not null and digest is not null")
     same = usable.select("id", "digest").distinct().join(classes, "digest").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    joined = written(components(found.union(same)), "components")
-    degree = found.select("a").union(found.select("b")).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_links"))
-    out = table.select("id", F.col("n").alias("n_shingles")).join(joined, "id", "left").join(degree, "id", "left")
+    joined = components(links.union(same))
+    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_links"))
+    out = sizes.select("id", F.col("n").alias("n_shingles")).join(joined, "id", "left").join(degree, "id", "left")
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
@@ -242,16 +269,23 @@ def _tree_round(members: DataFrame, vectors: DataFrame, first: DataFrame) -> Dat
     """Pairs (a, b) of different components that share a block and pass the R-tree's bound."""
     labelled = members.join(first, "id", "left").select("key", "members", "id", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    rows = labelled.join(mixed, "key").join(vectors, "id")
+    open_ = labelled.join(mixed, "key")
+    # pairs whose first open block is the same were met there: a passage of fifty words makes one block, not ten
+    earliest = open_.groupBy("id").agg(F.min("key").alias("e"))
+    marked = written(open_.join(earliest, "id").withColumn("seen", F.when(F.col("e") < F.col("key"), F.col("e")).otherwise(F.lit(0)).cast("long")).drop("e"), "open")
+    needed = marked.groupBy("key").agg(F.min("seen").alias("lo"), F.max("seen").alias("hi")).where("lo != hi or lo = 0").select("key")
+    rows = marked.join(needed, "key").join(vectors, "id")
     cuts = F.ceil(F.col("members") / SPLIT).cast("int")
     cut = F.pmod(F.xxhash64("id"), cuts).cast("int")
     spread = rows.withColumn("own", cut).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
-    task = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "id", "component", "n", "counts")
+    task = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component", "seen", "n", "counts")
 
     def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids, comps, sizes, side = (table.column(c).to_numpy() for c in ("id", "component", "n", "side"))
-        points = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u2").reshape(-1, GROUPS)
-        pairs = block_pairs(ids, comps, sizes, points, None if key[1].as_py() == key[2].as_py() else side)
+        ids, comps, seen, sizes, side = (table.column(c).to_numpy() for c in ("id", "component", "seen", "n", "side"))
+        points = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, GROUPS)
+        pairs = block_pairs(ids, comps, seen, sizes, points, None if key[1].as_py() == key[2].as_py() else side)
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return written(task.groupBy("key", "i", "j").applyInArrow(search, "a long, b long").distinct(), "tree-pairs")
+    out = written(task.groupBy("key", "i", "j").applyInArrow(search, "a long, b long").distinct(), "tree-pairs")
+    drop(marked)
+    return out

@@ -1,0 +1 @@
+"""A snapshot, graph and retrieval engine on PySpark."""

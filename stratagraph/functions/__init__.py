@@ -1 +1,46 @@
+"""Scalar helpers: globs, regular-expression gate, digests, name tails, the hashing tokenizer."""
 
+from __future__ import annotations
+
+import hashlib
+import json
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def glob_regex(pattern: str) -> str:
+    """`**/` any folders or none, `**` anything, `*` anything within a folder, `?` one character of it."""
+    parts = re.split(r"(\*\*/|\*\*|\*|\?)", pattern)
+    made = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "^" + "".join(made.get(p, re.escape(p).replace("/", "/")) for p in parts) + "$"
+
+
+def matches_any(path: Column, globs: list[str]) -> Column:
+    return path.rlike("|".join(f"(?:{glob_regex(g)})" for g in globs)) if globs else F.lit(False)
+
+
+class UnsafePattern(ValueError):
+    """core:invalid_pattern"""
+
+
+def safe_regex(pattern: str) -> str:
+    """A pattern of at most 1024 characters, without look-around and back-references."""
+    if len(pattern) > 1024 or re.search(r"\(\?<?[=!]|\\[1-9]|\(\?P=|\\k<", pattern):
+        raise UnsafePattern(pattern[:40])
+    re.compile(pattern)
+    return pattern
+
+
+def name_tail(identity_key: Column) -> Column:
+    return F.element_at(F.split(identity_key, ":"), -1)
+
+
+def digest(*parts: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", *parts), 256))
+
+
+def canonical_digest(value: object) -> str:
+    """Digest of a plan: JSON with sorted keys and no spaces."""
+    return "sha256:" + hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()

@@ -1 +1 @@
-
+"""Operators: relational, graph, text, semantic, temporal, paging."""

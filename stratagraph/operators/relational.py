@@ -103,13 +103,10 @@ def resolve_symbol(records: DataFrame, name: str, *, context_owner: str | None =
 
 # ---------------------------------------------------------------- sets
 
-_RANK = F.when(F.col("classification") == "confirmed", 0).otherwise(1)
-
-
 def set_union(inputs: dict[str, DataFrame]) -> DataFrame:
     """subject_id, classification (confirmed wins), provenance (input names, sorted)."""
     rows = reduce(DataFrame.unionByName, [df.select("subject_id", "classification").withColumn("_from", F.lit(n)) for n, df in inputs.items()])
-    return rows.groupBy("subject_id").agg(F.when(F.min(_RANK) == 0, "confirmed").otherwise("possible").alias("classification"), F.array_join(F.array_sort(F.collect_set("_from")), ",").alias("provenance"))
+    return rows.groupBy("subject_id").agg(F.when(F.bool_or(F.col("classification") == "confirmed"), "confirmed").otherwise("possible").alias("classification"), F.array_join(F.array_sort(F.collect_set("_from")), ",").alias("provenance"))
 
 
 def set_intersection(inputs: dict[str, DataFrame]) -> DataFrame:

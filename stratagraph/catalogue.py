@@ -210,9 +210,9 @@ def relation_endpoints(spark, d):
     return e.join(r.toDF("src", "source_name"), "src").join(r.toDF("dst", "target_name"), "dst").select("edge_id", "source_name", "target_name")
 
 
-@query("SELECT record_id FROM records WHERE kind = 'tpch:customer' AND record_id NOT IN (SELECT src FROM edges WHERE kind = 'core:defines')", records=True, edges=True)
+@query("SELECT record_id FROM records WHERE kind = 'tpch:order' AND record_id NOT IN (SELECT src FROM edges WHERE kind = 'core:call')", records=True, edges=True)
 def missing_documents(spark, d):
-    return R(spark, d).where("kind = 'tpch:customer'").join(E(spark, d).where("kind = 'core:defines'").select(F.col("src").alias("record_id")), "record_id", "left_anti").select("record_id")
+    return R(spark, d).where("kind = 'tpch:order'").join(E(spark, d).where("kind = 'core:call'").select(F.col("src").alias("record_id")), "record_id", "left_anti").select("record_id")
 
 
 # ---------------------------------------------------------------- graph
@@ -277,12 +277,12 @@ def related_tests(spark, d):
 
 @query("SELECT DISTINCT src AS id FROM edges WHERE dst = 'supplier:3' AND kind = 'core:call' AND classification = 'confirmed'", edges=True)
 def impact_will_break(spark, d):
-    return graph.impact(E(spark, d), ids(spark, "supplier:3"))["will_break"]
+    return graph.impact(E(spark, d), ids(spark, "supplier:3"), include_transitive=False)["will_break"]
 
 
 @query("SELECT 'uncertain_dynamic_usage' AS class, count(DISTINCT src) AS n FROM edges WHERE dst = 'supplier:3' AND kind IN ('core:call', 'core:references') AND classification = 'possible' UNION ALL SELECT 'tests_to_run', count(DISTINCT src) FROM edges WHERE kind = 'core:covers' AND dst = 'supplier:3'", edges=True)
 def impact_other_classes(spark, d):
-    found = graph.impact(E(spark, d), ids(spark, "supplier:3"))
+    found = graph.impact(E(spark, d), ids(spark, "supplier:3"), include_transitive=False)
     return found["uncertain_dynamic_usage"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("uncertain_dynamic_usage").alias("class"), "n").union(graph.related_tests(E(spark, d), ids(spark, "supplier:3")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("tests_to_run"), "n"))
 
 
@@ -447,9 +447,9 @@ def entity_eligibility(spark, d):
 # ---------------------------------------------------------------- symbols
 
 
-@query("SELECT record_id, count(*) OVER () > 1 AS ambiguous FROM records WHERE name = 'CHINA' OR identity_key = 'CHINA'", records=True)
+@query("SELECT record_id, count(*) OVER () > 1 AS ambiguous FROM records WHERE name = 'ASIA' OR identity_key = 'ASIA'", records=True)
 def resolve_symbol(spark, d):
-    return relational.resolve_symbol(R(spark, d), "CHINA").select("record_id", "ambiguous")
+    return relational.resolve_symbol(R(spark, d), "ASIA").select("record_id", "ambiguous")
 
 
 @query("WITH n AS (SELECT p_name AS name, count(*) AS declarations FROM part GROUP BY 1) SELECT name, declarations FROM n WHERE declarations > 1")
@@ -457,7 +457,7 @@ def symbol_ambiguity(spark, d):
     return R(spark, d).where("kind = 'tpch:part'").groupBy("name").agg(F.count(F.lit(1)).alias("declarations")).where("declarations > 1")
 
 
-@query("SELECT * FROM (VALUES ('record_kind', 'core:call'), ('record_kind', 'core:container'), ('record_kind', 'core:contains'), ('record_kind', 'core:covers'), ('record_kind', 'core:captures'), ('record_kind', 'core:callable')) t(family, id)")
+@query("SELECT * FROM (VALUES ('record_kind', 'core:call'), ('record_kind', 'core:container'), ('record_kind', 'core:configuration'), ('record_kind', 'core:contains'), ('record_kind', 'core:covers'), ('record_kind', 'core:captures'), ('record_kind', 'core:callable')) t(family, id)")
 def discover_definitions(spark, d):
     return operations.discover_definitions(spark, {"mode": "prefix", "text": "core:c"}, families=("record_kind",)).select("family", "id")
 

@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+def micros(c: Column | str) -> Column:
+    return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
+
+
 BARRIERS = ("absence", "exclusion")
 
 
 def quiet_batches(events: DataFrame, gap_seconds: int, key: str = "user_id") -> DataFrame:
     """key, started, ended, hints: a batch ends once `gap_seconds` pass without a hint of its key."""
     w = Window.partitionBy(key).orderBy("ts", "event_id")
-    new = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) >= gap_seconds * 1_000_000
+    new = (micros("ts") - micros(F.lag("ts").over(w))) >= gap_seconds * 1_000_000
     numbered = events.withColumn("_b", F.sum(F.coalesce(new.cast("int"), F.lit(0))).over(w))
     return numbered.groupBy(key, "_b").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("hints")).drop("_b")
 
@@ -48,7 +52,7 @@ def capped_batches(events: DataFrame, gap_seconds: int, cap_seconds: int, key: s
                 out = []
         yield pd.DataFrame(out + ([(*open_, "quiet")] if open_ else []), columns=["k", "a", "b", "hints", "reason"])
 
-    rows = events.select(F.col(key).alias("k"), F.unix_micros("ts").alias("us"), F.col("event_type").alias("kind"), "event_id").repartition(key_count(events), "k").sortWithinPartitions("k", "us", "event_id")
+    rows = events.select(F.col(key).alias("k"), micros("ts").alias("us"), F.col("event_type").alias("kind"), "event_id").repartition(key_count(events), "k").sortWithinPartitions("k", "us", "event_id")
     made = rows.drop("event_id").mapInPandas(walk, "k long, a long, b long, hints long, reason string")
     return made.select(F.col("k").alias(key), F.timestamp_micros("a").alias("started"), F.timestamp_micros("b").alias("ended"), "hints", "reason")
 
@@ -72,7 +76,7 @@ def late_rows(events: DataFrame, lateness_seconds: int) -> DataFrame:
     before = tops.withColumn("_before", F.max("_top").over(Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))).select("_blk", "_before")
     w = Window.partitionBy("_blk").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     seen = events.withColumn("_blk", block).join(before, "_blk").withColumn("_seen", F.greatest(F.max("ts").over(w), "_before"))
-    return seen.where(F.unix_micros("_seen") - F.unix_micros("ts") > lateness_seconds * 1_000_000).drop("_blk", "_before", "_seen")
+    return seen.where(micros("_seen") - micros("ts") > lateness_seconds * 1_000_000).drop("_blk", "_before", "_seen")
 
 
 def apply_stream(stream: DataFrame, apply, checkpoint: str, **options):

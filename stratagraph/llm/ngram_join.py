@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, LongType
 
 from stratagraph.llm import words
 from stratagraph.llm.common import drop, free_shuffles, partitions, written
@@ -89,6 +89,17 @@ def may_link(bound, a, b):
     return (NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (a + b)
 
 
+def narrow(elements: np.ndarray) -> bytes:
+    """A set's elements in six bytes each (their upper 48 bits), as they are sent for verification."""
+    return (elements >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def widened(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def links(a: np.ndarray, b: np.ndarray) -> bool:
     """Of two sorted sets: whether J >= t, exactly."""
     both = int(np.isin(a, b, assume_unique=True, kind="sort").sum()) if len(a) and len(b) else 0
@@ -173,36 +184,53 @@ def _sets(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([words.column(b, "id"), pa.array([s.tobytes() for s in document_sets(words.column(b, "text"))], pa.binary())], ["id", "elements"])
+                yield pa.RecordBatch.from_arrays([words.column(b, "id"), pa.array([narrow(s) for s in document_sets(words.column(b, "text"))], pa.binary())], ["id", "elements"])
 
     return docs.mapInArrow(take, "id long, elements binary")
 
 
 @F.arrow_udf(BooleanType())
-def _bounded(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
-    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, GROUPS) for v in (a, b))
-    return pa.array(may_link(overlap_bound(x, y), n.to_numpy(), m.to_numpy()))
+def _verified(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([links(widened(x.as_py()), widened(y.as_py())) for x, y in zip(a, b)], pa.bool_())
 
 
-@F.arrow_udf(BooleanType())
-def _verified(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([links(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(a, b)], pa.bool_())
+@F.arrow_udf(LongType())
+def _bound(a: pa.Array, b: pa.Array) -> pa.Array:
+    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, GROUPS) for v in (a, b))
+    return pa.array(overlap_bound(x, y), pa.int64())
 
 
-def _links(pairs: DataFrame, vectors: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b), those whose sets link.  Only documents in a pair that passes the
-    bound are read again and their sets sent."""
+def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """a, b, bound of the pairs whose sizes fit and whose counts allow a link."""
     of = lambda c: vectors.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
     near = F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR
-    sized = pairs.join(vectors.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(vectors.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").where(near).select("a", "b")
-    sized = written(sized, "sized")
-    left = written(sized.join(of("a"), "a").join(of("b"), "b").where(_bounded("ca", "cb", "na", "nb")).select("a", "b"), "bounded")
+    # sizes alone first: they are a byte or two, counts are GROUPS
+    sized = pairs.join(of("a").drop("ca"), "a").join(of("b").drop("cb"), "b").where(near)
+    counted = sized.join(of("a").drop("na"), "a").join(of("b").drop("nb"), "b").withColumn("bound", _bound("ca", "cb"))
+    return written(counted.where((NUMERATOR + DENOMINATOR) * F.col("bound") >= NUMERATOR * (F.col("na") + F.col("nb"))).select("a", "b", (F.col("bound") / (F.col("na") + F.col("nb"))).alias("bound")), "bounded")
+
+
+def _links(pairs: DataFrame, vectors: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of distinct pairs (a, b), links enough to join all that link: each b is first tested against
+    its likeliest partner, and then only pairs that are still apart are.  Documents in a bounded
+    pair are read again, once, and only their sets are sent."""
+    left = _bounded(pairs, vectors)
     needed = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
-    sets = written(_sets(docs.join(needed, "id", "left_semi")).groupBy("id").agg(F.min("elements").alias("elements")), "sets")
+    sets = written(_sets(docs.join(needed, "id", "left_semi")).groupBy("id").agg(F.min("elements").alias("elements")), "elements")
     free_shuffles(docs.sparkSession)
-    of = lambda c: sets.select(F.col("id").alias(c), F.col("elements").alias(f"e{c}"))
-    out = written(left.join(of("b"), "b").join(of("a"), "a").where(_verified("ea", "eb")).select("a", "b"), "links")
-    drop(sized, left, sets)
+
+    def verified(some: DataFrame) -> DataFrame:
+        of = lambda c: sets.select(F.col("id").alias(c), F.col("elements").alias(f"e{c}"))
+        return written(some.select("a", "b").join(of("b"), "b").join(of("a"), "a").where(_verified("ea", "eb")).select("a", "b"), "links")
+
+    likeliest = left.groupBy("b").agg(F.max(F.struct("bound", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    found = verified(likeliest)
+    joined = components(found)
+    of = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"j{c}"))
+    apart = left.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ja", "a") != F.coalesce("jb", "b"))
+    more = verified(apart.join(likeliest, ["a", "b"], "left_anti"))
+    out = written(found.union(more), "found")
+    drop(left, sets, found, joined, more)
     return out
 
 

@@ -146,7 +146,7 @@ def block_pairs(ids: np.ndarray, components: np.ndarray, seen: np.ndarray, sizes
     largest = []
     for of, some in ((seen, seen != 0), (components, np.ones(len(ids), bool))):
         values, n = np.unique(of[some], return_counts=True)
-        largest.append((of == values[n.argmax()]) & some if len(values) else ~some)
+        largest.append((of == values[n.argmax()]) & some if len(values) else some)
     quiet = max(largest, key=np.sum) if cut is None else np.zeros(len(ids), bool)
     held = np.flatnonzero(sides == 0)
     tree = Tree(points[held], sizes[held])

@@ -21,6 +21,7 @@ import random
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -80,12 +81,15 @@ class Model:
         return [zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(c, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=parameters) for c in content]
 
 
-FEATURES = 5
+#: Savings whose windows are counted.
+LEVELS = (3, 4, 5, 6)
+FEATURES = 5 + 2 * len(LEVELS)
 
 
 def features(texts: pa.Array, compressors: list[zs.ZstdCompressor]) -> np.ndarray:
     """Per text: the two largest savings by the toxic dictionary, the two largest leads over the
-    ordinary one, and the logarithm of the windows; zeros without words."""
+    ordinary one, the logarithm of the windows, and for each of LEVELS the windows that save as
+    much, as a logarithm and as a share; zeros without words."""
     buf, offsets = words.text_bytes(texts)
     out = []
     for i, j in words.slices(offsets, 1_000_000):
@@ -97,7 +101,8 @@ def features(texts: pa.Array, compressors: list[zs.ZstdCompressor]) -> np.ndarra
             saved, ahead = plain - toxic, ordinary - toxic
             for d in np.flatnonzero(np.diff(at)):
                 a, b = at[d], at[d + 1]
-                x[d] = (*_top_two(saved[a:b]), *_top_two(ahead[a:b]), np.log1p(b - a))
+                many = [(saved[a:b] >= k).sum() for k in LEVELS]
+                x[d] = (*_top_two(saved[a:b]), *_top_two(ahead[a:b]), np.log1p(b - a), *np.log1p(many), *(10 * np.array(many) / (b - a)))
         out.append(x)
     return np.concatenate(out) if out else np.zeros((0, FEATURES))
 
@@ -155,8 +160,10 @@ def toxic_content(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
     least = max(4, n / 200)
 
     def significant(g: bytes) -> bool:
-        seen, expected = counts[0][g], n * (counts[1][g] + 0.5) / m
-        return seen >= least and seen >= 4 * expected and seen - expected >= 4 * (expected + 0.25) ** 0.5
+        """Four times as often as ordinary text has it, and beyond what chance makes of some 100,000
+        candidates (a Poisson likelihood ratio of exp(15))."""
+        seen, expected = counts[0][g], n * (counts[1][g] + 1) / m
+        return seen >= least and seen >= 4 * expected and seen * log(seen / expected) - (seen - expected) >= 15
 
     good = {g for g in counts[0] if significant(g)}
     spans: Counter = Counter()

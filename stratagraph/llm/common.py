@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -59,6 +60,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Arrow batches of at most so many rows for what runs inside: rows of tens of kilobytes by the
+    ten thousand would fill a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables made by written(), and the shuffle files that made them; nothing may read them later."""
     for t in tables:

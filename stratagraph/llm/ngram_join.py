@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType
 
 from stratagraph.llm import words
-from stratagraph.llm.common import drop, free_shuffles, partitions, written
+from stratagraph.llm.common import arrow_rows, drop, free_shuffles, partitions, written
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 3, 4  # 100 * both >= 75 * all
 GROUPS, FANOUT = 256, 16
@@ -221,7 +221,8 @@ def _links(pairs: DataFrame, vectors: DataFrame, docs: DataFrame) -> DataFrame:
 
     def verified(some: DataFrame) -> DataFrame:
         of = lambda c: sets.select(F.col("id").alias(c), F.col("elements").alias(f"e{c}"))
-        return written(some.select("a", "b").join(of("b"), "b").join(of("a"), "a").where(_verified("ea", "eb")).select("a", "b"), "links")
+        with arrow_rows(docs.sparkSession, 200):
+            return written(some.select("a", "b").join(of("b"), "b").join(of("a"), "a").where(_verified("ea", "eb")).select("a", "b"), "links")
 
     likeliest = left.groupBy("b").agg(F.max(F.struct("bound", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     found = verified(likeliest)

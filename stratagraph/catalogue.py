@@ -507,7 +507,7 @@ def delta_window(spark, d):
     return temporal.delta_window(R(spark, d), G, G + 3).select("record_id", "valid_from", "valid_to")
 
 
-@query(f"SELECT count_if(valid_to > {G} AND valid_to <= {G + 3}) AS removals, count_if(valid_from > {G} AND valid_from <= {G + 3}) AS additions, count_if({VISIBLE}) AS before FROM records", records=True)
+@query(f"SELECT CAST(count_if(valid_to > {G} AND valid_to <= {G + 3}) AS BIGINT) AS removals, CAST(count_if(valid_from > {G} AND valid_from <= {G + 3}) AS BIGINT) AS additions, CAST(count_if({VISIBLE}) AS BIGINT) AS before FROM records", records=True)
 def churn_counts(spark, d):
     return temporal.churn(R(spark, d), G, G + 3)
 

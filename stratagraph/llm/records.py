@@ -77,7 +77,7 @@ def frames(content: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
 
 _KEPT: dict = {}
 #: Distinct pieces whose ids a worker keeps; beyond it the memory starts anew.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 600_000
 
 
 def _space_before() -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +189,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "
         for b in batches:
             ids = words.column(b, "id").to_pylist()
             buf, offsets = words.text_bytes(words.column(b, "text"))
-            for i, j in words.slices(offsets, 8_000_000):
+            for i, j in words.slices(offsets):
                 tokens = encode_texts(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tokenizer, end_id)
                 yield pa.RecordBatch.from_arrays([pa.array([frame(k, t) for k, t in zip(ids[i:j], tokens)], pa.binary())], ["value"])
 

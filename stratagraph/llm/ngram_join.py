@@ -50,7 +50,7 @@ SPLIT = 2000
 def document_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     buf, offsets = words.text_bytes(texts)
-    for i, j in words.slices(offsets):
+    for i, j in words.slices(offsets, 1_000_000):
         at = offsets[i : j + 1] - offsets[i]
         low, starts, ends, first = words.split(buf[offsets[i] : offsets[j]], at, words.SPACED)
         hashes, cut = words.shingles(words.word_hashes(low, starts, ends), first, WIDTH)
@@ -216,7 +216,8 @@ def _links(pairs: DataFrame, vectors: DataFrame, docs: DataFrame) -> DataFrame:
     pair are read again, once, and only their sets are sent."""
     left = _bounded(pairs, vectors)
     needed = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
-    sets = written(_sets(docs.join(needed, "id", "left_semi")).groupBy("id").agg(F.min("elements").alias("elements")), "elements")
+    with arrow_rows(docs.sparkSession, 1000):
+        sets = written(_sets(docs.join(needed, "id", "left_semi")).groupBy("id").agg(F.min("elements").alias("elements")), "elements")
     free_shuffles(docs.sparkSession)
 
     def verified(some: DataFrame) -> DataFrame:
@@ -268,7 +269,8 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    table = written(_classes(rows), "sets")
+    with arrow_rows(spark, 1000):
+        table = written(_classes(rows), "sets")
     usable = table.where("id is not null and digest is not null")
     classes = written(usable.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     reps = table.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratagraph.llm import words
-from stratagraph.llm.common import partitions
+from stratagraph.llm.common import arrow_rows, partitions
 
 NO_ID, WIDE = 1, 2
 _HEAD = struct.Struct("<QI")
@@ -77,7 +77,7 @@ def frames(content: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
 
 _KEPT: dict = {}
 #: Distinct pieces whose ids a worker keeps; beyond it the memory starts anew.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 250_000
 
 
 def _space_before() -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +195,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = rows.repartitionByRange(partitions(docs, shard_mb), "id", F.xxhash64("text")).sortWithinPartitions("id", "text").mapInArrow(encode, "value binary")
-    made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/shards")
+    with arrow_rows(docs.sparkSession, 1000):
+        made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/shards")
 
     def index(shard: str, content: bytes) -> Iterator[dict]:
         for n, (at, length, record_id, tokens) in enumerate(frames(content)):

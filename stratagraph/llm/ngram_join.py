@@ -22,6 +22,10 @@ link when their Jaccard similarity reaches t = 3/4; links make components.
    corner, suffices, and keeps points of other components.  Those pairs are
    verified as well.  Blocks of more than SPLIT members are cut, and each pair
    of cuts is a task: no task holds an unbounded block, and no pair is lost.
+5. Count round: the links of 3 and 4 only have to join the components.  All
+   links lie inside of components, so each component of three classes or more
+   counts the overlaps of all its pairs of sets (a product of incidence
+   matrices).  Components are cut like blocks; tasks return counts, not pairs.
 """
 
 from __future__ import annotations
@@ -36,12 +40,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType
 
 from stratagraph.llm import words
-from stratagraph.llm.common import arrow_rows, drop, free_shuffles, partitions, written
+from stratagraph.llm.common import arrow_rows, drop, free_shuffles, partitions, small_side, written
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 3, 4  # 100 * both >= 75 * all
 GROUPS, FANOUT = 256, 16
 #: Members of a block that one task takes; larger blocks are cut and cuts are paired.
 SPLIT = 2000
+#: Members of a component, and elements of their sets, in one of the cuts that the count round pairs.
+CUT, CUT_ELEMENTS = 1000, 2_000_000
+#: Distinct elements that one product of incidence matrices takes.
+COLUMNS = 2048
 
 
 # ---------------------------------------------------------------- sets
@@ -106,6 +114,46 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
 
 
+def link_counts(sets: list[np.ndarray], side: np.ndarray | None = None) -> np.ndarray:
+    """Of each set, how many of the others link with it (as links() has it); with sides 0 and 1,
+    how many of the other side."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    out = np.zeros(len(sets), np.int64)
+    rows = np.arange(len(sets))
+    left, right = (rows, rows) if side is None else (rows[side == 0], rows[side == 1])
+    if not len(left) or not len(right) or not sizes.sum():
+        return out
+    place = np.empty(len(sets), np.int64)
+    place[right] = np.arange(len(right))
+    place[left] = np.arange(len(left))
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(rows, sizes)
+    here = np.ones(len(owner), bool) if side is None else side[owner] == 0
+    there = here if side is None else ~here
+    on_left = np.bincount(column[here], minlength=len(values))
+    shared = on_left > 1 if side is None else (on_left > 0) & (np.bincount(column[there], minlength=len(values)) > 0)
+    number = np.cumsum(shared) - 1  # columns of one set, or of one side, overlap with nothing
+    both = np.zeros((len(left), len(right)), np.int64)
+    held = np.flatnonzero(shared[column])
+    held = held[np.argsort(column[held], kind="stable")]
+    columns = number[column[held]]
+    for at in range(0, int(shared.sum()), COLUMNS):
+        part = held[np.searchsorted(columns, at) : np.searchsorted(columns, at + COLUMNS)]
+        matrices = []
+        for some, n in ((here, len(left)), (there, len(right))):
+            x = part[some[part]]
+            m = np.zeros((n, COLUMNS), np.float32)
+            m[place[owner[x]], number[column[x]] - at] = 1
+            matrices.append(m)
+        both += np.rint(matrices[0] @ matrices[1].T).astype(np.int64)
+    linked = (both > 0) & ((NUMERATOR + DENOMINATOR) * both >= NUMERATOR * (sizes[left][:, None] + sizes[right][None, :]))
+    if side is None:
+        np.fill_diagonal(linked, False)
+        return linked.sum(1)
+    out[left], out[right] = linked.sum(1), linked.sum(0)
+    return out
+
+
 # ---------------------------------------------------------------- R-tree
 
 
@@ -260,8 +308,8 @@ def components(edges: DataFrame) -> DataFrame:
 def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, n_links of every document.
 
-    n_links counts the verified links of the document's class that were needed
-    to join its component (a document without any has 0).  A null or empty text,
+    n_links counts the other classes (different sets) that link with the
+    document's own; its exact copies have the same count.  A null or empty text,
     or one without words, has an empty set and is a component of its own.  Rows
     that repeat an id are one document: a link of either is a link of both.  A
     null id takes no part and has a null component.  Further columns are left
@@ -286,14 +334,44 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     pairs = _tree_round(members.where("members >= 3"), vectors, first)
     more = _links(pairs, vectors, rows)
     links = written(found.union(more), "links")
-    drop(members, vectors, first, pairs, found, more)
+    drop(members, first, pairs, found, more)
     # rows that repeat an id with other texts: their classes are one document
     usable = sizes.where("id is not null and digest is not null")
     same = usable.select("id", "digest").distinct().join(classes, "digest").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     joined = components(links.union(same))
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_links"))
-    out = sizes.select("id", F.col("n").alias("n_shingles")).join(joined, "id", "left").join(degree, "id", "left")
-    return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    degrees = _degrees(links, joined, vectors, rows)
+    linked = written(classes.join(degrees, classes["rep"] == degrees["id"]).select("digest", "n_links"), "linked")
+    drop(vectors, degrees)
+    out = sizes.join(small_side(linked), "digest", "left").join(joined, "id", "left")
+    n_links = F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0)
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), n_links.cast("long").alias("n_links"))
+
+
+def _degrees(links: DataFrame, joined: DataFrame, vectors: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, n_links of the classes that link, over all pairs of a component's classes: found links suffice
+    where there are only two."""
+    held = written(joined.join(vectors.select("id", "n"), "id"), "held")
+    of = held.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("elements")).where("k >= 3")
+    large = of.select("component", F.greatest(F.ceil(F.col("k") / CUT), F.ceil(F.col("elements") / CUT_ELEMENTS)).cast("int").alias("cuts"))
+    inside = written(held.join(small_side(written(large, "large")), "component").select("id", "component", "cuts"), "inside")
+    ends = links.select("a").union(links.select("b")).toDF("id")
+    few = ends.join(inside, "id", "left_anti").groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    with arrow_rows(docs.sparkSession, 1000):
+        sets = written(_sets(docs.join(inside.select("id"), "id", "left_semi")).groupBy("id").agg(F.min("elements").alias("elements")), "elements")
+    cut = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
+    spread = inside.join(sets, "id").withColumn("own", cut).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    task = spread.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "elements")
+
+    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        side = None if key[1].as_py() == key[2].as_py() else table.column("side").to_numpy()
+        n = link_counts([widened(x) for x in table.column("elements").to_pylist()], side)
+        return pa.table({"id": table.column("id"), "n_links": pa.array(n, pa.int64())})
+
+    with arrow_rows(docs.sparkSession, 1000):
+        many = task.groupBy("component", "i", "j").applyInArrow(count, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links"))
+        out = written(few.union(many).where("n_links > 0"), "degrees")
+    drop(held, inside, sets)
+    return out
 
 
 def _tree_round(members: DataFrame, vectors: DataFrame, first: DataFrame) -> DataFrame:

@@ -137,6 +137,29 @@ def test_join_equals_brute_force(spark, corner, empty):
     assert ngram_join.join_classes(corner).count() == corner.count()
 
 
+def test_every_link_of_a_family_counts(spark, monkeypatch):
+    find_package(spark)
+    rng = np.random.default_rng(11)
+    rows = []
+    for f in range(3):  # a family of 9 near copies with two exact copies each, one of 2, one of 14 at the threshold
+        base = [f"f{f}w{k}" for k in range(100)]
+        for c in range((9, 2, 14)[f]):
+            text = " ".join(w if rng.random() > (0.004, 0.004, 0.02)[f] else f"c{c}{w}" for w in base) + f" end{c}"
+            rows += [(1000 * f + 10 * c + k, text) for k in range(3 if f == 0 else 1)]
+    rows += [(9000, None), (9001, "alone here"), (None, rows[0][1])]
+    sets = {}
+    for i, t in rows:
+        w = SPACED.findall(lowered(t))
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or frozenset([tuple(w)] if w else [])
+    kinds = set(sets.values())
+    want = {i: sum(bool(x and y and x != y) and 100 * len(x & y) >= 75 * len(x | y) for y in kinds) if i is not None else 0 for i, x in sets.items()}
+    assert {want[0], want[1], want[2]} == {8} and len(set(want.values())) > 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: r.n_links for r in ngram_join.join_classes(docs).collect()} == want
+    monkeypatch.setattr(ngram_join, "CUT", 4)
+    assert {r.id: r.n_links for r in ngram_join.join_classes(docs).collect()} == want
+
+
 def test_cut_blocks_lose_no_pair():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(1, 1 << 62, 60).astype(np.uint64)) for _ in range(20)]
@@ -146,6 +169,7 @@ def test_cut_blocks_lose_no_pair():
     want = {(i, j) for i in range(40) for j in range(i + 1, 40) if ngram_join.links(sets[i], sets[j])}
     none = np.zeros(40, np.int64)
     assert want and want <= set(ngram_join.block_pairs(ids, ids, none, sizes, points, None))
+    assert ngram_join.link_counts(sets).tolist() == [sum(i in p for p in want) for i in range(40)]
     side = (ids % 2).astype(np.int8)
     found = set(ngram_join.block_pairs(ids, ids, none, sizes, points, side))
     assert {(i, j) for i, j in want if side[i] != side[j]} <= found

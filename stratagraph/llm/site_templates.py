@@ -4,9 +4,13 @@ Every element's subtree is hashed (tag, class words and text, from the leaves
 up) and counted per host in Spark, over pages of distinct content.  A subtree
 that recurs across many of its host's pages is the site's template and is
 deleted, as are elements whose kind or class words say what they are (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, comments).  What
-a page declares as its article stays whole, so a passage that many articles
-share isn't taken for a template; inside it only declared clutter goes.
+headers, footers, sidebars, notices, adverts, forms, scripts, comments).
+
+Where a page declares articles, its text is theirs.  Inside of them subtrees are
+counted over a host's distinct (longest) articles, so a repeated one counts once, and
+only boxes are deleted: containers with a class or id, and blocks at least half
+of whose text is links.  Other prose that many articles share is a passage and
+stays, and so does an article that would be left without text.
 
 A host's template is bounded: a page's elements that recur on a fifth of the
 host's pages are, over all pages, at most five times the elements of a page.
@@ -45,6 +49,8 @@ CLUTTER = frozenset("head title nav header footer aside menu form button select
 CLUTTER_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
 CLUTTER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MAIN = ("article", "main")
+#: Containers that a class or id makes a box inside an article.
+BOX = frozenset("address center details dialog div dl figure hgroup ol section table ul".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
@@ -128,9 +134,10 @@ def parse(source: str) -> Node:
     return root
 
 
-def main_node(root: Node) -> Node | None:
-    """The declared article with most text, outside of clutter; None if none is declared."""
-    best, size = None, 0
+def main_nodes(root: Node) -> list[Node]:
+    """The declared articles with text, outside of clutter, in order: the one with most text, and others that
+    no class word names clutter (comments and related texts are articles, too)."""
+    found: list[tuple[int, Node]] = []
     todo = [root]
     while todo:
         node = todo.pop()
@@ -138,16 +145,31 @@ def main_node(root: Node) -> Node | None:
             continue
         if node.tag in MAIN or node.attributes and _ROLE_MAIN.search(node.attributes):
             if node.tag != "article":
-                inner = [k for k in _descendants(node) if k.tag == "article" and not k.clutter()]
+                inner = _articles(node)
                 if inner:
-                    todo += inner
+                    todo += reversed(inner)
                     continue
-            n = _length(node)
-            if n > size:
-                best, size = node, n
+            if n := _length(node):
+                found.append((n, node))
             continue
         todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
-    return best
+    best = max((n for n, _ in found), default=0)
+    first = next((node for n, node in found if n == best), None)
+    return [node for _, node in found if node is first or not (node.attributes and node._named())]
+
+
+def _articles(node: Node) -> list[Node]:
+    """The outermost articles inside a node, outside of clutter, in order."""
+    out, todo = [], [k for k in reversed(node.kids) if isinstance(k, Node)]
+    while todo:
+        x = todo.pop()
+        if x.clutter():
+            continue
+        if x.tag == "article":
+            out.append(x)
+        else:
+            todo += [k for k in reversed(x.kids) if isinstance(k, Node)]
+    return out
 
 
 def _descendants(node: Node) -> Iterator[Node]:
@@ -162,15 +184,16 @@ def _length(node: Node) -> int:
     return sum(len(k) if isinstance(k, str) else 0 for x in (node, *_descendants(node)) for k in x.kids)
 
 
-def subtree_hashes(root: Node, keep: Node | None) -> dict[int, int]:
+def subtree_hashes(root: Node, keep: list[Node]) -> dict[int, int]:
     """id(node) -> hash of each element that has text, outside of `keep`."""
+    kept = {id(k) for k in keep}
     out: dict[int, int] = {}
     order: list[Node] = []
     todo = [root]
     while todo:
         x = todo.pop()
         order.append(x)
-        todo += [k for k in x.kids if isinstance(k, Node) and k is not keep and k.tag not in _NO_TEXT]
+        todo += [k for k in x.kids if isinstance(k, Node) and id(k) not in kept and k.tag not in _NO_TEXT]
     full: dict[int, tuple[int, bool]] = {}
     for x in reversed(order):
         h, some = xxhash.xxh64(f"{x.tag}|{' '.join(sorted(_WORDS.findall(x.attributes))) if x.attributes else ''}"), False
@@ -188,15 +211,31 @@ def subtree_hashes(root: Node, keep: Node | None) -> dict[int, int]:
     return out
 
 
-def main_text(source: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The page's main text: one line a block, white space inside a block as one space."""
-    root = parse(source)
-    top = main_node(root)
-    drop: set[int] = set()
-    if top is None and template:
-        drop = {k for k, h in subtree_hashes(root, None).items() if h in template}
+def box_hashes(article: Node) -> tuple[int, dict[int, int]]:
+    """Hash of an article, and id(node) -> hash of each box with text inside of it."""
+    hashes = subtree_hashes(article, [])
+    order, todo = [], [(article, False)]
+    while todo:
+        x, linked = todo.pop()
+        order.append((x, linked))
+        todo += [(k, linked or x.tag == "a") for k in x.kids if isinstance(k, Node) and k.tag not in _NO_TEXT]
+    lengths: dict[int, tuple[int, int]] = {}
+    boxes = {}
+    for x, linked in reversed(order):
+        own = sum(len("".join(k.split())) for k in x.kids if isinstance(k, str))
+        inner = [lengths[id(k)] for k in x.kids if isinstance(k, Node) and id(k) in lengths]
+        n = own + sum(i[0] for i in inner)
+        links = n if linked or x.tag == "a" else sum(i[1] for i in inner)
+        lengths[id(x)] = n, links
+        named = x.tag in BOX and any(name.lower() in ("class", "id") for name, *_ in _ATTRIBUTE.findall(x.attributes))
+        if x is not article and x.tag != "article" and id(x) in hashes and (named or x.tag in BLOCK and 2 * links >= n):
+            boxes[id(x)] = hashes[id(x)]
+    return hashes.get(id(article), 0), boxes
+
+
+def _lines(tops: list[Node], drop: set[int]) -> str:
     blocks: list[list[str]] = [[]]
-    todo: list = [top or root]
+    todo: list = tops[::-1]
     while todo:
         x = todo.pop()
         if x is None:
@@ -215,10 +254,29 @@ def main_text(source: str, template: frozenset[int] | set[int] = frozenset()) ->
     return "\n".join(x for x in lines if x)
 
 
-def page_hashes(source: str) -> tuple[int, list[int]]:
-    """(hash of the whole page, distinct hashes of its subtrees outside the declared article)."""
+def main_text(source: str, template: frozenset[int] | set[int] = frozenset(), boxes: frozenset[int] | set[int] = frozenset()) -> str:
+    """The page's main text: one line a block, white space inside a block as one space.  `boxes` is
+    the template inside of declared articles, `template` that of pages without any."""
+    root = parse(source)
+    tops = main_nodes(root)
+    if not tops:
+        return _lines([root], {k for k, h in subtree_hashes(root, []).items() if h in template} if template else set())
+    texts = []
+    for top in tops:
+        drop = {k for k, h in box_hashes(top)[1].items() if h in boxes} if boxes else set()
+        texts.append(_lines([top], drop) or _lines([top], set()))
+    return "\n".join(t for t in texts if t)
+
+
+def page_hashes(source: str) -> tuple[int, list[int], int | None, list[int]]:
+    """Hash of the whole page, distinct hashes of its subtrees outside the declared articles, hash of
+    its longest article (None without any) and distinct hashes of the boxes of all of them."""
     root = parse(source)
-    return xxhash.xxh64_intdigest(source) - (1 << 63), sorted(set(subtree_hashes(root, main_node(root)).values()))
+    tops = main_nodes(root)
+    articles = [(_length(top), *box_hashes(top)) for top in tops]
+    longest = max(articles, key=lambda a: a[0])[1] if articles else None
+    boxes = sorted({h for _, _, own in articles for h in own.values()})
+    return xxhash.xxh64_intdigest(source) - (1 << 63), sorted(set(subtree_hashes(root, tops).values())), longest, boxes
 
 
 def host(url) -> object:
@@ -227,23 +285,29 @@ def host(url) -> object:
 
 
 def host_templates(pages: DataFrame, *, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """_host, hashes: the subtrees that recur on `least` pages and a `share` of a host's pages of
-    distinct content.  Pages without a host have no template.  Counts are combined before each
-    shuffle, so a host with a third of all pages meets no single task; its row is bounded."""
+    """_host, _template, _boxes: the subtrees that recur on `least` pages and a `share` of a host's pages of
+    distinct content, and the boxes that recur so on its pages of distinct articles.  Pages without a host have no
+    template.  Counts are combined before each shuffle, so a host with a third of all pages meets no
+    single task; its row is bounded."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, sources = words.column(b, "_host"), words.column(b, "html")
-            rows = [(h.as_py(), *page_hashes(s.as_py() or "")) for h, s in zip(hosts, sources)]
-            hs, ps, subs = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.string()), pa.array(ps, pa.int64()), pa.array(subs, pa.list_(pa.int64()))], ["_host", "_page", "_hashes"])
-
-    hashed = pages.select(host(F.col("url")).alias("_host"), F.col("html")).where("_host is not null").mapInArrow(take, "_host string, _page long, _hashes array<long>")
-    distinct = written(hashed.dropDuplicates(["_host", "_page"]), "subtrees")
-    n_pages = distinct.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
-    counts = distinct.select("_host", F.explode("_hashes").alias("_hash")).groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_n"))
-    often = counts.where(F.col("_n") >= least).join(n_pages, "_host").where(F.col("_n") >= share * F.col("_pages"))
-    return often.groupBy("_host").agg(F.sort_array(F.collect_set("_hash")).alias("_template"))
+            rows = []
+            for h, s in zip(words.column(b, "_host"), words.column(b, "html")):
+                page, outside, article, boxes = page_hashes(s.as_py() or "")
+                rows.append((h.as_py(), False, page, outside))
+                if article is not None:
+                    rows.append((h.as_py(), True, article, boxes))
+            hs, inside, units, subs = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.string()), pa.array(inside, pa.bool_()), pa.array(units, pa.int64()), pa.array(subs, pa.list_(pa.int64()))], ["_host", "_inside", "_unit", "_hashes"])
+
+    hashed = pages.select(host(F.col("url")).alias("_host"), F.col("html")).where("_host is not null").mapInArrow(take, "_host string, _inside boolean, _unit long, _hashes array<long>")
+    distinct = written(hashed.dropDuplicates(["_host", "_inside", "_unit", "_hashes"]), "subtrees")
+    n_units = distinct.groupBy("_host", "_inside").agg(F.count_distinct("_unit").alias("_units"))
+    counts = distinct.select("_host", "_inside", "_unit", F.explode("_hashes").alias("_hash")).groupBy("_host", "_inside", "_hash").agg(F.count_distinct("_unit").alias("_n"))
+    often = counts.where(F.col("_n") >= least).join(n_units, ["_host", "_inside"]).where(F.col("_n") >= share * F.col("_units"))
+    of = lambda inside: F.sort_array(F.collect_set(F.when(F.col("_inside") == inside, F.col("_hash"))))
+    return often.groupBy("_host").agg(of(False).alias("_template"), of(True).alias("_boxes"))
 
 
 def extract(pages: DataFrame, *, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
@@ -257,17 +321,21 @@ def extract(pages: DataFrame, *, least: int = LEAST_PAGES, share: float = SHARE)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple, frozenset[int]] = {}
+
+        def known(hashes) -> frozenset[int]:
+            own = tuple(hashes.as_py() or ())
+            if own not in kept:
+                if len(kept) > 1000:
+                    kept.clear()
+                kept[own] = frozenset(own)
+            return kept[own]
+
         for b in batches:
             texts = []
-            for source, template in zip(words.column(b, "html"), words.column(b, "_template")):
-                own = tuple(template.as_py() or ())
-                if own not in kept:
-                    if len(kept) > 1000:
-                        kept.clear()
-                    kept[own] = frozenset(own)
-                texts.append(main_text(source.as_py() or "", kept[own]))
+            for source, template, boxes in zip(words.column(b, "html"), words.column(b, "_template"), words.column(b, "_boxes")):
+                texts.append(main_text(source.as_py() or "", known(template), known(boxes)))
             yield pa.RecordBatch.from_arrays([words.column(b, "page_id"), words.column(b, "url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html"), host(F.col("url")).alias("_host"))
-    joined = rows.join(small_side(templates), "_host", "left").select("page_id", "url", "html", "_template")
+    joined = rows.join(small_side(templates), "_host", "left").select("page_id", "url", "html", "_template", "_boxes")
     return joined.mapInArrow(take, "page_id long, url string, text string, n_chars long")

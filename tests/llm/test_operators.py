@@ -236,6 +236,25 @@ def test_templates_go_and_shared_passages_stay(spark):
     assert site_templates.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_boxes_go_inside_articles_and_all_articles_stay(spark):
+    find_package(spark)
+    box = "<div class='about-author'><p>Jo writes here</p></div>"
+    links = "<ul><li><a href='/1'>More one</a></li><li><a href='/2'>More two</a></li></ul>"
+    own = lambda i: f"<article><p>shared</p><p>own {i}</p>{box}{links}</article>" + "".join(f"<article><p>{i}-{k}</p></article>" for k in range(8 * (i < 6)))
+    rows = [(i, f"https://a.example/{i}", page(own(i))) for i in range(6)]
+    rows += [(10 + i, f"https://b.example/{i}", page(f"<article><p>once {i}</p></article><article><p>twice {i}</p></article><article class='comment'><p>c</p></article>")) for i in range(4)]
+    # one article on many pages is a copy, no template
+    rows += [(20 + i, f"https://c.example/{i}", page(own(7), nav=f"menu {i}")) for i in range(6)]
+    rows += [(30 + i, f"https://d.example/{i}", page(f"<main><article><p>a{i}</p></article><article><p>b{i}</p></article></main>")) for i in range(3)]
+    rows += [(40 + i, f"https://e.example/{i}", page(f"<article>{box}<h2>{'x' * (i > 2) * i}</h2></article>")) for i in range(6)]
+    got = {r.page_id: r.text for r in site_templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "\n".join([f"shared\nown {i}", *(f"{i}-{k}" for k in range(8))]) for i in range(6))
+    assert all(got[10 + i] == f"once {i}\ntwice {i}" for i in range(4))
+    assert all(got[20 + i] == "shared\nown 7\nJo writes here\nMore one\nMore two" for i in range(6))
+    assert all(got[30 + i] == f"a{i}\nb{i}" for i in range(3))
+    assert got[40] == "Jo writes here" and got[43] == "xxx"
+
+
 def test_licence_markup():
     a = licences.compile_template("t", "x <<optional>>maybe so<</optional>> y <<var most=2; match=[0-9]+>> z")
     for words_, n in (("x y z", 3), ("x maybe so y z", 5), ("x y 1 2 z w", 5), ("x maybe y z", 0), ("x y 1 2 3 z", 0), ("x y a z", 0)):

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from stratagraph.llm import words
+from stratagraph.llm.common import written
 
 WINDOW = 13
 #: contaminated: some word is hit, and 20 * hits >= words.
@@ -169,7 +170,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 
 RESULT = "id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_item string, longest_at long"
-_FOUND = "id long, n_words long, ranges array<array<long>>, items array<string>, longest_match long, longest_item string, longest_at long"
+_FOUND = "row long, id long, n_words long, ranges array<array<long>>, items array<string>, longest_match long, longest_item string, longest_at long"
 _KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<array<long>>": pa.list_(pa.list_(pa.int64())), "array<string>": pa.list_(pa.string())}
 
 
@@ -197,36 +198,47 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
 
     A null or empty text has no words and isn't contaminated; a null or empty
     item makes no window; an item without an id counts as "null".  Repeated
-    rows stay (where the benchmark needs several passes, rows of one id are one
-    document, and a null id takes no part).  Further columns are left out.
+    rows and rows without an id stay.  Further columns are left out.
     """
     parts = _passes(benchmark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    def one(tests: Windows, found: bool):
-        target = _target(_FOUND if found else RESULT)
-
-        def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids = words.column(b, "id").to_pylist()
-                for i, j, buf, offsets in _slices(words.column(b, "text")):
-                    hits = shard_hits(buf, offsets, tests)
-                    made = []
-                    for d in range(j - i):
-                        items = [tests.names[x] for x in hits.items[d].tolist()]
-                        size, item, at = hits.longest[d].tolist()
-                        longest = (size, tests.names[item], at) if size else (0, None, None)
-                        if found:
-                            made.append(dict(zip(target.names, (ids[i + d], int(hits.n_words[d]), hits.ranges[d].tolist(), items, *longest))))
-                        else:
-                            made.append(_summary(ids[i + d], int(hits.n_words[d]), int(hits.n_hit[d]), items, longest))
-                    yield pa.RecordBatch.from_pylist(made, schema=target)
-
-        return take
-
-    if len(parts) == 1:
-        return rows.mapInArrow(one(parts[0], False), RESULT)
-    each = [rows.where("id is not null").mapInArrow(one(p, True), _FOUND) for p in parts]
+    if len(parts) > 1:
+        return _merged(_numbered(rows), parts).drop("row")
+    return rows.mapInArrow(_matcher(parts[0], False), RESULT)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, `row`, written so that every pass reads the same numbers."""
+    return written(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
+def _matcher(tests: Windows, found: bool):
+    """A pass over id and text, or for several passes (`found`) over row, id and text."""
+    target = _target(_FOUND if found else RESULT)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = words.column(b, "id").to_pylist()
+            numbers = words.column(b, "row").to_pylist() if found else None
+            for i, j, buf, offsets in _slices(words.column(b, "text")):
+                hits = shard_hits(buf, offsets, tests)
+                made = []
+                for d in range(j - i):
+                    items = [tests.names[x] for x in hits.items[d].tolist()]
+                    size, item, at = hits.longest[d].tolist()
+                    longest = (size, tests.names[item], at) if size else (0, None, None)
+                    if found:
+                        made.append(dict(zip(target.names, (numbers[i + d], ids[i + d], int(hits.n_words[d]), hits.ranges[d].tolist(), items, *longest))))
+                    else:
+                        made.append(_summary(ids[i + d], int(hits.n_words[d]), int(hits.n_hit[d]), items, longest))
+                yield pa.RecordBatch.from_pylist(made, schema=target)
+
+    return take
+
+
+def _merged(rows: DataFrame, parts: list[Windows]) -> DataFrame:
+    """row and scan()'s columns of each row of row, id, text, hits of all passes counted together."""
+    each = [rows.select("row", "id", "text").mapInArrow(_matcher(p, True), _FOUND) for p in parts]
     everything = each[0]
     for more in each[1:]:
         everything = everything.union(more)
@@ -238,9 +250,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
             n_hit += max(0, b - max(a, end))
             end = max(end, b)
         top = max(found, key=lambda x: x["longest_match"])
-        return pa.Table.from_pylist([_summary(key[0].as_py(), found[0]["n_words"], n_hit, [i for x in found for i in x["items"]], (top["longest_match"], top["longest_item"], top["longest_at"]))], schema=_target(RESULT))
+        summary = _summary(found[0]["id"], found[0]["n_words"], n_hit, [i for x in found for i in x["items"]], (top["longest_match"], top["longest_item"], top["longest_at"]))
+        return pa.Table.from_pylist([{"row": key[0].as_py()} | summary], schema=_target(f"row long, {RESULT}"))
 
-    return everything.groupBy("id").applyInArrow(merge, RESULT)
+    return everything.groupBy("row").applyInArrow(merge, f"row long, {RESULT}")
 
 
 def clean_column(tests: Windows, text: str = "text") -> Column:
@@ -259,9 +272,11 @@ def clean_column(tests: Windows, text: str = "text") -> Column:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents (all columns) that aren't contaminated.  Of a benchmark of several passes, hits of
-    all passes count together: its documents are judged by scan()."""
+    all passes count together, row by row."""
     parts = _passes(benchmark)
     if len(parts) == 1:
         return docs.where(clean_column(parts[0]))
-    bad = scan(docs, benchmark).where("contaminated").select(F.col("id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    numbered = _numbered(docs.select(F.struct(*docs.columns).alias("doc")))
+    rows = numbered.select("row", F.col("doc.doc_id").cast("long").alias("id"), F.col("doc.text").alias("text"))
+    bad = _merged(rows, parts).where("contaminated").select("row")
+    return numbered.join(bad, "row", "left_anti").select("doc.*")

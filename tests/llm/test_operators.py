@@ -314,6 +314,23 @@ def test_several_passes_agree(spark, corner, monkeypatch):
     assert sorted(tuple(r)[:6] for r in suffix_arrays.scan(docs, bench).collect()) == whole
 
 
+def test_several_passes_keep_every_row(spark, corner, monkeypatch):
+    bench = spark.createDataFrame([(str(i), " ".join(BASE[i : i + 14])) for i in range(10)], "item_id string, text string")
+    bad = " ".join(BASE)
+    more = spark.createDataFrame([(None, bad, *[None] * 7), (3, bad, *[None] * 7)], DOCS)  # null and repeated ids, contaminated
+    docs = corner.union(more)
+
+    def results():
+        scanned = sorted((tuple(r)[:7] for r in suffix_arrays.scan(docs, bench).collect()), key=str)
+        return scanned, sorted(map(str, suffix_arrays.remove_contaminated(docs, bench).collect()))
+
+    whole = results()
+    assert len(whole[0]) == docs.count() and sum(r[5] for r in whole[0]) == len(whole[0]) - len(whole[1]) == 4
+    monkeypatch.setattr(suffix_arrays, "PASS_BYTES", 300)
+    scanned, kept = results()
+    assert [r[:6] for r in scanned] == [r[:6] for r in whole[0]] and kept == whole[1]
+
+
 def test_template_language():
     def text(source, **names):
         return "".join(p for p, _ in chat.Template(source).render(**names))

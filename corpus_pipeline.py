@@ -23,14 +23,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id; rows that repeat an id are one
-    document, and a document without an id stays."""
-    groups = written(ngram_join.join_classes(docs), "groups")
-    keep = groups.where("id = component_id").select(F.col("id").alias("_keep")).distinct()
-    kept = docs.where("doc_id is not null").join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
-    if groups.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null"))
+    """Of each group of near copies the document of the smallest id; of rows that repeat an id those of
+    one text are one document, other texts are judged on their own.  A document without an id stays."""
+    keep = written(ngram_join.distinct_texts(docs), "keep").select(F.col("id").alias("_keep"), F.col("text_key").alias("_text"), F.col("class").alias("_class"))
+    same = (docs["doc_id"] == keep["_keep"]) & (F.xxhash64(docs["text"]) == keep["_text"])
+    kept = docs.where("doc_id is not null").join(keep, same)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "_class"])
+    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

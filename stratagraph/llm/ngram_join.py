@@ -3,8 +3,8 @@
 A document is the set of its distinct word shingles (64-bit hashes).  Two sets
 link when their Jaccard similarity reaches t = 3/4; links make components.
 
-1. Documents of one and the same set collapse into a class (its smallest id), by
-   a 128-bit digest of the set.
+1. Rows of one and the same set collapse into a class, numbered by a digest of
+   the set, so that rows that repeat an id with other texts are of several.
 2. Classes meet in blocks.  An R-tree alone would compare all with all: hashed
    counts of unrelated texts lie so near one another that boxes prune nothing.
    So the top of the tree is cut by elements: if J >= t, the first
@@ -210,31 +210,41 @@ def block_pairs(ids: np.ndarray, components: np.ndarray, seen: np.ndarray, sizes
 # ---------------------------------------------------------------- stages
 
 
+def _number(elements: np.ndarray) -> int | None:
+    """A class's number; None for an empty set."""
+    return xxhash.xxh3_64_intdigest(elements.tobytes()) - (1 << 63) if len(elements) else None
+
+
 def _classes(docs: DataFrame) -> DataFrame:
-    """id, n, digest, counts, keys of each document: one pass, no shuffle."""
+    """id, n, class, text_key, counts, keys of each document: one pass, no shuffle."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 sets = list(document_sets(words.column(b, "text")))
-                digests = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [words.column(b, "id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([counts(s).tobytes() for s in sets], pa.binary()), pa.array([prefix(s).view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    ["id", "n", "digest", "counts", "keys"],
+                    [words.column(b, "id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_number(s) for s in sets], pa.int64()), words.column(b, "text_key"), pa.array([counts(s).tobytes() for s in sets], pa.binary()), pa.array([prefix(s).view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                    ["id", "n", "class", "text_key", "counts", "keys"],
                 )
 
-    return docs.mapInArrow(take, "id long, n long, digest binary, counts binary, keys array<long>")
+    return docs.mapInArrow(take, "id long, n long, class long, text_key long, counts binary, keys array<long>")
+
 
+def _sets(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, elements of classes (id, rep), from texts of the documents `rep`."""
 
-def _sets(docs: DataFrame) -> DataFrame:
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([words.column(b, "id"), pa.array([narrow(s) for s in document_sets(words.column(b, "text"))], pa.binary())], ["id", "elements"])
+                sets = list(document_sets(words.column(b, "text")))
+                yield pa.RecordBatch.from_arrays([pa.array([_number(s) for s in sets], pa.int64()), pa.array([narrow(s) for s in sets], pa.binary())], ["id", "elements"])
 
-    return docs.mapInArrow(take, "id long, elements binary")
+    some = docs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "text")
+    with arrow_rows(docs.sparkSession, 1000):
+        made = some.mapInArrow(take, "id long, elements binary").join(classes.select("id"), "id", "left_semi")
+        return written(made.groupBy("id").agg(F.min("elements").alias("elements")), "elements")
 
 
 @F.arrow_udf(BooleanType())
@@ -264,8 +274,7 @@ def _links(pairs: DataFrame, vectors: DataFrame, docs: DataFrame) -> DataFrame:
     pair are read again, once, and only their sets are sent."""
     left = _bounded(pairs, vectors)
     needed = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
-    with arrow_rows(docs.sparkSession, 1000):
-        sets = written(_sets(docs.join(needed, "id", "left_semi")).groupBy("id").agg(F.min("elements").alias("elements")), "elements")
+    sets = _sets(vectors.select("id", "rep").join(needed, "id", "left_semi"), docs)
     free_shuffles(docs.sparkSession)
 
     def verified(some: DataFrame) -> DataFrame:
@@ -311,19 +320,31 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     n_links counts the other classes (different sets) that link with the
     document's own; its exact copies have the same count.  A null or empty text,
     or one without words, has an empty set and is a component of its own.  Rows
-    that repeat an id are one document: a link of either is a link of both.  A
-    null id takes no part and has a null component.  Further columns are left
+    that repeat an id are in one component, the links of each are its own text's.
+    A null id takes no part and has a null component.  Further columns are left
     out; an empty table gives no rows.
     """
+    return _joined(docs, id_col, text_col).select("id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+
+
+def distinct_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text_key (xxhash64 of the text), class of the rows to keep: of texts joined by links those of the
+    smallest id (of several with it, of the smallest class).  Rows of an id are judged each by its text;
+    those without an id are left out."""
+    return _joined(docs, id_col, text_col).where("kept").select("id", "text_key", "class").distinct()
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Each row's id, n, class, text_key, component_id, n_links and whether it is `kept`."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     with arrow_rows(spark, 1000):
         table = written(_classes(rows), "sets")
-    usable = table.where("id is not null and digest is not null")
-    classes = written(usable.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    reps = table.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")
-    vectors = written(reps.groupBy("id").agg(F.max("n").alias("n"), F.max("counts").alias("counts")), "vectors")
-    sizes = written(table.select("id", "n", "digest"), "sizes")
+    usable = table.where("id is not null and class is not null")
+    classes = written(usable.groupBy("class").agg(F.min("id").alias("rep")), "classes")
+    reps = table.join(classes.select(F.col("rep").alias("id"), "class"), ["id", "class"], "left_semi").drop("id").withColumnRenamed("class", "id")
+    vectors = written(reps.groupBy("id").agg(F.max("n").alias("n"), F.max("counts").alias("counts")).join(classes.withColumnRenamed("class", "id"), "id"), "vectors")
+    sizes = written(table.select("id", "n", "class", "text_key"), "sizes")
     keys = reps.select(F.explode("keys").alias("key"), "id")
     blocks = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first")).where("members >= 2")
     members = written(keys.repartition(partitions(table, 4), "key").join(blocks, "key"), "blocks")
@@ -335,16 +356,27 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     more = _links(pairs, vectors, rows)
     links = written(found.union(more), "links")
     drop(members, first, pairs, found, more)
-    # rows that repeat an id with other texts: their classes are one document
-    usable = sizes.where("id is not null and digest is not null")
-    same = usable.select("id", "digest").distinct().join(classes, "digest").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    joined = components(links.union(same))
-    degrees = _degrees(links, joined, vectors, rows)
-    linked = written(classes.join(degrees, classes["rep"] == degrees["id"]).select("digest", "n_links"), "linked")
-    drop(vectors, degrees)
-    out = sizes.join(small_side(linked), "digest", "left").join(joined, "id", "left")
-    n_links = F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0)
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), n_links.cast("long").alias("n_links"))
+    grouped = components(links)
+    # an id's texts are in one component, but a link of one is none of another
+    firsts = written(sizes.where("id is not null and class is not null").groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("z")), "firsts")
+    repeated = firsts.where("a != z").select("id", "a")
+    same = sizes.join(repeated, "id").where("class != a").select("a", F.col("class").alias("b")).distinct()
+    joined = components(links.union(same)) if repeated.limit(1).count() else grouped
+    degrees = _degrees(links, grouped, vectors, rows)
+    of = lambda some, c: some.select(F.col("id").alias("class"), F.col("component").alias(c))
+    known = classes.join(of(grouped, "g"), "class", "left").join(of(joined, "j"), "class", "left").join(degrees.withColumnRenamed("id", "class"), "class", "left")
+    known = written(known.withColumn("g", F.coalesce("g", "class")).withColumn("j", F.coalesce("j", "class")), "known")
+    best = known.groupBy("g").agg(F.min(F.struct("rep", "class")).alias("best"))
+    least = known.groupBy("j").agg(F.min("rep").alias("component_id"))
+    labels = written(known.join(best, "g").join(least, "j").select("class", "rep", "component_id", "n_links", (F.col("best.class") == F.col("class")).alias("best")), "labels")
+    drop(vectors, degrees, known)
+    texts = sizes.where("class is not null").join(labels, "class", "left")
+    others = labels.select(F.col("class").alias("a"), "component_id")
+    blank = sizes.where("class is null").join(firsts.select("id", "a"), "id", "left").join(others, "a", "left").withColumn("rep", F.col("id")).withColumn("best", F.lit(True)).withColumn("n_links", F.lit(0).cast("long"))
+    columns = ["id", "n", "class", "text_key", "component_id", "n_links", "rep", "best"]
+    out = texts.select(columns).union(blank.select(columns))
+    here = F.col("id").isNotNull()
+    return out.select("id", "n", "class", "text_key", F.when(here, F.coalesce("component_id", "id")).alias("component_id"), F.when(here, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), (here & F.col("best") & (F.col("id") == F.col("rep"))).alias("kept"))
 
 
 def _degrees(links: DataFrame, joined: DataFrame, vectors: DataFrame, docs: DataFrame) -> DataFrame:
@@ -356,8 +388,7 @@ def _degrees(links: DataFrame, joined: DataFrame, vectors: DataFrame, docs: Data
     inside = written(held.join(small_side(written(large, "large")), "component").select("id", "component", "cuts"), "inside")
     ends = links.select("a").union(links.select("b")).toDF("id")
     few = ends.join(inside, "id", "left_anti").groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    with arrow_rows(docs.sparkSession, 1000):
-        sets = written(_sets(docs.join(inside.select("id"), "id", "left_semi")).groupBy("id").agg(F.min("elements").alias("elements")), "elements")
+    sets = _sets(vectors.select("id", "rep").join(inside, "id", "left_semi"), docs)
     cut = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
     spread = inside.join(sets, "id").withColumn("own", cut).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     task = spread.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "elements")
@@ -383,7 +414,7 @@ def _tree_round(members: DataFrame, vectors: DataFrame, first: DataFrame) -> Dat
     earliest = open_.groupBy("id").agg(F.min("key").alias("e"))
     marked = written(open_.join(earliest, "id").withColumn("seen", F.when(F.col("e") < F.col("key"), F.col("e")).otherwise(F.lit(0)).cast("long")).drop("e"), "open")
     needed = marked.groupBy("key").agg(F.min("seen").alias("lo"), F.max("seen").alias("hi")).where("lo != hi or lo = 0").select("key")
-    rows = marked.join(needed, "key").join(vectors, "id")
+    rows = marked.join(needed, "key").join(vectors.drop("rep"), "id")
     cuts = F.ceil(F.col("members") / SPLIT).cast("int")
     cut = F.pmod(F.xxhash64("id"), cuts).cast("int")
     spread = rows.withColumn("own", cut).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))

@@ -160,6 +160,17 @@ def test_every_link_of_a_family_counts(spark, monkeypatch):
     assert {r.id: r.n_links for r in ngram_join.join_classes(docs).collect()} == want
 
 
+def test_texts_of_a_repeated_id_are_kept_apart(spark):
+    find_package(spark)
+    one, two, three = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, one), (1, two), (2, two + " end"), (3, three), (4, three), (4, None), (5, one), (5, "own words"), (1, two.replace(" ", "  "))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.join_classes(docs).collect())
+    assert got == [(1, 56, 1, 0), (1, 56, 1, 1), (1, 56, 1, 1), (2, 57, 1, 1), (3, 56, 3, 0), (4, 0, 3, 0), (4, 56, 3, 0), (5, 1, 1, 0), (5, 56, 1, 0)]
+    kept = [(r.doc_id, " ".join((r.text or "").split())) for r in corpus_pipeline.keep_distinct(spark, docs, "").collect()]
+    assert sorted(kept) == [(1, one), (1, two), (3, three), (4, ""), (5, "own words")]
+
+
 def test_cut_blocks_lose_no_pair():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(1, 1 << 62, 60).astype(np.uint64)) for _ in range(20)]

@@ -236,6 +236,16 @@ OPERATIONS: dict[str, tuple[Callable[[Corpus, dict], Streams], set[str], set[str
 }
 
 
+#: Arguments of the contract that the handlers don't apply: a request that gives one is refused.
+NOT_APPLIED: dict[str, set[str]] = {
+    "core:get_outline": {"filter", "include_non_public"},
+    "core:find_references": {"reference_roles", "include_declarations", "filter"},
+    "core:expand_relations": {"filter"},
+    "core:analyze_impact": {"include_tests", "filter"},
+    "core:find_related_tests": {"relationship_scope", "include_fixtures", "filter"},
+}
+
+
 def evaluate(corpus: Corpus, name: str, arguments: dict) -> Streams:
     """The streams of one operation; unknown names and arguments are refused."""
     if name not in OPERATIONS:
@@ -243,4 +253,6 @@ def evaluate(corpus: Corpus, name: str, arguments: dict) -> Streams:
     handler, required, allowed = OPERATIONS[name]
     if required - set(arguments) or set(arguments) - allowed:
         raise QueryError("core:invalid_arguments", f"{name}: {sorted(required - set(arguments) | set(arguments) - allowed)}")
+    if given := sorted(k for k in NOT_APPLIED.get(name, ()) if arguments.get(k) is not None and arguments[k] != {}):
+        raise QueryError("core:required_capability_unsupported", f"{name}: {given}")
     return handler(corpus, arguments)

@@ -107,3 +107,14 @@ def test_pipelines_are_validated():
     with pytest.raises(QueryError):
         pipeline.validate([one, dict(one, id="b")], {"o": {"stage_id": "a", "output": "artifacts"}})
     assert pipeline.normalize({"q": 1})["plan_digest"] == pipeline.normalize({"q": 1, "require_complete": False})["plan_digest"]
+
+
+def test_arguments_that_are_not_applied_are_refused():
+    from stratagraph.plans import operations
+
+    for name, arguments in operations.NOT_APPLIED.items():
+        _, required, allowed = operations.OPERATIONS[name]
+        assert arguments <= allowed
+        for argument in arguments:
+            with pytest.raises(relational.QueryError, match="core:required_capability_unsupported"):
+                operations.evaluate(None, name, dict.fromkeys(required, "x") | {argument: True})

@@ -28,7 +28,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir` of the session.  Only where that is
     unset (a single machine, as in tests) a temporary folder takes its place."""
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if at is None and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoints-"))
     return at or sc.getCheckpointDir()
@@ -61,16 +63,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, most: int):
-    """Arrow batches of at most so many rows for what runs inside: rows of tens of kilobytes by the
-    ten thousand would fill a worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(most))
+def arrow_rows(spark: SparkSession, rows: int, size: int = 16 << 20):
+    """Arrow batches of at most so many rows and about so many bytes for what runs inside: rows of tens
+    of kilobytes by the ten thousand would fill a worker."""
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {name: spark.conf.get(name, None) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def drop(*tables: DataFrame) -> None:

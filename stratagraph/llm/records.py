@@ -24,6 +24,8 @@ shuffled read permutes index rows and takes frames by offset.
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -55,7 +57,7 @@ def frame(record_id: int | None, tokens: np.ndarray) -> bytes:
     return size + _CHECK.pack(masked(size)) + payload + _CHECK.pack(masked(payload))
 
 
-def frames(content: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
+def frames(content) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
     """(offset, frame length, record id, tokens as u32) of each record of a shard.
     ValueError for a damaged frame."""
     at, view = 0, memoryview(content)
@@ -75,9 +77,49 @@ def frames(content: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
         at = end + 5
 
 
-_KEPT: dict = {}
 #: Distinct pieces whose ids a worker keeps; beyond it the memory starts anew.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 1_000_000
+#: New pieces that are kept apart before they are merged into the large level.
+_FRESH = 65_536
+
+
+class Pieces:
+    """Ids of pieces by two 64-bit hashes: arrays in order of the first, in a large and a fresh level."""
+
+    def __init__(self, kind: np.dtype):
+        self.kind = kind
+        self.clear()
+
+    def clear(self) -> None:
+        none = np.zeros(0, np.uint64)
+        empty = none, none, np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, self.kind)
+        self.levels = [empty, empty]
+
+    def __len__(self) -> int:
+        return sum(len(level[0]) for level in self.levels)
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(positions of keys that a level holds, their counts, heads, the level's ids) of each level."""
+        for known, check, counts, heads, table in self.levels:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                held = np.flatnonzero((known[at] == keys) & (check[at] == checks))
+                yield held, counts[at[held]], heads[at[held]], table
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        heads = np.cumsum(counts, dtype=np.int64) - counts
+        level = 0 if len(self.levels[1][0]) + len(keys) > _FRESH else 1
+        parts = self.levels if level == 0 else self.levels[1:]
+        offset, own = 0, []
+        for part in (*parts, (keys, checks, counts.astype(np.int32), heads, ids)):
+            own.append((*part[:3], part[3] + offset, part[4]))
+            offset += len(part[4])
+        known, check, many, at, table = (np.concatenate(x) for x in zip(*own))
+        order = np.argsort(known, kind="stable")
+        self.levels[level] = known[order], check[order], many[order], at[order], table
+        if level == 0:
+            none = np.zeros(0, np.uint64)
+            self.levels[1] = none, none, np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, self.kind)
 
 
 def _space_before() -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +131,8 @@ def _space_before() -> tuple[np.ndarray, np.ndarray]:
 
 
 _SPACE, _TAIL = _space_before()
-_WIDE = (b"\xc2", b"\x9a", b"\x80", b"\x81")
+_LEAD = np.zeros(256, bool)  # bytes before those
+_LEAD[[0xC2, 0x9A, 0x80, 0x81]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK = np.zeros(256, bool)  # ASCII punctuation but for the apostrophe, which may open a contraction
@@ -104,7 +147,7 @@ def _pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     cut = np.zeros(len(buf), bool)
     cut[1:] = space[1:] & ~space[:-1]
     wide = np.zeros(len(buf), bool)
-    wide[2:] = cut[2:] & _TAIL[buf[1:-1]] & np.isin(buf[:-2], (0xC2, 0x9A, 0x80, 0x81))
+    wide[2:] = cut[2:] & _TAIL[buf[1:-1]] & _LEAD[buf[:-2]]
     cut &= ~wide
     cut[1:] |= _MARK[buf[1:]] & _LETTER[buf[:-1]]
     cut[offsets[:-1][offsets[:-1] < len(buf)]] = True
@@ -112,124 +155,169 @@ def _pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.append(starts[1:], len(buf)) if len(starts) else starts
 
 
-def _encoder(path: str):
-    if _KEPT.get("path") != path:
+class Encoder:
+    """A tokenizer and what a worker keeps of it.  special_as_text: strings of special tokens inside
+    of texts are ordinary text; else they give the special id, as the library's default is."""
+
+    def __init__(self, path: str, special_as_text: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core; further threads would hold memory of their own
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        size = tokenizer.get_vocab_size()
-        long = np.fromiter((len(tokenizer.id_to_token(i) or "") for i in range(size)), np.int64, size)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = special_as_text
+        made = json.loads(self.tokenizer.to_str())
+        before = made.get("pre_tokenizer") or {}
+        #: Only this kind parts texts where _pieces() does; others take whole texts.
+        self.in_pieces = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not made.get("normalizer") and made["model"].get("type") == "BPE"
+        added = made.get("added_tokens") or []
+        self.in_pieces = self.in_pieces and all(t["special"] and not t["normalized"] for t in added)
+        self.special = [] if special_as_text else [t["content"].encode() for t in added]
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u4" if size > 1 << 16 else "<u2")
+        self.long = np.fromiter((len(self.tokenizer.id_to_token(i) or "") for i in range(size)), np.int64, size)
+        self.pieces = Pieces(self.kind)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for t in texts for e in self.tokenizer.encode_batch_fast([t], add_special_tokens=False)]
+
+    def encode(self, buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text.  Each distinct piece is encoded once."""
+        data = buf.tobytes()
+        text = lambda d: data[offsets[d] : offsets[d + 1]].decode()
+        docs = len(offsets) - 1
+        if not self.in_pieces:
+            return self.whole([text(d) for d in range(docs)])
+        out = self._in_pieces(buf, offsets)
+        if out is None:
+            return self.whole([text(d) for d in range(docs)])
+        if any(s in data for s in self.special):
+            for d in range(docs):
+                if any(s in data[offsets[d] : offsets[d + 1]] for s in self.special):
+                    out[d] = self.whole([text(d)])[0]
+        return out
+
+    def _in_pieces(self, buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray] | None:
+        """None if two pieces of one hash differ."""
+        starts, ends = _pieces(buf, offsets)
+        if not len(starts):
+            return [np.zeros(0, self.kind)] * (len(offsets) - 1)
+        keys, checks = words.word_hashes(buf, starts, ends), words.word_hashes(buf, starts, ends, 1)
+        distinct, where, which = np.unique(keys, return_index=True, return_inverse=True)
+        if not np.array_equal(checks, checks[where[which]]):
+            return None
+        checks, starts_of, ends_of = checks[where], starts[where], ends[where]
+        counts, heads = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
+        if len(self.pieces) > KEPT_PIECES:
+            self.pieces.clear()
+        tables, offset = [], 0
+        for held, n, at, table in self.pieces.find(distinct, checks):
+            counts[held], heads[held] = n, at + offset
+            tables.append(table)
+            offset += len(table)
+        new = np.flatnonzero(counts < 0)
+        if len(new):
+            new, n, ids = self._fresh(buf, new, starts_of, ends_of)
+            counts[new], heads[new] = n, np.cumsum(n) - n + offset
+            tables.append(ids)
+            self.pieces.add(distinct[new], checks[new], n, ids)
+        counts = counts[which]
+        stream = np.concatenate(tables)[words.ranges(heads[which], counts)]
+        at = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, offsets)]
+        return [stream[at[d] : at[d + 1]] for d in range(len(offsets) - 1)]
+
+    def _fresh(self, buf: np.ndarray, new: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(new in another order, number of ids of each, all ids).  Pieces that begin with white space and
+        end without stand one after another in a text as they do alone, so these go through the tokenizer
+        joined; as each character of a byte-level token is one byte, lengths tell where a piece's ids end."""
+        last, before = buf[ends[new] - 1], buf[np.maximum(ends[new] - 2, 0)]
+        joined = _SPACE[buf[starts[new]]] & (last > 0x20) & ~((last > 127) & _TAIL[last] & _LEAD[before])
+        single, new = new[~joined], new[joined]
+        counts, ids = [], []
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            sizes = ends[part] - starts[part]
+            text = buf[words.ranges(starts[part], sizes)].tobytes().decode()
+            made = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            stops = np.searchsorted(np.cumsum(self.long[made]), np.cumsum(sizes)) + 1
+            counts.append(np.diff(stops, prepend=0))
+            ids.append(made.astype(self.kind))
+        for k in range(0, len(single), 5000):
+            part = [buf[starts[i] : ends[i]].tobytes().decode() for i in single[k : k + 5000]]
+            made = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            counts.append(np.array([len(m) for m in made], np.int64))
+            ids += made
+        return np.concatenate([new, single]), np.concatenate(counts), np.concatenate(ids)
+
+
+_KEPT: dict[tuple[str, bool], Encoder] = {}
+
+
+def _encoder(path: str, special_as_text: bool = False) -> Encoder:
+    if (path, special_as_text) not in _KEPT:
         _KEPT.clear()
-        _KEPT.update(path=path, tokenizer=tokenizer, ids={}, long=long)
-    return _KEPT["tokenizer"], _KEPT["ids"]
-
-
-def _encode_pieces(tokenizer, pieces: list[bytes], kind: np.dtype) -> list[bytes]:
-    """Ids of each piece.  Pieces that begin with white space and end without stand one after
-    another in a text as they do alone, so these go through the tokenizer joined; as each
-    character of a byte-level token is one byte, lengths tell where a piece's ids end."""
-    out: list[bytes] = [b""] * len(pieces)
-    joined = [i for i, x in enumerate(pieces) if x[0] == 0x20 and x[-1] > 0x20 and not (x[-1] > 127 and _TAIL[x[-1]] and x[-2:-1] in _WIDE)]
-    alone = sorted(set(range(len(pieces))) - set(joined))
-    for i, e in zip(alone, tokenizer.encode_batch_fast([pieces[i].decode() for i in alone], add_special_tokens=False)):
-        out[i] = np.array(e.ids, kind).tobytes()
-    for k in range(0, len(joined), 20_000):
-        part = joined[k : k + 20_000]
-        ids = np.array(tokenizer.encode_batch_fast([b"".join(pieces[i] for i in part).decode()], add_special_tokens=False)[0].ids, np.int64)
-        ends = np.cumsum([len(pieces[i]) for i in part])
-        at = np.concatenate([[0], np.searchsorted(np.cumsum(_KEPT["long"][ids]), ends) + 1])
-        ids = ids.astype(kind)
-        for n, i in enumerate(part):
-            out[i] = ids[at[n] : at[n + 1]].tobytes()
-    return out
-
-
-def encode_texts(buf: np.ndarray, offsets: np.ndarray, path: str, end_id: int | None) -> list[np.ndarray]:
-    """Ids of each text, the end id last.  Each distinct piece is encoded once."""
-    tokenizer, kept = _encoder(path)
-    wide = tokenizer.get_vocab_size() > 1 << 16
-    kind = np.dtype("<u4" if wide else "<u2")
-    starts, ends = _pieces(buf, offsets)
-    tail = np.array([] if end_id is None else [end_id], kind)
-    if not len(starts):
-        return [tail] * (len(offsets) - 1)
-    up, down = words._powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(words._BYTE[buf] * up[: len(buf)], out=total[1:])
-    keys = words.mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    distinct, where, which = np.unique(keys, return_index=True, return_inverse=True)
-    if len(kept) > KEPT_PIECES:
-        kept.clear()
-    names = distinct.tolist()
-    new = [i for i, k in enumerate(names) if k not in kept]
-    data = buf.tobytes()
-    fresh = [data[starts[where[i]] : ends[where[i]]] for i in new]
-    for i, ids in zip(new, _encode_pieces(tokenizer, fresh, kind)):
-        kept[names[i]] = ids
-    ids = [kept[k] for k in names]
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // kind.itemsize
-    table = np.frombuffer(b"".join(ids), kind)
-    heads = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    counts = lengths[which]
-    stream = table[words.ranges(heads[which], counts)]
-    at = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, offsets)]
-    return [np.concatenate([stream[at[d] : at[d + 1]], tail]) for d in range(len(offsets) - 1)]
-
-
-def write_records(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, shard_mb: int = 16) -> None:
+        _KEPT[path, special_as_text] = Encoder(path, special_as_text)
+    return _KEPT[path, special_as_text]
+
+
+def write_records(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, shard_mb: int = 8, special_as_text: bool = False, keep_order: bool = False) -> None:
     """Encode every text and write shards to path/shards and the index to path/index.
 
     A null text counts as empty (its record holds the end id alone).  Records
-    ascend by id (null ids first), ties by text; repeated rows stay.  Further
-    columns are left out.  An empty table gives an empty index.
+    ascend by id (null ids first), ties by text; repeated rows stay.  With
+    keep_order they have the order of docs instead, rows and partitions as they
+    come: that of a table sorted or shuffled before.  Further columns are left
+    out.  An empty table gives an empty index.
+
+    Special tokens' strings inside of texts give their special ids, as the
+    library's default is; special_as_text encodes them as ordinary text.  Texts
+    are parted into pieces only for byte-level BPE; other tokenizers take them
+    whole.  shard_mb: input of a shard, which is read back as one.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(tokenizer, special_as_text)
+        tail = np.array([] if end_id is None else [end_id], encoder.kind)
         for b in batches:
-            ids = words.column(b, "id").to_pylist()
+            ids = words.column(b, "id")
             buf, offsets = words.text_bytes(words.column(b, "text"))
-            for i, j in words.slices(offsets):
-                tokens = encode_texts(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tokenizer, end_id)
-                yield pa.RecordBatch.from_arrays([pa.array([frame(k, t) for k, t in zip(ids[i:j], tokens)], pa.binary())], ["value"])
+            for i, j in words.slices(offsets, 2_000_000):
+                tokens = encoder.encode(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([pa.array([frame(k, np.concatenate([t, tail])) for k, t in zip(ids[i:j].to_pylist(), tokens)], pa.binary())], ["value"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = rows.repartitionByRange(partitions(docs, shard_mb), "id", F.xxhash64("text")).sortWithinPartitions("id", "text").mapInArrow(encode, "value binary")
-    with arrow_rows(docs.sparkSession, 1000):
-        made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/shards")
+    if not keep_order:
+        rows = rows.repartitionByRange(partitions(docs, shard_mb), "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
+    with arrow_rows(docs.sparkSession, 1000, 4 << 20):
+        rows.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/shards")
 
-    def index(shard: str, content: bytes) -> Iterator[dict]:
-        for n, (at, length, record_id, tokens) in enumerate(frames(content)):
-            yield {"shard": shard, "position": n, "offset": at, "length": length, "id": record_id, "n_tokens": len(tokens)}
+    def index(content: bytes) -> list:
+        found = [(at, length, record_id, len(tokens)) for at, length, record_id, tokens in frames(content)]
+        return [range(len(found)), *(zip(*found) if found else ((),) * 4)]
 
-    per_shard(docs.sparkSession, path, index, INDEX).write.parquet(f"{path}/index")
+    with arrow_rows(docs.sparkSession, 1):
+        per_shard(docs.sparkSession, path, index, INDEX).write.parquet(f"{path}/index")
 
 
 INDEX = "shard string, position long, offset long, length long, id long, n_tokens long"
 
 
-def per_shard(spark: SparkSession, path: str, rows: Callable[[str, bytes], Iterator[dict]], schema: str) -> DataFrame:
-    """rows(shard, content) of every shard file; Spark reads the files, one in memory at a time."""
-    from pyspark.sql.types import StructType
-
-    fields = StructType.fromDDL(schema)
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
-    target = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in fields])
+def per_shard(spark: SparkSession, path: str, columns: Callable[[bytes], list], schema: str) -> DataFrame:
+    """shard and the columns that columns(content) makes of every shard file, which Spark reads.  A task's
+    memory holds an Arrow batch of shards: one, or as many as spark.sql.execution.arrow.maxBytesPerBatch has."""
+    names = [x.split(" ") for x in schema.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64()}
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, content in zip(words.column(b, "shard"), words.column(b, "content")):
-                made: list[dict] = []
-                for row in rows(shard.as_py(), content.as_py()):
-                    made.append(row)
-                    if len(made) == 4096:
-                        yield pa.RecordBatch.from_pylist(made, schema=target)
-                        made = []
-                yield pa.RecordBatch.from_pylist(made, schema=target)
+            shards, contents = words.column(b, "shard").to_pylist(), words.column(b, "content")
+            for k, shard in enumerate(shards):
+                made = columns(memoryview(contents[k].as_buffer()))
+                n = len(made[0])
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.string()), *(pa.array(list(x), kinds[kind]) for x, (_, kind) in zip(made, names[1:]))], [name for name, _ in names])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards")
     files = files.select(F.regexp_extract("path", r"part-(\d+)", 1).alias("shard"), "content")
-    return files.mapInArrow(take, fields)
+    return files.mapInArrow(take, schema)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -246,11 +334,12 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """id, start, n_tokens, ids_crc32 of every record, from the files (each checksum verified)."""
 
-    def digest(shard: str, content: bytes) -> Iterator[dict]:
-        start = 0
+    def digest(content: bytes) -> list:
+        found, start = [], 0
         for _, _, record_id, tokens in frames(content):
-            yield {"shard": shard, "id": record_id, "local": start, "n_tokens": len(tokens), "ids_crc32": zlib.crc32(tokens.astype("<u4").tobytes())}
+            found.append((record_id, start, len(tokens), zlib.crc32(tokens)))
             start += len(tokens)
+        return list(zip(*found)) if found else [(), (), (), ()]
 
     rows = per_shard(spark, path, digest, "shard string, id long, local long, n_tokens long, ids_crc32 long")
     return rows.join(shard_starts(spark, path), "shard").select("id", (F.col("shard_start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")

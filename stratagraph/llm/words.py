@@ -10,11 +10,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 _U64 = np.uint64
-#: Odd multiplier of the rolling byte hash and its inverse modulo 2**64.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Words of more bytes are hashed by xxhash, one by one.
+_LONG = 64
 
 
 def _class(separators) -> np.ndarray:
@@ -42,9 +42,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=_U64) * _U64(0xD6E8FEB86659FD93))
-
-
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -91,31 +88,29 @@ def split(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.n
     return low, starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-_POWERS = np.ones(1, _U64), np.ones(1, _U64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS
-    if len(_POWERS[0]) < n:
-        made = []
-        for base in (_BASE, _INVERSE):
-            p = np.full(n, base, _U64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        if n > 8_000_000:
-            return made[0], made[1]
-        _POWERS = made[0], made[1]
-    return _POWERS
-
-
-def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, by differences of a running polynomial."""
+def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: its length, then eight bytes a round are mixed in; of
+    words of more than _LONG bytes xxhash's."""
+    sizes = (ends - starts).astype(np.int64)
+    out = mix(sizes.astype(_U64) + _U64((0xD6E8FEB86659FD93 * (seed + 1)) & (1 << 64) - 1))
     if not len(starts):
-        return np.zeros(0, _U64)
-    up, down = _powers(len(low) + 1)
-    total = np.zeros(len(low) + 1, _U64)
-    np.cumsum(_BYTE[low] * up[: len(low)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U64))
+        return out
+    data = np.concatenate([low, np.zeros(8, np.uint8)]).tobytes()
+    eights = np.ndarray((len(low) + 1,), "<u8", data, 0, (1,))
+    live = np.flatnonzero((sizes > 0) & (sizes <= _LONG))
+    done = 0
+    while live.size:
+        chunk = eights[starts[live] + done]
+        left = sizes[live] - done
+        part = left < 8
+        chunk[part] &= (_U64(1) << (left[part].astype(_U64) * _U64(8))) - _U64(1)
+        out[live] = mix(out[live] * _U64(0x9E3779B97F4A7C15) + chunk)
+        done += 8
+        live = live[left > 8]
+    view = memoryview(data)
+    for k in np.flatnonzero(sizes > _LONG):
+        out[k] = xxhash.xxh3_64_intdigest(view[starts[k] : ends[k]], seed)
+    return out
 
 
 def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -381,3 +381,47 @@ def test_stages_keep_columns_and_corners(spark, corner, empty, tmp_path):
             assert kept.columns == docs.columns and kept.count() <= 2 * docs.count() + 5
     kept = corpus_pipeline.keep_distinct(spark, corner, str(tmp_path))
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 5, 7, 9, 10, 11, 13]
+
+
+def test_special_tokens_and_other_tokenizers_take_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "don't x<|endoftext|>y", "", " wide　 space\x85", "a\n\n b\t.c..d", "x" * 300, "!!", " \n"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        for as_text in (False, True):
+            tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+            tokenizer.encode_special_tokens = as_text
+            encoder = records.Encoder(public_tokenizers.path(name), as_text)
+            buf, offsets = words.text_bytes(pa.array(texts))
+            for _ in range(2):  # the second time from what is kept
+                assert [x.tolist() for x in encoder.encode(buf, offsets)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_kept_pieces_are_found_in_both_levels(monkeypatch):
+    monkeypatch.setattr(records, "_FRESH", 8)
+    kept, rng, want = records.Pieces(np.dtype("<u2")), np.random.default_rng(2), {}
+    for _ in range(6):
+        keys = np.setdiff1d(rng.integers(1, 1 << 60, 5).astype(np.uint64), np.array(list(want), np.uint64))
+        counts = rng.integers(1, 4, len(keys))
+        ids = rng.integers(0, 9, counts.sum()).astype("<u2")
+        kept.add(keys, keys + np.uint64(1), counts, ids)
+        want |= {int(k): x.tolist() for k, x in zip(keys, np.split(ids, np.cumsum(counts)[:-1]))}
+    keys = np.array(sorted(want), np.uint64)
+    got = {int(keys[k]): table[h : h + n].tolist() for held, many, heads, table in kept.find(keys, keys + np.uint64(1)) for k, n, h in zip(held, many, heads)}
+    assert got == want and len(kept) == len(want)
+    assert not any(len(held) for held, *_ in kept.find(keys, keys))
+
+
+def test_word_hashes_tell_periodic_words_apart():
+    thue = [0]
+    while len(thue) < 4096:
+        thue += [1 - x for x in thue]
+    texts = ["".join("ab"[x ^ flip] for x in thue[:n]) for n in (8, 40, 64, 65, 1024, 2048, 4096) for flip in (0, 1)]
+    texts += ["a", "aa", "a" * 8, "a" * 9, "a" * 16, "b", "ab", "ba"]
+    buf, offsets = words.text_bytes(pa.array([" ".join(texts)]))
+    low, starts, ends, _ = words.split(buf, offsets, words.SPACED)
+    assert len(set(words.word_hashes(low, starts, ends).tolist())) == len(texts)
+    assert not set(words.word_hashes(low, starts, ends).tolist()) & set(words.word_hashes(low, starts, ends, 1).tolist())
+    one = np.zeros(1, np.int64)
+    assert [words.word_hashes(np.frombuffer(t.encode(), np.uint8), one, one + len(t))[0] for t in texts] == words.word_hashes(low, starts, ends).tolist()

@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join by a count-vector R-tree.
+"""N-gram Jaccard self-join by count-vector R-trees.
 
 A document is the set of its distinct word shingles (64-bit hashes).  Two sets
 link when their Jaccard similarity reaches t = 3/4; links make components.
@@ -8,24 +8,21 @@ link when their Jaccard similarity reaches t = 3/4; links make components.
 2. Classes meet in blocks.  An R-tree alone would compare all with all: hashed
    counts of unrelated texts lie so near one another that boxes prune nothing.
    So the top of the tree is cut by elements: if J >= t, the first
-   n - ceil(t*n) + 1 elements of either set, in one common order (the hashes'),
-   hold a common one.  Each of these is a block's key.
-3. Star round: each block pairs its members with its smallest id only.  Pairs,
-   made distinct over blocks, are bounded by their count vectors (elements
+   n - ceil(t*n) + 1 elements of either set, in one common order, hold a common
+   one.  Each of these is a block's key.  The order puts elements that are
+   frequent in a sample of documents last, so that passages which many documents
+   share make few and small blocks; any order gives the same links.
+3. Pairs of small blocks are bounded by their sizes and count vectors (elements
    hashed into GROUPS groups; the summed minima must reach the overlap that t
-   needs) and the rest verified on the sets.  Links found make components; in a
-   family of thousands of copies this joins nearly all, in as many tests as
-   there are copies.
-4. Tree round: blocks that still hold several components become R-trees of
-   count vectors (packed by size).  A search descends into boxes whose sizes fit
-   and whose bound, the summed minima of the query's counts and the box's upper
-   corner, suffices, and keeps points of other components.  Those pairs are
-   verified as well.  Blocks of more than SPLIT members are cut, and each pair
-   of cuts is a task: no task holds an unbounded block, and no pair is lost.
-5. Count round: the links of 3 and 4 only have to join the components.  All
-   links lie inside of components, so each component of three classes or more
-   counts the overlaps of all its pairs of sets (a product of incidence
-   matrices).  Components are cut like blocks; tasks return counts, not pairs.
+   needs).  Blocks of more than SMALL members become R-trees of count vectors: a
+   search descends into boxes whose sizes fit and whose bound, the summed minima
+   of the query's counts and the box's upper corner, suffices.  What passes only
+   has to join candidate components, so a member is not searched for by those
+   that are in one group with it.
+4. All links lie inside of candidate components.  Each of them becomes an R-tree
+   once more, whose surviving pairs are verified on the sets and counted.
+   Blocks and components of many members are cut, and each pair of cuts is a
+   task: no task holds an unbounded group, and no pair is lost.
 """
 
 from __future__ import annotations
@@ -37,19 +34,26 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType
+from pyspark.sql.types import LongType
 
 from stratagraph.llm import words
 from stratagraph.llm.common import arrow_rows, drop, free_shuffles, partitions, small_side, written
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 3, 4  # 100 * both >= 75 * all
 GROUPS, FANOUT = 256, 16
-#: Members of a block that one task takes; larger blocks are cut and cuts are paired.
+#: Documents whose elements are counted for the common order, times that make an element frequent, and
+#: frequent elements that are kept (the most frequent ones).  They shape the blocks, not the results.
+SAMPLE, OFTEN, COMMON = 10_000, 3, 500_000
+#: Members of a block whose pairs are all taken.
+SMALL = 32
+#: Members of a larger block that one task takes; blocks beyond are cut and cuts are paired.
 SPLIT = 2000
-#: Members of a component, and elements of their sets, in one of the cuts that the count round pairs.
-CUT, CUT_ELEMENTS = 1000, 2_000_000
-#: Distinct elements that one product of incidence matrices takes.
-COLUMNS = 2048
+#: Members of a component, and elements of their sets, in one cut.
+CUT, CUT_ELEMENTS = 2000, 2_000_000
+#: Distinct elements that one product of incidence matrices takes, and surviving pairs a member from which on products verify.
+COLUMNS, DENSE = 2048, 4
+#: Ids of classes whose texts are read again that are broadcast at most (8 bytes each).
+REREAD = 1_000_000
 
 
 # ---------------------------------------------------------------- sets
@@ -71,9 +75,16 @@ def least_common(n):
     return -(-NUMERATOR * n // DENOMINATOR)
 
 
-def prefix(elements: np.ndarray) -> np.ndarray:
-    """The elements that stand for a (sorted) set in the blocks."""
-    return elements[: len(elements) - least_common(len(elements)) + 1] if len(elements) else elements
+def prefix(elements: np.ndarray, common: np.ndarray | None = None, often: np.ndarray | None = None) -> np.ndarray:
+    """The elements that stand for a (sorted) set in the blocks: the first ones in the order of how `often`
+    an element is among `common` (sorted) ones, others before, equals by hash."""
+    n = len(elements) - least_common(len(elements)) + 1 if len(elements) else 0
+    if n and common is not None and len(common):
+        at = np.minimum(np.searchsorted(common, elements), len(common) - 1)
+        held = common[at] == elements
+        if held.any():
+            return elements[np.argsort(np.where(held, often[at], 0), kind="stable")[:n]]
+    return elements[:n]
 
 
 #: Marks the counts of a set with more than 254 elements in a group: it has no bound.
@@ -97,61 +108,45 @@ def may_link(bound, a, b):
     return (NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (a + b)
 
 
-def narrow(elements: np.ndarray) -> bytes:
-    """A set's elements in six bytes each (their upper 48 bits), as they are sent for verification."""
-    return (elements >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def widened(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
-def links(a: np.ndarray, b: np.ndarray) -> bool:
-    """Of two sorted sets: whether J >= t, exactly."""
-    both = int(np.isin(a, b, assume_unique=True, kind="sort").sum()) if len(a) and len(b) else 0
-    return both > 0 and DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
-
-
-def link_counts(sets: list[np.ndarray], side: np.ndarray | None = None) -> np.ndarray:
-    """Of each set, how many of the others link with it (as links() has it); with sides 0 and 1,
-    how many of the other side."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    out = np.zeros(len(sets), np.int64)
-    rows = np.arange(len(sets))
-    left, right = (rows, rows) if side is None else (rows[side == 0], rows[side == 1])
-    if not len(left) or not len(right) or not sizes.sum():
-        return out
-    place = np.empty(len(sets), np.int64)
-    place[right] = np.arange(len(right))
-    place[left] = np.arange(len(left))
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(rows, sizes)
-    here = np.ones(len(owner), bool) if side is None else side[owner] == 0
-    there = here if side is None else ~here
-    on_left = np.bincount(column[here], minlength=len(values))
-    shared = on_left > 1 if side is None else (on_left > 0) & (np.bincount(column[there], minlength=len(values)) > 0)
-    number = np.cumsum(shared) - 1  # columns of one set, or of one side, overlap with nothing
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of each of the left with each of the right sets, by products of
+    incidence matrices."""
     both = np.zeros((len(left), len(right)), np.int64)
-    held = np.flatnonzero(shared[column])
-    held = held[np.argsort(column[held], kind="stable")]
-    columns = number[column[held]]
-    for at in range(0, int(shared.sum()), COLUMNS):
-        part = held[np.searchsorted(columns, at) : np.searchsorted(columns, at + COLUMNS)]
-        matrices = []
-        for some, n in ((here, len(left)), (there, len(right))):
-            x = part[some[part]]
-            m = np.zeros((n, COLUMNS), np.float32)
-            m[place[owner[x]], number[column[x]] - at] = 1
-            matrices.append(m)
-        both += np.rint(matrices[0] @ matrices[1].T).astype(np.int64)
-    linked = (both > 0) & ((NUMERATOR + DENOMINATOR) * both >= NUMERATOR * (sizes[left][:, None] + sizes[right][None, :]))
-    if side is None:
-        np.fill_diagonal(linked, False)
-        return linked.sum(1)
-    out[left], out[right] = linked.sum(1), linked.sum(0)
-    return out
+    parts = []
+    for side in (left, right):
+        size = np.array([len(sets[k]) for k in side], np.int64)
+        parts.append((np.concatenate([sets[k] for k in side]) if size.sum() else np.zeros(0, np.uint64), np.repeat(np.arange(len(side)), size)))
+    shared = np.intersect1d(np.unique(parts[0][0]), np.unique(parts[1][0]), assume_unique=True)
+    if not len(shared):
+        return both
+    held = []
+    for values, owner in parts:
+        at = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        some = np.flatnonzero(shared[at] == values)
+        order = some[np.argsort(at[some], kind="stable")]
+        held.append((at[order], owner[order]))
+    for begin in range(0, len(shared), COLUMNS):
+        made = []
+        for (column, owner), n in zip(held, both.shape):
+            some = slice(*np.searchsorted(column, (begin, begin + COLUMNS)))
+            m = np.zeros((n, min(COLUMNS, len(shared) - begin)), np.float32)
+            m[owner[some], column[some] - begin] = 1
+            made.append(m)
+        both += np.rint(made[0] @ made[1].T).astype(np.int64)
+    return both
+
+
+def linked_pairs(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Of pairs (rows of two positions) of sorted sets, those with J >= t, exactly."""
+    if not len(pairs):
+        return pairs
+    sizes = np.array([len(s) for s in sets], np.int64)
+    left, right = np.unique(pairs[:, 0]), np.unique(pairs[:, 1])
+    if len(pairs) > DENSE * (len(left) + len(right)):
+        both = overlaps(sets, left, right)[np.searchsorted(left, pairs[:, 0]), np.searchsorted(right, pairs[:, 1])]
+    else:
+        both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in pairs], np.int64)
+    return pairs[(both > 0) & ((NUMERATOR + DENOMINATOR) * both >= NUMERATOR * (sizes[pairs[:, 0]] + sizes[pairs[:, 1]]))]
 
 
 # ---------------------------------------------------------------- R-tree
@@ -184,29 +179,108 @@ class Tree:
         return self.order[now]
 
 
-def block_pairs(ids: np.ndarray, components: np.ndarray, seen: np.ndarray, sizes: np.ndarray, points: np.ndarray, cut: np.ndarray | None) -> list[tuple[int, int]]:
-    """Pairs of different components that may link; with cuts 0 and 1, those across the two.
-
-    seen: of each member the earlier block (its first) that it shares with all of the same number, 0 for
-    none: such pairs are that block's.  The largest of these groups, or the largest component, needs no
-    searches of its own, as all others search for its members."""
-    sides = np.zeros(len(ids), np.int8) if cut is None else cut
-    largest = []
-    for of, some in ((seen, seen != 0), (components, np.ones(len(ids), bool))):
-        values, n = np.unique(of[some], return_counts=True)
-        largest.append((of == values[n.argmax()]) & some if len(values) else some)
-    quiet = max(largest, key=np.sum) if cut is None else np.zeros(len(ids), bool)
-    held = np.flatnonzero(sides == 0)
-    tree = Tree(points[held], sizes[held])
+def may_pairs(sizes: np.ndarray, points: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of positions that may link, the smaller first; with sides, (one of side 0, one of side 1)."""
+    left = np.arange(len(sizes)) if side is None else np.flatnonzero(side == 0)
+    tree = Tree(points[left], sizes[left])
+    found = [np.zeros((0, 2), np.int64)]
+    for i in left if side is None else np.flatnonzero(side == 1):
+        near = left[tree.search(points[i], int(sizes[i]))]
+        near = near[near < i] if side is None else near
+        found.append(np.stack([near, np.full(len(near), i)], 1))
+    return np.concatenate(found)
+
+
+class Groups:
+    """Groups of joined positions."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def join(self, members: np.ndarray) -> None:
+        labels = np.unique(self.of[members])
+        if len(labels) > 1:
+            self.of[np.isin(self.of, labels)] = labels[0]
+
+
+def block_edges(ids: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that join whatever of a block's members (of the two sides) may link, directly or over others.
+    First leaders take all that may link with them; then members outside of the largest group search."""
+    n = len(ids)
+    groups, tree = Groups(n), Tree(points, sizes)
+    asked = np.zeros(n, bool)
+
+    def search(i: int) -> None:
+        near = tree.search(points[i], int(sizes[i]))
+        near = near[near != i] if side is None else near[side[near] != side[i]]
+        asked[i] = True
+        if len(near):
+            groups.join(np.append(near, i))
+
+    for i in np.argsort(sizes, kind="stable"):
+        if groups.of[i] == i and (groups.of == i).sum() == 1:
+            search(int(i))
+    labels, many = np.unique(groups.of, return_counts=True)
+    for i in np.flatnonzero((groups.of != labels[many.argmax()]) & ~asked):
+        search(int(i))
+    first: dict[int, int] = {}
     out = []
-    for i in np.flatnonzero(~quiet if cut is None else sides == 1):
-        near = held[tree.search(points[i], int(sizes[i]))]
-        near = near[(components[near] != components[i]) & ((seen[near] != seen[i]) | (seen[i] == 0))]
-        near = near[quiet[near] | (ids[near] < ids[i])] if cut is None else near[ids[near] != ids[i]]
-        out += [(min(int(ids[i]), int(j)), max(int(ids[i]), int(j))) for j in ids[near]]
+    for k in np.argsort(ids, kind="stable"):
+        a = first.setdefault(int(groups.of[k]), int(ids[k]))
+        if a != ids[k]:
+            out.append((a, int(ids[k])))
+    return out
+
+
+# ---------------------------------------------------------------- blocks of keys
+
+
+def size_code(n: int) -> int:
+    """A set's size in 16 bits, on a scale of logarithms: codes of sizes with a ratio of 4/3 differ by STEP at most."""
+    return int(np.log2(n) * 2048)
+
+
+STEP = int(np.ceil(np.log2(DENOMINATOR / NUMERATOR) * 2048)) + 1
+
+
+def entries(keys: np.ndarray, number: int, size: int) -> np.ndarray:
+    """Rows (48 bits of the key and the size's code, class) of the keys of a class."""
+    out = np.empty((len(keys), 2), np.uint64)
+    out[:, 0] = keys << np.uint64(16) | np.uint64(size_code(size))
+    out[:, 1] = np.int64(number).astype(np.uint64)
     return out
 
 
+def meet(held: np.ndarray, small: int = SMALL) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Of entries of one part of the keys: distinct pairs (a < b) of classes in small blocks whose sizes
+    fit, and (number, classes) of larger blocks.  Blocks of the same members count once."""
+    key, code, number = held[:, 0] >> np.uint64(16), (held[:, 0] & np.uint64(0xFFFF)).astype(np.int64), held[:, 1].astype(np.int64)
+    order = np.lexsort((number, key))
+    key, code, number = key[order], code[order], number[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (number[1:] != number[:-1])
+    key, code, number = key[new], code[new], number[new]
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    many = np.diff(np.append(heads, len(key)))
+    heads, many = heads[many > 1], many[many > 1]
+    pairs = [np.zeros((0, 2), np.int64)]
+    larger = []
+    if len(heads):
+        marks = words.mix(number.view(np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(marks, dtype=np.uint64)])
+        mark = words.mix(sums[heads + many] - sums[heads]) ^ many.astype(np.uint64)
+        _, one = np.unique(mark, return_index=True)
+        heads, many, mark = heads[one], many[one], mark[one]
+    for m in np.unique(many[many <= small]):
+        at = heads[many == m][:, None] + np.arange(m)
+        i, j = np.triu_indices(m, 1)
+        fit = np.abs(code[at[:, i]] - code[at[:, j]]) <= STEP
+        pairs.append(np.stack([number[at[:, i]][fit], number[at[:, j]][fit]], 1))
+    for h, m, x in zip(heads[many > small], many[many > small], mark[many > small] if len(heads) else ()):
+        larger.append((int(x.astype(np.int64)), number[h : h + m]))
+    return np.unique(np.concatenate(pairs), axis=0), larger
+
+
 # ---------------------------------------------------------------- stages
 
 
@@ -215,41 +289,120 @@ def _number(elements: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(elements.tobytes()) - (1 << 63) if len(elements) else None
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """id, n, class, text_key, counts, keys of each document: one pass, no shuffle."""
+def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of batches and the sets of their texts."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            b = whole.slice(at, 500)
+            yield b, list(document_sets(words.column(b, "text")))
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """id, n, class, text_key of each document: one pass, no shuffle."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                sets = list(document_sets(words.column(b, "text")))
-                yield pa.RecordBatch.from_arrays(
-                    [words.column(b, "id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_number(s) for s in sets], pa.int64()), words.column(b, "text_key"), pa.array([counts(s).tobytes() for s in sets], pa.binary()), pa.array([prefix(s).view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    ["id", "n", "class", "text_key", "counts", "keys"],
-                )
+        for b, sets in _each_set(batches):
+            yield pa.RecordBatch.from_arrays([words.column(b, "id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_number(s) for s in sets], pa.int64()), words.column(b, "text_key")], ["id", "n", "class", "text_key"])
 
-    return docs.mapInArrow(take, "id long, n long, class long, text_key long, counts binary, keys array<long>")
+    return rows.mapInArrow(take, "id long, n long, class long, text_key long")
 
 
-def _sets(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, elements of classes (id, rep), from texts of the documents `rep`."""
+def _of_classes(rows: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
+    """The rows of the ids `rep` of chosen classes: a broadcast of ids, if they are `most` at most, so that
+    texts aren't shuffled."""
+    return rows.join(small_side(chosen.select(F.col("rep").alias("id")).distinct(), most), "id", "left_semi").select("id", "text")
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                sets = list(document_sets(words.column(b, "text")))
-                yield pa.RecordBatch.from_arrays([pa.array([_number(s) for s in sets], pa.int64()), pa.array([narrow(s) for s in sets], pa.binary())], ["id", "elements"])
 
-    some = docs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "text")
-    with arrow_rows(docs.sparkSession, 1000):
-        made = some.mapInArrow(take, "id long, elements binary").join(classes.select("id"), "id", "left_semi")
-        return written(made.groupBy("id").agg(F.min("elements").alias("elements")), "elements")
+def _frequent(rows: DataFrame, classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, how often) of the elements that OFTEN of SAMPLE classes have, COMMON at most."""
+    spark = rows.sparkSession
+    chosen = written(classes.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("class", "rep"), "sample")
+    parts = 64
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _each_set(batches):
+            every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+            cuts = np.searchsorted(every >> np.uint64(58), np.arange(parts + 1, dtype=np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([every[cuts[k] : cuts[k + 1]].tobytes() for k in range(parts)], pa.binary())], ["part", "data"])
 
+    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        values, n = np.unique(np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint64), return_counts=True)
+        return pa.table({"element": pa.array(values[n >= OFTEN].view(np.int64)), "n": pa.array(n[n >= OFTEN], pa.int64())})
+
+    with arrow_rows(spark, 1000):
+        found = _of_classes(rows, chosen, SAMPLE).mapInArrow(spread, "part int, data binary").groupBy("part").applyInArrow(count, "element long, n long")
+        table = found.orderBy(F.desc("n"), "element").limit(COMMON).toArrow()
+    elements = table.column("element").to_numpy().view(np.uint64)
+    order = np.argsort(elements)
+    drop(chosen)
+    return elements[order], table.column("n").to_numpy()[order].astype(np.int32)
+
+
+def _meetings(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """block, a, b: pairs of classes of small blocks (no block), and members a of larger blocks."""
+    spark = rows.sparkSession
+    common = spark.sparkContext.broadcast(_frequent(rows, classes))
+    parts = partitions(rows, 4)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # copies in this task's rows
+        kept: list[np.ndarray] = []
+        tops: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            every, part = np.concatenate(kept), np.concatenate(tops)
+            order = np.argsort(part, kind="stable")
+            every, part = every[order], part[order]
+            names = np.unique(part)
+            cuts = np.append(np.searchsorted(part, names), len(part))
+            kept.clear(), tops.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([every[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["part", "data"])
+
+        for b, sets in _each_set(batches):
+            for known, s in zip(words.column(b, "id").is_valid().to_pylist(), sets):
+                number = _number(s)
+                if number is None or not known or number in sent:
+                    continue
+                sent.add(number)
+                keys = prefix(s, *common.value)
+                kept.append(entries(keys, number, len(s)))
+                tops.append((words.mix(keys) % np.uint64(parts)).astype(np.int32))
+            if sum(map(len, kept)) > 200_000:
+                yield flush()
+        if kept:
+            yield flush()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for b in batches:
+            for part, data in zip(words.column(b, "part").to_pylist(), words.column(b, "data").to_pylist()):
+                held.setdefault(part, []).append(data)
+        while held:
+            pairs, larger = meet(np.frombuffer(b"".join(held.popitem()[1]), np.uint64).reshape(-1, 2))
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["block", "a", "b"])
+            for block, members in larger:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), block)), pa.array(members), pa.nulls(len(members), pa.int64())], ["block", "a", "b"])
+
+    with arrow_rows(spark, 1000):
+        made = rows.select("id", "text").mapInArrow(spread, "part int, data binary").repartition(parts, "part").mapInArrow(gather, "block long, a long, b long")
+        out = written(made.distinct(), "meetings")
+    common.unpersist()
+    free_shuffles(spark)
+    return out
 
-@F.arrow_udf(BooleanType())
-def _verified(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([links(widened(x.as_py()), widened(y.as_py())) for x, y in zip(a, b)], pa.bool_())
+
+def _sets(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """class, n, counts, elements of classes (class, rep), from texts of the documents `rep`; a class is there
+    as often as its text repeats."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _each_set(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([_number(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([counts(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "n", "counts", "elements"])
+
+    with arrow_rows(rows.sparkSession, 1000):
+        made = _of_classes(rows, classes, REREAD).mapInArrow(take, "class long, n long, counts binary, elements binary")
+        return written(made.join(small_side(classes.select("class"), REREAD), "class", "left_semi"), "elements")
 
 
 @F.arrow_udf(LongType())
@@ -259,40 +412,85 @@ def _bound(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """a, b, bound of the pairs whose sizes fit and whose counts allow a link."""
-    of = lambda c: vectors.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
+    """a, b of the pairs whose sizes fit and whose counts allow a link."""
+    of = lambda c: vectors.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
     near = F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR
-    # sizes alone first: they are a byte or two, counts are GROUPS
-    sized = pairs.join(of("a").drop("ca"), "a").join(of("b").drop("cb"), "b").where(near)
-    counted = sized.join(of("a").drop("na"), "a").join(of("b").drop("nb"), "b").withColumn("bound", _bound("ca", "cb"))
-    return written(counted.where((NUMERATOR + DENOMINATOR) * F.col("bound") >= NUMERATOR * (F.col("na") + F.col("nb"))).select("a", "b", (F.col("bound") / (F.col("na") + F.col("nb"))).alias("bound")), "bounded")
-
-
-def _links(pairs: DataFrame, vectors: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b), links enough to join all that link: each b is first tested against
-    its likeliest partner, and then only pairs that are still apart are.  Documents in a bounded
-    pair are read again, once, and only their sets are sent."""
-    left = _bounded(pairs, vectors)
-    needed = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
-    sets = _sets(vectors.select("id", "rep").join(needed, "id", "left_semi"), docs)
-    free_shuffles(docs.sparkSession)
-
-    def verified(some: DataFrame) -> DataFrame:
-        of = lambda c: sets.select(F.col("id").alias(c), F.col("elements").alias(f"e{c}"))
-        with arrow_rows(docs.sparkSession, 200):
-            return written(some.select("a", "b").join(of("b"), "b").join(of("a"), "a").where(_verified("ea", "eb")).select("a", "b"), "links")
-
-    likeliest = left.groupBy("b").agg(F.max(F.struct("bound", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    found = verified(likeliest)
-    joined = components(found)
-    of = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"j{c}"))
-    apart = left.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ja", "a") != F.coalesce("jb", "b"))
-    more = verified(apart.join(likeliest, ["a", "b"], "left_anti"))
-    out = written(found.union(more), "found")
-    drop(left, sets, found, joined, more)
+    counted = pairs.join(of("a"), "a").join(of("b"), "b").where(near).withColumn("bound", _bound("ca", "cb"))
+    return counted.where((NUMERATOR + DENOMINATOR) * F.col("bound") >= NUMERATOR * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _cut(members: DataFrame, group: str, cuts) -> DataFrame:
+    """The members once for each pair (i, j) of their group's cuts that holds them, and their side in it."""
+    own = F.pmod(F.xxhash64("class"), cuts).cast("int")
+    spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    ends = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side")
+    return spread.select(group, *ends, *(c for c in members.columns if c != group))
+
+
+def _table(table: pa.Table) -> tuple[np.ndarray, pa.Table]:
+    """(numbers, rows) of a task's classes, each once."""
+    number = table.column("class").to_numpy()
+    _, one = np.unique(number, return_index=True)
+    return number[one], table.take(pa.array(one))
+
+
+def _points(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return table.column("n").to_numpy(), np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, GROUPS)
+
+
+def _searched(members: DataFrame, vectors: DataFrame) -> DataFrame:
+    """a, b: edges that join what may link inside of the larger blocks (block, class)."""
+    size = written(members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("cuts")), "block-sizes")
+    known = members.join(small_side(size), "block").join(vectors, "class")
+
+    def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ids, table = _table(table)
+        side = None if key[1].as_py() == key[2].as_py() else table.column("side").to_numpy()
+        edges = block_edges(ids, *_points(table), side)
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    task = _cut(known, "block", F.col("cuts")).drop("cuts")
+    return task.groupBy("block", "i", "j").applyInArrow(search, "a long, b long")
+
+
+def _verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """class, n_links, other: links that each class has inside of its candidate component (component, class),
+    and edges class - other that join all that link."""
+    held = candidates.join(sets.select("class", "n").distinct(), "class")
+    size = held.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("elements"))
+    cuts = F.greatest(F.ceil(F.col("k") / CUT), F.ceil(F.col("elements") / CUT_ELEMENTS)).cast("int")
+    cuts = written(size.select("component", cuts.alias("cuts")).where("cuts > 1"), "cuts")
+    inside = candidates.join(small_side(cuts), "component", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+
+    def verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ids, table = _table(table)
+        side = None if key[1].as_py() == key[2].as_py() else table.column("side").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("elements")]
+        links = linked_pairs(sets, may_pairs(*_points(table), side))
+        n = np.bincount(links.ravel(), minlength=len(ids))
+        groups, edges = Groups(len(ids)), []
+        order = np.argsort(links[:, 0], kind="stable")
+        for k, some in _runs(links[order, 0]):
+            groups.join(np.append(links[order[some], 1], k))
+        for label in np.unique(groups.of):
+            members = np.sort(ids[groups.of == label])
+            edges += [(int(members[0]), int(m)) for m in members[1:]]
+        linked = np.flatnonzero(n)
+        a, b = ([e[k] for e in edges] for k in (0, 1))
+        return pa.table({"class": pa.array(ids[linked].tolist() + a, pa.int64()), "n_links": pa.array(n[linked].tolist() + [None] * len(a), pa.int64()), "other": pa.array([None] * len(linked) + b, pa.int64())})
+
+    with arrow_rows(sets.sparkSession, 1000):
+        task = _cut(inside.join(sets, "class"), "component", F.col("cuts")).drop("cuts")
+        out = written(task.groupBy("component", "i", "j").applyInArrow(verify, "class long, n_links long, other long"), "verified")
     return out
 
 
+def _runs(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    for a, b in zip(heads, np.append(heads[1:], len(keys))):
+        yield int(keys[a]), slice(a, b)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component (its smallest id) of every node of the edges (a, b): alternating large-star
     and small-star rounds, each written to the shared folder, until nothing changes."""
@@ -321,6 +519,7 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     document's own; its exact copies have the same count.  A null or empty text,
     or one without words, has an empty set and is a component of its own.  Rows
     that repeat an id are in one component, the links of each are its own text's.
+    Sets are of 64-bit hashes; on these the answer is exact.
     A null id takes no part and has a null component.  Further columns are left
     out; an empty table gives no rows.
     """
@@ -339,93 +538,47 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     with arrow_rows(spark, 1000):
-        table = written(_classes(rows), "sets")
+        table = written(_classes(rows), "rows")
     usable = table.where("id is not null and class is not null")
-    classes = written(usable.groupBy("class").agg(F.min("id").alias("rep")), "classes")
-    reps = table.join(classes.select(F.col("rep").alias("id"), "class"), ["id", "class"], "left_semi").drop("id").withColumnRenamed("class", "id")
-    vectors = written(reps.groupBy("id").agg(F.max("n").alias("n"), F.max("counts").alias("counts")).join(classes.withColumnRenamed("class", "id"), "id"), "vectors")
-    sizes = written(table.select("id", "n", "class", "text_key"), "sizes")
-    keys = reps.select(F.explode("keys").alias("key"), "id")
-    blocks = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first")).where("members >= 2")
-    members = written(keys.repartition(partitions(table, 4), "key").join(blocks, "key"), "blocks")
-    drop(table)
-    stars = members.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    found = _links(stars, vectors, rows)
-    first = components(found)
-    pairs = _tree_round(members.where("members >= 3"), vectors, first)
-    more = _links(pairs, vectors, rows)
-    links = written(found.union(more), "links")
-    drop(members, first, pairs, found, more)
+    classes = written(usable.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
+    met = _meetings(rows, classes)
+    pairs, members = met.where("block is null").select("a", "b"), met.where("block is not null").select("block", F.col("a").alias("class"))
+    needed = pairs.select("a").union(pairs.select("b")).union(members.select("class")).toDF("class").distinct()
+    chosen = written(classes.join(needed, "class", "left_semi").select("class", "rep"), "chosen")
+    sets = _sets(rows, chosen)
+    vectors = written(sets.groupBy("class").agg(F.max("n").alias("n"), F.max("counts").alias("counts")), "vectors")
+    edges = written(_bounded(pairs, vectors).union(_searched(members, vectors)).distinct(), "edges")
+    candidates = components(edges)
+    verified = _verified(candidates.select(F.col("id").alias("class"), "component"), sets)
+    drop(met, chosen, sets, vectors, edges, candidates)
+    links = verified.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b"))
+    degrees = verified.where("other is null").groupBy("class").agg(F.sum("n_links").alias("n_links"))
     grouped = components(links)
     # an id's texts are in one component, but a link of one is none of another
-    firsts = written(sizes.where("id is not null and class is not null").groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("z")), "firsts")
+    firsts = written(table.where("id is not null").groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("z"), F.count(F.lit(1)).alias("k")).where("k > 1 and a is not null"), "firsts")
     repeated = firsts.where("a != z").select("id", "a")
-    same = sizes.join(repeated, "id").where("class != a").select("a", F.col("class").alias("b")).distinct()
-    joined = components(links.union(same)) if repeated.limit(1).count() else grouped
-    degrees = _degrees(links, grouped, vectors, rows)
+    joined = grouped
+    if repeated.limit(1).count():
+        same = usable.join(repeated, "id").where("class != a").select("a", F.col("class").alias("b")).distinct()
+        joined = components(links.union(same))
     of = lambda some, c: some.select(F.col("id").alias("class"), F.col("component").alias(c))
-    known = classes.join(of(grouped, "g"), "class", "left").join(of(joined, "j"), "class", "left").join(degrees.withColumnRenamed("id", "class"), "class", "left")
+    known = classes.join(of(grouped, "g"), "class", "left").join(of(joined, "j"), "class", "left").where("rows > 1 or g is not null or j is not null").join(degrees, "class", "left")
     known = written(known.withColumn("g", F.coalesce("g", "class")).withColumn("j", F.coalesce("j", "class")), "known")
     best = known.groupBy("g").agg(F.min(F.struct("rep", "class")).alias("best"))
     least = known.groupBy("j").agg(F.min("rep").alias("component_id"))
+    # classes of one row without links aren't among them: they are components of their own
     labels = written(known.join(best, "g").join(least, "j").select("class", "rep", "component_id", "n_links", (F.col("best.class") == F.col("class")).alias("best")), "labels")
-    drop(vectors, degrees, known)
-    texts = sizes.where("class is not null").join(labels, "class", "left")
+    drop(verified, known)
+    texts = table.where("class is not null").join(labels, "class", "left")
     others = labels.select(F.col("class").alias("a"), "component_id")
-    blank = sizes.where("class is null").join(firsts.select("id", "a"), "id", "left").join(others, "a", "left").withColumn("rep", F.col("id")).withColumn("best", F.lit(True)).withColumn("n_links", F.lit(0).cast("long"))
-    columns = ["id", "n", "class", "text_key", "component_id", "n_links", "rep", "best"]
-    out = texts.select(columns).union(blank.select(columns))
+    none = F.lit(None)
+    blank = table.where("class is null").join(small_side(firsts.select("id", "a")), "id", "left").join(others, "a", "left")
+    blank = blank.select("id", "n", "class", "text_key", none.cast("long").alias("rep"), "component_id", none.cast("long").alias("n_links"), none.cast("boolean").alias("best"))
+    out = texts.select(blank.columns).union(blank)
     here = F.col("id").isNotNull()
-    return out.select("id", "n", "class", "text_key", F.when(here, F.coalesce("component_id", "id")).alias("component_id"), F.when(here, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), (here & F.col("best") & (F.col("id") == F.col("rep"))).alias("kept"))
-
-
-def _degrees(links: DataFrame, joined: DataFrame, vectors: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, n_links of the classes that link, over all pairs of a component's classes: found links suffice
-    where there are only two."""
-    held = written(joined.join(vectors.select("id", "n"), "id"), "held")
-    of = held.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("elements")).where("k >= 3")
-    large = of.select("component", F.greatest(F.ceil(F.col("k") / CUT), F.ceil(F.col("elements") / CUT_ELEMENTS)).cast("int").alias("cuts"))
-    inside = written(held.join(small_side(written(large, "large")), "component").select("id", "component", "cuts"), "inside")
-    ends = links.select("a").union(links.select("b")).toDF("id")
-    few = ends.join(inside, "id", "left_anti").groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    sets = _sets(vectors.select("id", "rep").join(inside, "id", "left_semi"), docs)
-    cut = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
-    spread = inside.join(sets, "id").withColumn("own", cut).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    task = spread.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "elements")
-
-    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        side = None if key[1].as_py() == key[2].as_py() else table.column("side").to_numpy()
-        n = link_counts([widened(x) for x in table.column("elements").to_pylist()], side)
-        return pa.table({"id": table.column("id"), "n_links": pa.array(n, pa.int64())})
-
-    with arrow_rows(docs.sparkSession, 1000):
-        many = task.groupBy("component", "i", "j").applyInArrow(count, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links"))
-        out = written(few.union(many).where("n_links > 0"), "degrees")
-    drop(held, inside, sets)
-    return out
-
-
-def _tree_round(members: DataFrame, vectors: DataFrame, first: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a block and pass the R-tree's bound."""
-    labelled = members.join(first, "id", "left").select("key", "members", "id", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    open_ = labelled.join(mixed, "key")
-    # pairs whose first open block is the same were met there: a passage of fifty words makes one block, not ten
-    earliest = open_.groupBy("id").agg(F.min("key").alias("e"))
-    marked = written(open_.join(earliest, "id").withColumn("seen", F.when(F.col("e") < F.col("key"), F.col("e")).otherwise(F.lit(0)).cast("long")).drop("e"), "open")
-    needed = marked.groupBy("key").agg(F.min("seen").alias("lo"), F.max("seen").alias("hi")).where("lo != hi or lo = 0").select("key")
-    rows = marked.join(needed, "key").join(vectors.drop("rep"), "id")
-    cuts = F.ceil(F.col("members") / SPLIT).cast("int")
-    cut = F.pmod(F.xxhash64("id"), cuts).cast("int")
-    spread = rows.withColumn("own", cut).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
-    task = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component", "seen", "n", "counts")
-
-    def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids, comps, seen, sizes, side = (table.column(c).to_numpy() for c in ("id", "component", "seen", "n", "side"))
-        points = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, GROUPS)
-        pairs = block_pairs(ids, comps, seen, sizes, points, None if key[1].as_py() == key[2].as_py() else side)
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
-
-    out = written(task.groupBy("key", "i", "j").applyInArrow(search, "a long, b long").distinct(), "tree-pairs")
-    drop(marked)
-    return out
+    return out.select(
+        "id", "n", "class", "text_key",
+        F.when(here, F.coalesce("component_id", "id")).alias("component_id"),
+        F.when(here, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        (here & F.coalesce("best", F.lit(True)) & (F.col("id") == F.coalesce("rep", "id"))).alias("kept"),
+    )

@@ -156,7 +156,8 @@ def test_every_link_of_a_family_counts(spark, monkeypatch):
     assert {want[0], want[1], want[2]} == {8} and len(set(want.values())) > 4
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.id: r.n_links for r in ngram_join.join_classes(docs).collect()} == want
-    monkeypatch.setattr(ngram_join, "CUT", 4)
+    for name, value in (("CUT", 4), ("SMALL", 2), ("SPLIT", 5)):
+        monkeypatch.setattr(ngram_join, name, value)
     assert {r.id: r.n_links for r in ngram_join.join_classes(docs).collect()} == want
 
 
@@ -171,19 +172,43 @@ def test_texts_of_a_repeated_id_are_kept_apart(spark):
     assert sorted(kept) == [(1, one), (1, two), (3, three), (4, ""), (5, "own words")]
 
 
-def test_cut_blocks_lose_no_pair():
-    rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(1, 1 << 62, 60).astype(np.uint64)) for _ in range(20)]
+def near_sets(n, rng):
+    sets = [np.unique(rng.integers(1, 1 << 62, 60).astype(np.uint64)) for _ in range(n)]
     sets += [np.unique(np.concatenate([s[:55], rng.integers(1, 1 << 62, 3).astype(np.uint64)])) for s in sets]
+    return sets, {(i, i + n) for i in range(n) if 4 * len(np.intersect1d(sets[i], sets[i + n])) >= 3 * len(np.union1d(sets[i], sets[i + n]))}
+
+
+def test_cut_blocks_lose_no_pair(monkeypatch):
+    sets, want = near_sets(20, np.random.default_rng(1))
     ids, sizes = np.arange(40), np.array([len(s) for s in sets])
     points = np.stack([ngram_join.counts(s) for s in sets])
-    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if ngram_join.links(sets[i], sets[j])}
-    none = np.zeros(40, np.int64)
-    assert want and want <= set(ngram_join.block_pairs(ids, ids, none, sizes, points, None))
-    assert ngram_join.link_counts(sets).tolist() == [sum(i in p for p in want) for i in range(40)]
-    side = (ids % 2).astype(np.int8)
-    found = set(ngram_join.block_pairs(ids, ids, none, sizes, points, side))
-    assert {(i, j) for i, j in want if side[i] != side[j]} <= found
+    assert len(want) > 15
+    some = ngram_join.may_pairs(sizes, points)
+    every = np.array([(i, j) for i in range(40) for j in range(i + 1, 40)])
+    for dense in (4, 1000):
+        monkeypatch.setattr(ngram_join, "DENSE", dense)
+        for pairs in (some, every):
+            assert set(map(tuple, ngram_join.linked_pairs(sets, pairs).tolist())) == want
+    side = (ids // 20).astype(np.int8)
+    assert set(map(tuple, ngram_join.linked_pairs(sets, ngram_join.may_pairs(sizes, points, side)).tolist())) == want
+    for sides in (None, side):
+        of = dict(zip(range(40), range(40)))
+        for a, b in ngram_join.block_edges(ids, sizes, points, sides):
+            of = {k: of[a] if v == of[b] else v for k, v in of.items()}
+        assert all(of[i] == of[j] for i, j in want)
+
+
+def test_prefixes_of_any_order_meet():
+    rng = np.random.default_rng(4)
+    sets, want = near_sets(60, rng)
+    common = np.sort(rng.permutation(np.concatenate(sets))[:1500])
+    common = np.unique(common)
+    for often in (np.zeros(len(common), np.int32), rng.integers(1, 9, len(common)).astype(np.int32)):
+        held = np.concatenate([ngram_join.entries(ngram_join.prefix(s, common, often), k, len(s)) for k, s in enumerate(sets)])
+        for small in (32, 1):  # all pairs, or members of blocks
+            pairs, larger = ngram_join.meet(held, small)
+            met = set(map(tuple, pairs.tolist())) | {(int(a), int(b)) for _, m in larger for a in m for b in m if a < b}
+            assert want <= met and len(want) > 40
 
 
 def test_components_of_a_chain(spark):

@@ -41,7 +41,7 @@ from stratagraph.llm.common import arrow_rows, drop, free_shuffles, partitions,
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 3, 4  # 100 * both >= 75 * all
 GROUPS, FANOUT = 256, 16
-#: Documents whose elements are counted for the common order, times that make an element frequent, and
+#: Documents (about) whose elements are counted for the common order, times that make an element frequent, and
 #: frequent elements that are kept (the most frequent ones).  They shape the blocks, not the results.
 SAMPLE, OFTEN, COMMON = 10_000, 3, 500_000
 #: Members of a block whose pairs are all taken.
@@ -316,7 +316,8 @@ def _of_classes(rows: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
 def _frequent(rows: DataFrame, classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(elements, how often) of the elements that OFTEN of SAMPLE classes have, COMMON at most."""
     spark = rows.sparkSession
-    chosen = written(classes.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("class", "rep"), "sample")
+    share = int(min(1.0, SAMPLE / max(1, classes.count())) * (1 << 30))
+    chosen = written(classes.where(F.pmod(F.xxhash64("class"), F.lit(1 << 30)) <= share).limit(2 * SAMPLE).select("class", "rep"), "sample")
     parts = 64
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +331,7 @@ def _frequent(rows: DataFrame, classes: DataFrame) -> tuple[np.ndarray, np.ndarr
         return pa.table({"element": pa.array(values[n >= OFTEN].view(np.int64)), "n": pa.array(n[n >= OFTEN], pa.int64())})
 
     with arrow_rows(spark, 1000):
-        found = _of_classes(rows, chosen, SAMPLE).mapInArrow(spread, "part int, data binary").groupBy("part").applyInArrow(count, "element long, n long")
+        found = _of_classes(rows, chosen, 2 * SAMPLE).mapInArrow(spread, "part int, data binary").groupBy("part").applyInArrow(count, "element long, n long")
         table = found.orderBy(F.desc("n"), "element").limit(COMMON).toArrow()
     elements = table.column("element").to_numpy().view(np.uint64)
     order = np.argsort(elements)

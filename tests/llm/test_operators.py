@@ -218,6 +218,12 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def neighbours(v, q, k=20):
+    scores = v @ v[q]
+    scores[q] = -np.inf
+    return np.lexsort((np.arange(len(v)), -scores))[:k], scores
+
+
 def test_neighbours_reach_brute_force(spark):
     find_package(spark)
     rng = np.random.default_rng(5)
@@ -227,12 +233,9 @@ def test_neighbours_reach_brute_force(spark):
     got = {}
     for r in rotated_codes.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    exact = v.astype(float)
     hits = 0
     for q in range(0, 600, 20):
-        scores = exact @ exact[q]
-        scores[q] = -np.inf
-        best = np.lexsort((np.arange(600), -scores))[:20]
+        best, scores = neighbours(v.astype(float), q)
         hits += len({x for x, _ in got[q]} & set(best.tolist()))
         assert all(abs(s - scores[x]) < 1e-9 for x, s in got[q]) and len(got[q]) == 20
     assert set(got) == set(range(0, 600, 20)) and hits >= 0.9 * 20 * 30
@@ -240,6 +243,32 @@ def test_neighbours_reach_brute_force(spark):
     assert few.count() == 2 and rotated_codes.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_a_repeated_id_are_candidates_of_their_own(spark):
+    find_package(spark)
+    rows = [(1, [1.0, 0.0]), (1, [5.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [0.0, 2.0])]
+    got = rotated_codes.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 1, 5.0), (1, 3, 2.0), (2, 1, 0.0), (2, 1, 1.0)]
+
+
+def test_cells_reach_nine_tenths(spark, monkeypatch):
+    """Ids divisible by 50 against all rows, over clustered vectors and the tables' unclustered ones."""
+    find_package(spark)
+    monkeypatch.setattr(rotated_codes, "CELL", 100)
+    rng = np.random.default_rng(8)
+    clustered = (rng.normal(size=(40, 48))[rng.integers(0, 40, 4000)] + 0.2 * rng.normal(size=(4000, 48)))
+    index = rotated_codes.fit(clustered, 20, 40)
+    assert len(index.centres) == 40 and index.probes <= 20
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()
+    assert table.vec_id.tolist() == list(range(len(table)))
+    for v in (clustered, np.stack(table.embedding).astype(float)):
+        docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in rotated_codes.search(docs, every=50).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = [len(got[q] & set(neighbours(v, q)[0].tolist())) for q in range(0, len(v), 50)]
+        assert np.mean(hits) >= 0.9 * 20
+
+
 def test_mixing_meets_its_rates(spark, empty):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "rare").when(F.col("id") % 10 < 4, F.lit(None)).otherwise("common").alias("source"), F.lit("t").alias("copy"))
     got = {r.source: r["count"] for r in mixing.mix(docs, weights={"rare": 1.0, "common": 1.0}).groupBy("source").count().collect()}

@@ -87,20 +87,56 @@ def prefix(elements: np.ndarray, common: np.ndarray | None = None, often: np.nda
     return elements[:n]
 
 
-#: Marks the counts of a set with more than 254 elements in a group: it has no bound.
-FULL = 255
+def counts(elements: np.ndarray) -> np.ndarray:
+    """Elements in each group, as bytes (255: that many or more).  A set has GROUPS groups, or twice, four
+    times ... as many, so that four elements fall into one at most: beyond that the counts of unrelated sets lie
+    too near one another to part them."""
+    groups = GROUPS
+    while 4 * groups < len(elements):
+        groups *= 2
+    c = np.bincount((elements >> np.uint64(17)).astype(np.int64) % groups, minlength=groups)
+    return np.minimum(c, 255).astype(np.uint8)
 
 
-def counts(elements: np.ndarray) -> np.ndarray:
-    """Elements in each group, as bytes."""
-    c = np.bincount((elements >> np.uint64(17)).astype(np.int64) % GROUPS, minlength=GROUPS)
-    return (c if c.max(initial=0) < FULL else np.full(GROUPS, FULL)).astype(np.uint8)
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """Rows of counts in fewer groups."""
+    return points if points.shape[-1] == groups else points.reshape(*points.shape[:-1], -1, groups).sum(-2, dtype=np.int32)
 
 
 def overlap_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Summed coordinate minima of rows of counts; without end where both are FULL."""
-    bound = np.minimum(x, y).sum(1, dtype=np.int64)
-    return np.where((x[..., 0] == FULL) & (y[..., 0] == FULL), 1 << 40, bound)
+    """Summed coordinate minima of rows of counts; without end where a count is cut at 255."""
+    least = np.minimum(x, y)
+    bound = least.sum(-1, dtype=np.int64)
+    return np.where((least >= 255).any(-1), 1 << 40, bound)
+
+
+class Points:
+    """Count vectors of a task's sets, some in more groups than others."""
+
+    def __init__(self, vectors: list[np.ndarray], sizes: np.ndarray):
+        self.sizes = sizes
+        self.groups = np.array([len(v) for v in vectors], np.int64)
+        self.coarse = np.stack([folded(v, GROUPS) for v in vectors]).astype(np.int32) if vectors else np.zeros((0, GROUPS), np.int32)
+        self.row, self.fine = {}, {}  # by number of groups: of sets with as many groups or twice as many
+        for g in np.unique(self.groups[self.groups > GROUPS]).tolist() + [GROUPS]:
+            some = np.flatnonzero((self.groups == g) | (self.groups == 2 * g))
+            self.row[g] = np.full(len(vectors), -1)
+            self.row[g][some] = np.arange(len(some))
+            self.fine[g] = np.stack([folded(vectors[k], g).astype(np.int32) for k in some]) if len(some) else np.zeros((0, g), np.int32)
+
+    def __getitem__(self, some: np.ndarray) -> np.ndarray:
+        return self.coarse[some]
+
+    def bounded(self, i: int, near: np.ndarray) -> np.ndarray:
+        """Of positions, those whose counts, in as many groups as both have, allow a link with the i-th set."""
+        out = []
+        common = np.minimum(self.groups[near], self.groups[i])
+        for g in np.unique(common).tolist():
+            some = near[common == g]
+            some = some[(self.row[g][some] >= 0)] if self.row[g][i] >= 0 else some[:0]  # else their sizes are too far apart
+            bound = overlap_bound(self.fine[g][self.row[g][some]], self.fine[g][self.row[g][i]])
+            out.append(some[may_link(bound, self.sizes[some], self.sizes[i])])
+        return np.sort(np.concatenate(out)) if out else near
 
 
 def may_link(bound, a, b):
@@ -179,14 +215,15 @@ class Tree:
         return self.order[now]
 
 
-def may_pairs(sizes: np.ndarray, points: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+def may_pairs(points: Points, side: np.ndarray | None = None) -> np.ndarray:
     """Pairs of positions that may link, the smaller first; with sides, (one of side 0, one of side 1)."""
+    sizes = points.sizes
     left = np.arange(len(sizes)) if side is None else np.flatnonzero(side == 0)
     tree = Tree(points[left], sizes[left])
     found = [np.zeros((0, 2), np.int64)]
     for i in left if side is None else np.flatnonzero(side == 1):
         near = left[tree.search(points[i], int(sizes[i]))]
-        near = near[near < i] if side is None else near
+        near = points.bounded(int(i), near[near < i] if side is None else near)
         found.append(np.stack([near, np.full(len(near), i)], 1))
     return np.concatenate(found)
 
@@ -203,16 +240,16 @@ class Groups:
             self.of[np.isin(self.of, labels)] = labels[0]
 
 
-def block_edges(ids: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def block_edges(ids: np.ndarray, points: Points, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges that join whatever of a block's members (of the two sides) may link, directly or over others.
     First leaders take all that may link with them; then members outside of the largest group search."""
-    n = len(ids)
-    groups, tree = Groups(n), Tree(points, sizes)
+    n, sizes = len(ids), points.sizes
+    groups, tree = Groups(n), Tree(points.coarse, sizes)
     asked = np.zeros(n, bool)
 
     def search(i: int) -> None:
         near = tree.search(points[i], int(sizes[i]))
-        near = near[near != i] if side is None else near[side[near] != side[i]]
+        near = points.bounded(i, near[near != i] if side is None else near[side[near] != side[i]])
         asked[i] = True
         if len(near):
             groups.join(np.append(near, i))
@@ -408,8 +445,16 @@ def _sets(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 @F.arrow_udf(LongType())
 def _bound(a: pa.Array, b: pa.Array) -> pa.Array:
-    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, GROUPS) for v in (a, b))
-    return pa.array(overlap_bound(x, y), pa.int64())
+    x, y = (v.to_pylist() for v in (a, b))
+    out = np.zeros(len(x), np.int64)
+    least = np.array([min(len(p), len(q)) for p, q in zip(x, y)], np.int64)
+    for g in np.unique(least):
+        some = np.flatnonzero(least == g)
+        for k in range(0, len(some), max(1, (1 << 22) // int(g))):
+            part = some[k : k + max(1, (1 << 22) // int(g))]
+            sides = (np.stack([folded(np.frombuffer(v[i], np.uint8), int(g)).astype(np.int32) for i in part]) for v in (x, y))
+            out[part] = overlap_bound(*sides)
+    return pa.array(out)
 
 
 def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -435,8 +480,8 @@ def _table(table: pa.Table) -> tuple[np.ndarray, pa.Table]:
     return number[one], table.take(pa.array(one))
 
 
-def _points(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return table.column("n").to_numpy(), np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, GROUPS)
+def _points(table: pa.Table) -> Points:
+    return Points([np.frombuffer(x, np.uint8) for x in table.column("counts").to_pylist()], table.column("n").to_numpy())
 
 
 def _searched(members: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -447,7 +492,7 @@ def _searched(members: DataFrame, vectors: DataFrame) -> DataFrame:
     def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids, table = _table(table)
         side = None if key[1].as_py() == key[2].as_py() else table.column("side").to_numpy()
-        edges = block_edges(ids, *_points(table), side)
+        edges = block_edges(ids, _points(table), side)
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
     task = _cut(known, "block", F.col("cuts")).drop("cuts")
@@ -467,7 +512,7 @@ def _verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
         ids, table = _table(table)
         side = None if key[1].as_py() == key[2].as_py() else table.column("side").to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("elements")]
-        links = linked_pairs(sets, may_pairs(*_points(table), side))
+        links = linked_pairs(sets, may_pairs(_points(table), side))
         n = np.bincount(links.ravel(), minlength=len(ids))
         groups, edges = Groups(len(ids)), []
         order = np.argsort(links[:, 0], kind="stable")

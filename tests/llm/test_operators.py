@@ -178,22 +178,39 @@ def near_sets(n, rng):
     return sets, {(i, i + n) for i in range(n) if 4 * len(np.intersect1d(sets[i], sets[i + n])) >= 3 * len(np.union1d(sets[i], sets[i + n]))}
 
 
+def points_of(sets):
+    return ngram_join.Points([ngram_join.counts(s) for s in sets], np.array([len(s) for s in sets]))
+
+
+def test_count_vectors_bound_large_and_small_sets():
+    rng = np.random.default_rng(6)
+    base = rng.integers(1, 1 << 62, 9000).astype(np.uint64)
+    sizes = [900, 1000, 1024, 1025, 1100, 1300, 2048, 2049, 2500, 4096, 4200, 5000, 8000, 9000]
+    sets = [np.unique(base[:n]) for n in sizes] + [np.unique(rng.integers(1, 1 << 62, n).astype(np.uint64)) for n in sizes]
+    pairs = set(map(tuple, ngram_join.may_pairs(points_of(sets)).tolist()))
+    want = {(i, j) for i in range(14) for j in range(i + 1, 14) if 4 * sizes[i] >= 3 * sizes[j]}
+    assert want == pairs  # of unrelated sets none is left
+    x, y = zip(*[(ngram_join.counts(sets[i]).tobytes(), ngram_join.counts(sets[j]).tobytes()) for i, j in sorted(want)])
+    assert all(ngram_join._bound.func(pa.array(x), pa.array(y)).to_numpy() >= [min(sizes[i], sizes[j]) for i, j in sorted(want)])
+    assert ngram_join.overlap_bound(np.array([[255, 1]]), np.array([[255, 0]]))[0] > 1 << 30
+
+
 def test_cut_blocks_lose_no_pair(monkeypatch):
     sets, want = near_sets(20, np.random.default_rng(1))
-    ids, sizes = np.arange(40), np.array([len(s) for s in sets])
-    points = np.stack([ngram_join.counts(s) for s in sets])
+    ids = np.arange(40)
+    points = points_of(sets)
     assert len(want) > 15
-    some = ngram_join.may_pairs(sizes, points)
+    some = ngram_join.may_pairs(points)
     every = np.array([(i, j) for i in range(40) for j in range(i + 1, 40)])
     for dense in (4, 1000):
         monkeypatch.setattr(ngram_join, "DENSE", dense)
         for pairs in (some, every):
             assert set(map(tuple, ngram_join.linked_pairs(sets, pairs).tolist())) == want
     side = (ids // 20).astype(np.int8)
-    assert set(map(tuple, ngram_join.linked_pairs(sets, ngram_join.may_pairs(sizes, points, side)).tolist())) == want
+    assert set(map(tuple, ngram_join.linked_pairs(sets, ngram_join.may_pairs(points, side)).tolist())) == want
     for sides in (None, side):
         of = dict(zip(range(40), range(40)))
-        for a, b in ngram_join.block_edges(ids, sizes, points, sides):
+        for a, b in ngram_join.block_edges(ids, points, sides):
             of = {k: of[a] if v == of[b] else v for k, v in of.items()}
         assert all(of[i] == of[j] for i, j in want)
 

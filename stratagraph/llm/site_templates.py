@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,9 +53,15 @@ MAIN = ("article", "main")
 #: Containers that a class or id makes a box inside an article.
 BOX = frozenset("address center details dialog div dl figure hgroup ol section table ul".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
-_ROLE_MAIN = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
+#: Elements that a class or id may name clutter: containers, not the text blocks inside of them.
+NAMED = frozenset("address article aside center div dl figure li ol section span table tbody td tr ul".split())
+#: Open elements at most, about as browsers have it: deeper ones part blocks, but hold nothing.
+DEPTH = 512
+
+_OPEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_REST = re.compile(r"((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
@@ -67,70 +74,112 @@ class Node:
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.attributes, self.kids, self.known = tag, attributes, [], None
 
+    def values(self) -> dict[str, str]:
+        """Attributes by lower-cased name; of one that repeats the first counts."""
+        out: dict[str, str] = {}
+        for m in _ATTRIBUTE.finditer(self.attributes):
+            out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        return out
+
     def clutter(self) -> bool:
         """Whether the element's kind or attributes name it clutter."""
         if self.known is None:
-            self.known = self.tag in CLUTTER or bool(self.attributes) and self.tag not in ("html", "body", *MAIN) and self._named()
+            self.known = self.tag in CLUTTER or bool(self.attributes.strip(" /")) and self.tag not in ("html", "body", *MAIN) and self.named()
         return self.known
 
-    def _named(self) -> bool:
-        for name, *values in _ATTRIBUTE.findall(self.attributes):
-            name, value = name.lower(), "".join(values).lower()
-            if name in ("class", "id") and any(w in CLUTTER_WORDS for w in _WORDS.findall(value)):
-                return True
-            if name == "role" and value.strip() in CLUTTER_ROLES or name == "aria-hidden" and value.strip() == "true":
-                return True
-        return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", self.attributes))
+    def named(self) -> bool:
+        """Whether attributes name the element clutter: it is hidden, has such a role, or is a container with
+        a class or id at least half of whose words do (user-comments, but not comment-on-economy)."""
+        own = self.values()
+        if "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true" or own.get("role", "").strip().lower() in CLUTTER_ROLES:
+            return True
+        if self.tag in NAMED:
+            for name in (own.get("class", "") + " " + own.get("id", "")).split():
+                parts = [w.lower() for w in _PART.findall(name)]
+                if parts and 2 * sum(w in CLUTTER_WORDS for w in parts) >= len(parts):
+                    return True
+        return False
 
 
 def parse(source: str) -> Node:
-    """A tree of any text: unclosed, stray and crossed tags are mended as browsers do, roughly."""
+    """A tree of any text, in time that grows with its length: unclosed, stray and crossed tags are mended
+    as browsers do, roughly.  A `<` that opens nothing is text, so is a tag that isn't ended."""
     root = Node("#root")
-    stack, at = [root], 0
-    position = 0
-    while position < len(source):
-        m = _TAG.search(source, position)
-        text = source[at : m.start() if m else len(source)]
-        if text:
-            stack[-1].kids.append(html.unescape(text) if "&" in text else text)
-        if not m:
+    stack, opened = [root], Counter()
+    at = position = 0
+    cdata = True  # whether one may still be ended
+
+    def text(piece: str) -> None:
+        if piece:
+            stack[-1].kids.append(html.unescape(piece) if "&" in piece else piece)
+
+    def cut(n: int) -> None:
+        opened.subtract(x.tag for x in stack[n:])
+        del stack[n:]
+
+    while (here := source.find("<", position)) >= 0:
+        m, end = None, -1
+        if source.startswith("<!--", here):
+            end = source.find("-->", here + 4)
+            end = len(source) if end < 0 else end + 3
+        elif cdata and source.startswith("<![CDATA[", here) and (end := source.find("]]>", here)) >= 0:
+            text(source[at:here])
+            stack[-1].kids.append(source[here + 9 : end])
+            at = position = end + 3
+            continue
+        elif source.startswith(("<!", "<?"), here):
+            cdata = cdata and not source.startswith("<![CDATA[", here)
+            end = source.find(">", here) + 1
+        elif m := _OPEN.match(source, here):
+            rest = _REST.match(source, m.end())
+            end = rest.end() if rest else source.find(">", m.end()) + 1
+        else:
+            position = here + 1
+            continue
+        if end <= 0:  # no tag is ended from here on
             break
-        at = position = m.end()
+        text(source[at:here])
+        at = position = end
+        if not m:
+            continue
+        tag, attributes = m[2].lower(), rest[1] if rest else source[m.end() : end - 1]
         if m[1]:
-            stack[-1].kids.append(m[1])
-        if not m[3]:
+            if opened[tag] > 0:
+                for n in range(len(stack) - 1, 0, -1):
+                    if stack[n].tag == tag:
+                        cut(n)
+                        break
+                    if stack[n].tag in BORDER and tag not in BORDER:
+                        break
+            elif tag in BLOCK and len(stack) > DEPTH:
+                stack[-1].kids.append(Node(tag))
             continue
-        tag = m[3].lower()
-        if m[2]:
+        if tag in P_ENDS and opened["p"] > 0:
             for n in range(len(stack) - 1, 0, -1):
-                if stack[n].tag == tag:
-                    del stack[n:]
+                if stack[n].tag == "p":
+                    cut(n)
                     break
-                if stack[n].tag in BORDER and tag not in BORDER:
+                if stack[n].tag in BLOCK:
                     break
-            continue
-        if tag in P_ENDS:
+        closes = CLOSES.get(tag, ())
+        if closes:
             for n in range(len(stack) - 1, 0, -1):
-                if stack[n].tag == "p":
-                    del stack[n:]
+                if stack[n].tag in closes:
+                    cut(n)
                     break
-                if stack[n].tag in BLOCK:
+                if stack[n].tag in BORDER:
                     break
-        for n in range(len(stack) - 1, 0, -1):
-            if stack[n].tag in CLOSES.get(tag, ()):
-                del stack[n:]
-                break
-            if stack[n].tag in BORDER:
-                break
-        node = Node(tag, m[4])
+        node = Node(tag, attributes)
         stack[-1].kids.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            inner, at = source[at : end.start() if end else len(source)], end.end() if end else len(source)
+            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+            inner, at = source[at : stop.start() if stop else len(source)], stop.end() if stop else len(source)
             node.kids.append(html.unescape(inner) if tag in ("title", "textarea") else inner)
             position = at
-        elif tag not in VOID and not m[4].rstrip().endswith("/"):
+        elif tag not in VOID and not attributes.rstrip().endswith("/") and len(stack) <= DEPTH:
             stack.append(node)
+            opened[tag] += 1
+    text(source[at:])
     return root
 
 
@@ -143,7 +192,7 @@ def main_nodes(root: Node) -> list[Node]:
         node = todo.pop()
         if node.clutter():
             continue
-        if node.tag in MAIN or node.attributes and _ROLE_MAIN.search(node.attributes):
+        if node.tag in MAIN or "role" in node.attributes.lower() and node.values().get("role", "").strip().lower() == "main":
             if node.tag != "article":
                 inner = _articles(node)
                 if inner:
@@ -155,7 +204,7 @@ def main_nodes(root: Node) -> list[Node]:
         todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
     best = max((n for n, _ in found), default=0)
     first = next((node for n, node in found if n == best), None)
-    return [node for _, node in found if node is first or not (node.attributes and node._named())]
+    return [node for _, node in found if node is first or not (node.attributes and node.named())]
 
 
 def _articles(node: Node) -> list[Node]:
@@ -227,7 +276,7 @@ def box_hashes(article: Node) -> tuple[int, dict[int, int]]:
         n = own + sum(i[0] for i in inner)
         links = n if linked or x.tag == "a" else sum(i[1] for i in inner)
         lengths[id(x)] = n, links
-        named = x.tag in BOX and any(name.lower() in ("class", "id") for name, *_ in _ATTRIBUTE.findall(x.attributes))
+        named = x.tag in BOX and bool(x.attributes.strip(" /")) and not x.values().keys().isdisjoint(("class", "id"))
         if x is not article and x.tag != "article" and id(x) in hashes and (named or x.tag in BLOCK and 2 * links >= n):
             boxes[id(x)] = hashes[id(x)]
     return hashes.get(id(article), 0), boxes
@@ -259,13 +308,21 @@ def main_text(source: str, template: frozenset[int] | set[int] = frozenset(), bo
     the template inside of declared articles, `template` that of pages without any."""
     root = parse(source)
     tops = main_nodes(root)
+    drop = {k for k, h in subtree_hashes(root, tops).items() if h in template} if template else set()
     if not tops:
-        return _lines([root], {k for k, h in subtree_hashes(root, []).items() if h in template} if template else set())
+        return _lines([root], drop)
     texts = []
     for top in tops:
-        drop = {k for k, h in box_hashes(top)[1].items() if h in boxes} if boxes else set()
-        texts.append(_lines([top], drop) or _lines([top], set()))
-    return "\n".join(t for t in texts if t)
+        inside = {k for k, h in box_hashes(top)[1].items() if h in boxes} if boxes else set()
+        # one inside of a template is the template's, unless that leaves the page without text
+        texts.append(_lines([top], inside) or _lines([top], set()))
+    outside = {id(x) for k in _of(root, drop) for x in (k, *_descendants(k))}
+    kept = [t for top, t in zip(tops, texts) if id(top) not in outside]
+    return "\n".join(t for t in (kept or texts) if t)
+
+
+def _of(root: Node, ids: set[int]) -> list[Node]:
+    return [x for x in _descendants(root) if id(x) in ids] if ids else []
 
 
 def page_hashes(source: str) -> tuple[int, list[int], int | None, list[int]]:

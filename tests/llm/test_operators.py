@@ -496,3 +496,97 @@ def test_word_hashes_tell_periodic_words_apart():
     assert not set(words.word_hashes(low, starts, ends).tolist()) & set(words.word_hashes(low, starts, ends, 1).tolist())
     one = np.zeros(1, np.int64)
     assert [words.word_hashes(np.frombuffer(t.encode(), np.uint8), one, one + len(t))[0] for t in texts] == words.word_hashes(low, starts, ends).tolist()
+
+
+def brute_extract(pages, least=3, share=0.2):
+    """Text of (host, html) pages without declared articles: count serialised subtrees of each host's distinct pages, delete those on many."""
+    from html.parser import HTMLParser
+
+    class Build(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.top = ("#root", "", [])
+            self.stack = [self.top]
+
+        def handle_starttag(self, tag, attrs):
+            node = (tag, " ".join(sorted(re.findall("[A-Za-z]+", " ".join(f"{k}={v}" for k, v in attrs)))), [])
+            self.stack[-1][2].append(node)
+            self.stack.append(node)
+
+        def handle_endtag(self, tag):
+            assert self.stack.pop()[0] == tag
+
+        def handle_data(self, data):
+            self.stack[-1][2].append(data)
+
+    def serial(x):
+        return " ".join(x.split()) if isinstance(x, str) else f"<{x[0]} {x[1]}>{''.join(map(serial, x[2]))}</>"
+
+    def nodes(x):
+        for k in x[2]:
+            if not isinstance(k, str):
+                yield k
+                yield from nodes(k)
+
+    def plain(x):
+        return x if isinstance(x, str) else "".join(map(plain, x[2]))
+
+    def text(x, gone):
+        if isinstance(x, str):
+            return x
+        if serial(x) in gone:
+            return ""
+        inner = "".join(text(k, gone) for k in x[2])
+        return f"\n{inner}\n" if x[0] in ("div", "p", "ul", "li", "body", "html") else inner
+
+    trees, seen = [], {}
+    for h, source in pages:
+        b = Build()
+        b.feed(source.replace("\n", " "))
+        trees.append((h, b.top))
+        own = {serial(k) for k in nodes(b.top) if k[0] not in ("html", "body") and plain(k).strip()}
+        seen.setdefault(h, {})[source] = own
+    out = []
+    for h, top in trees:
+        n = {}
+        for own in seen[h].values():
+            for k in own:
+                n[k] = n.get(k, 0) + 1
+        gone = {k for k, c in n.items() if c >= least and c >= share * len(seen[h])}
+        out.append("\n".join(x for x in (" ".join(line.split()) for line in text(top, gone).split("\n")) if x))
+    return out
+
+
+def test_template_removal_equals_brute_force(spark):
+    find_package(spark)
+    rng = np.random.default_rng(12)
+    word = lambda: BASE[rng.integers(0, 24)]
+    pages = []
+    for i in range(80):
+        h = "abc"[i % 3] if i % 7 else "rare"
+        blocks = [f"<p>{word()} own {i} <span>{word()}</span></p>" for _ in range(3)]
+        blocks += [f"<div class='box{k}'><p>about {h} {k}</p><ul><li>{h} one</li><li>{h} two</li></ul></div>" for k in range(3) if rng.random() < 0.5]
+        blocks += [f"<div><p>{word()}</p></div>", f"<ul><li>{h} one</li><li>{word()} {i}</li></ul>"]
+        pages.append((h, f"<html><body>{''.join(rng.permutation(blocks).tolist())}</body></html>"))
+    pages += pages[:5]  # repeated pages count once
+    rows = [(i, f"https://{h}.example/{i}", x) for i, (h, x) in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in site_templates.extract(frame).collect()}
+    want = brute_extract(pages)
+    assert [got[i] for i in range(len(rows))] == want
+    plain = [site_templates.main_text(x) for _, x in pages]  # without templates the boxes stay
+    assert sum(a != b for a, b in zip(plain, want)) > 40
+
+
+def test_parsing_takes_linear_time_and_names_only_containers():
+    import time
+
+    for bad in ("<a ", '<a "', "<![CDATA[", "<!--", "<b>", "<script>", "< ", "<i><p>"):
+        t = time.thread_time()
+        site_templates.main_text(bad * (1_000_000 // len(bad)))
+        assert time.thread_time() - t < 20, bad
+    text = site_templates.main_text
+    assert text('<p title="a hidden gem">x</p><p id="comment-on-economy" class=tags>y</p><h2 class="share">z</h2>') == "x\ny\nz"
+    assert text('<div id="comment-on-economy">y</div><div class="user-comments">n</div><p hidden>n</p><div class="siteFooter">n</div><p aria-hidden=true>n') == "y"
+    assert text("<p>a <b" + "<p>b</p>") == "a b" and text("1 < 2 <3 <p>4") == "1 < 2 <3\n4"
+    assert text("<div>" * 2000 + "deep<p>deeper</p>end" + "</div>" * 2000 + "<p>after") == "deep\ndeeper\nend\nafter"

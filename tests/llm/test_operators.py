@@ -590,3 +590,78 @@ def test_parsing_takes_linear_time_and_names_only_containers():
     assert text('<div id="comment-on-economy">y</div><div class="user-comments">n</div><p hidden>n</p><div class="siteFooter">n</div><p aria-hidden=true>n') == "y"
     assert text("<p>a <b" + "<p>b</p>") == "a b" and text("1 < 2 <3 <p>4") == "1 < 2 <3\n4"
     assert text("<div>" * 2000 + "deep<p>deeper</p>end" + "</div>" * 2000 + "<p>after") == "deep\ndeeper\nend\nafter"
+
+
+def brute_matches(template, tokens, at):
+    """Ends of the runs from `at` that a template accepts, by trying every choice."""
+    parts = re.findall(r"<<(/?optional|var[^>]*)>>|([^<\s]+)", template)
+
+    def close(k):
+        depth = 0
+        for n in range(k, len(parts)):
+            depth += (parts[n][0] == "optional") - (parts[n][0] == "/optional")
+            if not depth:
+                return n
+
+    def go(k, i):
+        if k == len(parts):
+            yield i
+        elif parts[k][1]:
+            own = parts[k][1].split("-")
+            if tokens[i : i + len(own)] == own:
+                yield from go(k + 1, i + len(own))
+        elif parts[k][0] == "optional":
+            yield from go(k + 1, i)
+            yield from go(close(k) + 1, i)
+        elif parts[k][0] == "/optional":
+            yield from go(k + 1, i)
+        else:
+            o = dict(x.strip().split("=", 1) for x in parts[k][0][3:].split(";") if "=" in x)
+            for n in range(int(o.get("most", 25)) + 1):
+                if i + n > len(tokens) or n and "match" in o and not re.fullmatch(o["match"], tokens[i + n - 1]):
+                    break
+                if n >= int(o.get("least", 0)):
+                    yield from go(k + 1, i + n)
+
+    return set(go(0, at))
+
+
+def test_templates_equal_brute_force(spark):
+    find_package(spark)
+    rng = np.random.default_rng(9)
+
+    def written_out(template):
+        """A text that the template accepts: regions and variables at random."""
+        def fill(m):
+            o = dict(x.strip().split("=", 1) for x in m[1].split(";") if "=" in x)
+            n = rng.integers(int(o.get("least", 0)), int(o.get("most", 25)) + 1)
+            return " ".join("2024" if o.get("match") == "[0-9]{4}" else "https" if "http" in m[1] else "3" if "match" in o else f"Name{k}," for k in range(n))
+        text = template
+        while "<<optional>>" in text:
+            text = re.sub(r"<<optional>>((?:(?!<</?optional>>).)*)<</optional>>", lambda m: f" {m[1]} " if rng.random() < 0.5 else " ", text)
+        return re.sub(r"<<var([^>]*)>>", fill, text)
+
+    rows, i = [], 0
+    for label, template in licences.TEMPLATES.items():
+        for k in range(4):
+            text = written_out(template).split()
+            if k == 2:
+                text[len(text) // 2] = "altered"
+            if k == 3:
+                del text[-1]
+            rows.append((i, f"{' '.join(BASE[:k])} {' '.join(text).title() if k % 2 else ' '.join(text)}. {BASE[k]}"))
+            i += 1
+    got = {r.id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    accepted = 0
+    for i, text in rows:
+        tokens = ALNUM.findall(lowered(text))
+        want = set()
+        for label, template in licences.TEMPLATES.items():
+            first = None if template.startswith("<<") else template.split()[0]
+            for at in range(len(tokens)):
+                if first is None or tokens[at] == first:
+                    want |= {(at, end - at, label) for end in [max(brute_matches(template, tokens, at), default=0)] if end > at}
+        assert {(m.start, m.words, m.label) for m in got[i].matches} == want
+        accepted += list(licences.TEMPLATES)[i // 4] in got[i].labels.split(",")
+        assert i % 4 > 1 or list(licences.TEMPLATES)[i // 4] in got[i].labels.split(",")
+    assert accepted >= 2 * len(licences.TEMPLATES)

@@ -14,11 +14,12 @@ Words compare by 64-bit hashes; documents end with a mark that no word equals.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -30,14 +31,16 @@ WINDOW = 13
 #: contaminated: some word is hit, and 20 * hits >= words.
 SHARE = 20
 #: Text of benchmark items that one pass takes to every shard; a larger benchmark goes in several passes.
-PASS_BYTES = 64 << 20
+PASS_BYTES = 16 << 20
 
 
 @dataclass
 class Windows:
-    """Test suffixes cut to windows: hashes (rows padded with 0), lengths, item number and place in the item."""
+    """Test suffixes cut to windows: hashes of all items' words, and of each window the first word, length, item
+    number and place in the item."""
 
-    rows: np.ndarray
+    words: np.ndarray
+    start: np.ndarray
     lengths: np.ndarray
     item: np.ndarray
     place: np.ndarray
@@ -52,12 +55,7 @@ def windows(items: list[tuple[str, str | None]]) -> Windows:
     many = np.where(n >= WINDOW, n - WINDOW + 1, np.minimum(n, 1))
     at = words.ranges(first[:-1], many)
     item = np.repeat(np.arange(len(n)), many)
-    lengths = np.minimum(n[item], WINDOW)
-    rows = np.zeros((len(at), WINDOW), np.uint64)
-    for k in range(WINDOW):
-        some = lengths > k
-        rows[some, k] = hashes[at[some] + k]
-    return Windows(rows, lengths, item, at - first[:-1][item], [name for name, _ in items])
+    return Windows(hashes, at, np.minimum(n[item], WINDOW), item, at - first[:-1][item], [name for name, _ in items])
 
 
 def suffix_array(tokens: np.ndarray) -> np.ndarray:
@@ -87,7 +85,7 @@ def find(tokens: np.ndarray, order: np.ndarray, tests: Windows) -> tuple[np.ndar
     padded = np.concatenate([tokens, np.zeros(WINDOW, np.uint64)])
 
     def search(beyond: bool) -> np.ndarray:
-        low, high = np.zeros(len(tests.rows), np.int64), np.full(len(tests.rows), len(order), np.int64)
+        low, high = np.zeros(len(tests.start), np.int64), np.full(len(tests.start), len(order), np.int64)
         while (todo := np.flatnonzero(low < high)).size:
             mid = (low[todo] + high[todo]) >> 1
             at = order[mid]
@@ -96,7 +94,7 @@ def find(tokens: np.ndarray, order: np.ndarray, tests: Windows) -> tuple[np.ndar
                 live = np.flatnonzero(same & (tests.lengths[todo] > k))
                 if not live.size:
                     break
-                have, want = padded[at[live] + k], tests.rows[todo[live], k]
+                have, want = padded[at[live] + k], tests.words[tests.start[todo[live]] + k]
                 less[live] = have < want
                 same[live] = have == want
             right = less | same if beyond else less
@@ -123,7 +121,7 @@ def shard_hits(buf: np.ndarray, offsets: np.ndarray, tests: Windows) -> Hits:
     n = np.diff(first)
     docs = len(n)
     out = Hits(n, np.zeros(docs, np.int64), [np.zeros(0, np.int64)] * docs, np.zeros((docs, 3), np.int64), [np.zeros((0, 2), np.int64)] * docs)
-    if not len(tests.rows) or not len(starts):
+    if not len(tests.start) or not len(starts):
         return out
     heads = first[:-1] + np.arange(docs)  # a mark follows each document
     tokens = np.zeros(len(starts) + docs, np.uint64)
@@ -183,28 +181,30 @@ def _summary(record_id, n_words: int, n_hit: int, items: list[str], longest: tup
     return {"id": record_id, "n_words": n_words, "n_hit": n_hit, "n_items": len(own), "items_sha256": hashlib.sha256(",".join(own).encode()).hexdigest(), "contaminated": n_hit > 0 and SHARE * n_hit >= n_words} | dict(zip(("longest_match", "longest_item", "longest_at"), longest))
 
 
-def _passes(benchmark: DataFrame) -> list[Windows]:
-    """The benchmark's windows, in as many parts as PASS_BYTES asks for; identical rows count once."""
+def _passes(benchmark: DataFrame) -> tuple[int, Callable[[int], Windows]]:
+    """In how many passes the benchmark goes, and a function that collects the windows of one of them: text of
+    PASS_BYTES, about.  Identical rows count once."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), F.col("text").alias("t")).where("t is not null").distinct()
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // PASS_BYTES) or 1
     part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [windows(sorted((r["i"], r["t"]) for r in items.where(part == k).toLocalIterator())) for k in range(n)]
+    return n, lambda k: windows(sorted((r["i"], r["t"]) for r in items.where(part == k).toLocalIterator()))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: words, hit words, items (count and digest of their ids), whether it is
-    contaminated, and its longest verbatim match (words, item, first word from 0; 0 and nulls if none).
+    contaminated, and its longest verbatim match of a window or more (words, item, first word from 0; 0 and
+    nulls if there is none: runs of fewer words than a window aren't matches).
 
     A null or empty text has no words and isn't contaminated; a null or empty
     item makes no window; an item without an id counts as "null".  Repeated
     rows and rows without an id stay.  Further columns are left out.
     """
-    parts = _passes(benchmark)
+    n, collect = _passes(benchmark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    if len(parts) > 1:
-        return _merged(_numbered(rows), parts).drop("row")
-    return rows.mapInArrow(_matcher(parts[0], False), RESULT)
+    if n > 1:
+        return _merged(_numbered(rows), n, collect).drop("row")
+    return rows.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(collect(0)), False), RESULT)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -212,11 +212,12 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return written(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
-def _matcher(tests: Windows, found: bool):
+def _matcher(sent: Broadcast, found: bool):
     """A pass over id and text, or for several passes (`found`) over row, id and text."""
     target = _target(_FOUND if found else RESULT)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = sent.value
         for b in batches:
             ids = words.column(b, "id").to_pylist()
             numbers = words.column(b, "row").to_pylist() if found else None
@@ -236,12 +237,15 @@ def _matcher(tests: Windows, found: bool):
     return take
 
 
-def _merged(rows: DataFrame, parts: list[Windows]) -> DataFrame:
-    """row and scan()'s columns of each row of row, id, text, hits of all passes counted together."""
-    each = [rows.select("row", "id", "text").mapInArrow(_matcher(p, True), _FOUND) for p in parts]
-    everything = each[0]
-    for more in each[1:]:
-        everything = everything.union(more)
+def _merged(rows: DataFrame, n: int, collect: Callable[[int], Windows]) -> DataFrame:
+    """row and scan()'s columns of each row of row, id, text, hits of all passes counted together.  A pass is a
+    job of its own, so only its windows are held at a time."""
+    everything = None
+    for k in range(n):
+        sent = rows.sparkSession.sparkContext.broadcast(collect(k))
+        each = written(rows.select("row", "id", "text").mapInArrow(_matcher(sent, True), _FOUND), "pass")
+        sent.destroy()
+        everything = each if everything is None else everything.union(each)
 
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         found = table.to_pylist()
@@ -256,14 +260,14 @@ def _merged(rows: DataFrame, parts: list[Windows]) -> DataFrame:
     return everything.groupBy("row").applyInArrow(merge, f"row long, {RESULT}")
 
 
-def clean_column(tests: Windows, text: str = "text") -> Column:
+def clean_column(sent: Broadcast, text: str = "text") -> Column:
     """Whether a text isn't contaminated by one pass's windows."""
 
     @F.arrow_udf(BooleanType())
     def clean(texts: pa.Array) -> pa.Array:
         flags = [np.zeros(0, bool)]
         for _, _, buf, offsets in _slices(texts):
-            hits = shard_hits(buf, offsets, tests)
+            hits = shard_hits(buf, offsets, sent.value)
             flags.append(~((hits.n_hit > 0) & (SHARE * hits.n_hit >= hits.n_words)))
         return pa.array(np.concatenate(flags))
 
@@ -273,10 +277,10 @@ def clean_column(tests: Windows, text: str = "text") -> Column:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents (all columns) that aren't contaminated.  Of a benchmark of several passes, hits of
     all passes count together, row by row."""
-    parts = _passes(benchmark)
-    if len(parts) == 1:
-        return docs.where(clean_column(parts[0]))
+    n, collect = _passes(benchmark)
+    if n == 1:
+        return docs.where(clean_column(docs.sparkSession.sparkContext.broadcast(collect(0))))
     numbered = _numbered(docs.select(F.struct(*docs.columns).alias("doc")))
     rows = numbered.select("row", F.col("doc.doc_id").cast("long").alias("id"), F.col("doc.text").alias("text"))
-    bad = _merged(rows, parts).where("contaminated").select("row")
+    bad = _merged(rows, n, collect).where("contaminated").select("row")
     return numbered.join(bad, "row", "left_anti").select("doc.*")

@@ -27,9 +27,10 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import groupby
+from itertools import count, groupby
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -456,17 +457,18 @@ TEMPLATE = """
 
 #: Characters of a part of formatted text, about: longer conversations have many parts.
 PART = 1 << 20
-PARTS = "conv_id long, part long, text string, spans array<array<long>>"
+PARTS = "conv_id long, own string, part long, last boolean, text string, spans array<array<long>>"
 
 
 def format_conversations(turns: DataFrame, template: str = TEMPLATE, *, part: int = PART) -> DataFrame:
-    """conv_id, part, text, spans: formatted conversations in parts of about `part` characters.
-
-    spans holds [start, end) code points of the part's text under the loss mask.
-    Parts of a conversation stand one after another.  turns: conv_id, turn, role,
-    text; rows are ordered by turn (null first), ties by role and text, repeated
-    rows stay.  A null role or text is empty; rows of a null conv_id are one
-    conversation.  Further columns are left out.  An empty table gives no rows.
+    """conv_id, own, part, last, text, spans: formatted conversations in parts of about `part` characters.
+
+    spans holds [start, end) code points of the part's text under the loss mask;
+    last marks a conversation's last part; own tells those without a conv_id apart.  turns: conv_id, turn, role, text; rows
+    are ordered by turn (null first), ties by role and text, repeated rows stay.
+    A null role or text is empty; a row without a conv_id is a conversation of its
+    own, so these meet in no one task.  Further columns are left out.  An empty
+    table gives no rows.
     """
 
     def render(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,7 +476,9 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, *, part: in
         rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3))))
         made: list[tuple] = []
         size = 0
-        for conv, own in groupby(rows, key=lambda r: r[0]):
+        task = TaskContext.get()
+        for (conv, serial), own in groupby(rows, key=_own()):
+            name = f"{task.partitionId() if task else 0}-{serial}" if conv is None else None
             n, at, text, spans = 0, 0, [], []
             for piece, masked in compiled.render(messages=({"role": r[1] or "", "text": r[2] or ""} for r in own)):
                 if masked:
@@ -482,25 +486,31 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, *, part: in
                 text.append(piece)
                 at += len(piece)
                 if at >= part:
-                    yield _batch([(conv, n, "".join(text), spans)])
+                    yield _batch([(conv, name, n, False, "".join(text), spans)])
                     n, at, text, spans = n + 1, 0, [], []
-            if text or not n:
-                made.append((conv, n, "".join(text), spans))
-                size += at
+            made.append((conv, name, n, True, "".join(text), spans))
+            size += at
             if size >= part or n:
                 yield _batch(made)
                 made, size = [], 0
         yield _batch(made)
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("_turn"), F.col("role").alias("_role"), F.col("text").alias("_text"))
-    ordered = rows.repartition(partitions(turns), "conv_id").sortWithinPartitions("conv_id", "_turn", "_role", "_text")
+    salt = F.when(F.col("conv_id").isNull(), F.xxhash64("_turn", "_role", "_text"))
+    ordered = rows.repartition(partitions(turns), "conv_id", salt).sortWithinPartitions("conv_id", "_turn", "_role", "_text")
     return ordered.select("conv_id", "_role", "_text").mapInArrow(render, PARTS)
 
 
+def _own() -> Callable[[tuple], tuple]:
+    """A key of rows by their first field; a null is equal to no other."""
+    serial = count()
+    return lambda r: (r[0], next(serial) if r[0] is None else 0)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[]] * 4
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["conv_id", "part", "text", "spans"])
+    columns = list(zip(*rows)) or [[]] * 6
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.list_(pa.int64())))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in PARTS.split(", ")])
 
 
 _TURN = re.compile(r"<s>\[INST\] (.*?) \[/INST\](.*?)</s>", re.S)
@@ -516,14 +526,14 @@ DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 
 
 def read_digests(formatted: DataFrame) -> DataFrame:
-    """What a reader of the formatted text gets back, one row a conversation; parts are read as
-    they come, so a long conversation needs a part's memory.  formatted is format_conversations'
-    result itself (the parts' order is that of its partitions)."""
+    """What a reader of the formatted text gets back, one row a conversation, of format_conversations' rows in
+    any order: written, read and shuffled ones serve as well.  Conversations of one part are read as they
+    come; only those of several are brought together, in order of their parts, of which one is in memory."""
 
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4))))
         out: list[tuple] = []
-        for conv, parts in groupby(rows, key=lambda r: r[0]):
+        for (conv, _), parts in groupby(rows, key=_first(lambda r: r[1] == 0)):
             turns, loss, n, chars, under, rest = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, ""
             for _, _, text, spans in parts:
                 chars += len(text)
@@ -542,7 +552,21 @@ def read_digests(formatted: DataFrame) -> DataFrame:
                 out = []
         yield _digests(out)
 
-    return formatted.mapInArrow(digest, DIGESTS)
+    one = F.col("last") & (F.col("part") == 0)
+    columns = ["conv_id", "part", "text", "spans"]
+    several = formatted.where(~one).repartition(partitions(formatted), "conv_id", "own").sortWithinPartitions("conv_id", "own", "part")
+    return formatted.where(one).select(columns).mapInArrow(digest, DIGESTS).union(several.select(columns).mapInArrow(digest, DIGESTS))
+
+
+def _first(begins: Callable[[tuple], bool]) -> Callable[[tuple], tuple]:
+    """A key of rows by their first field and the number of beginnings so far."""
+    seen = [0]
+
+    def key(r: tuple) -> tuple:
+        seen[0] += begins(r)
+        return r[0], seen[0]
+
+    return key
 
 
 def _digests(rows: list[tuple]) -> pa.RecordBatch:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.llm import chat, licences, mixing, ngram_join, quality, records, rotated_codes, site_templates, suffix_arrays, toxicity
-from stratagraph.llm.common import read, scratch
+from stratagraph.llm.common import read, scratch, written
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op10_chat_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat.read_digests(chat.format_conversations(turns.unionByName(more)))
+    return chat.read_digests(written(chat.format_conversations(turns.unionByName(more)), "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_records, op2_boosted_quality, op3_ngram_join, op4_rotated_codes, op5_compression_toxicity, op6_poisson_mix, op7_site_templates, op8_template_licences, op9_suffix_arrays, op10_chat_templates)}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stratagraph.llm import chat, licences, mixing, ngram_join, quality, records, rotated_codes, site_templates, suffix_arrays, toxicity, words
-from stratagraph.llm.common import find_package, scratch
+from stratagraph.llm.common import find_package, scratch, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, id string, key string, n long"
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -291,8 +291,13 @@ def test_mixing_meets_its_rates(spark, empty):
     got = {r.source: r["count"] for r in mixing.mix(docs, weights={"rare": 1.0, "common": 1.0}).groupBy("source").count().collect()}
     assert set(got) == {"rare", "common"} and all(abs(n - 10_000) < 600 for n in got.values())
     assert mixing.mix(empty).count() == 0 and mixing.mix(docs, weights={}).count() == 0
-    big = mixing.mix(docs.limit(5), weights={"rare": 1.0}, total=5000).count()
-    assert 4000 < big < 6000  # a rate whose exp(-rate) is zero in a double
+    big = mixing.mix(docs.limit(5), weights={"rare": 1.0}, total=5000)  # a rate whose exp(-rate) is zero in a double
+    copies = [r.copy for r in big.select("copy").collect()]
+    assert 4000 < len(copies) < 6000 and sorted(copies) == list(range(1, len(copies) + 1))
+    names = ["u", "key", "cdf", "times", "doc", "rate", "n", "w", "_u", "_source", "_cdf", "_times", "begin"]
+    clash = docs.select("*", *(F.lit(n).alias(n) for n in names))
+    mixed = mixing.mix(clash)
+    assert mixed.columns == ["doc_id", "source", *names, "copy", "shuffle_key"] and mixed.where("u = 'u' and begin = 'begin'").count() == mixed.count() > 0
 
 
 def page(main, nav="menu", extra=""):
@@ -441,6 +446,12 @@ def test_chat_round_trip(spark):
         formatted = chat.format_conversations(turns, part=part)
         assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_sha256) for r in chat.read_digests(formatted).collect()} == want
     assert chat.read_digests(chat.format_conversations(turns.limit(0))).count() == 0
+    # rows without an id are conversations of their own; written parts are read in any order
+    more = turns.union(spark.createDataFrame([(None, 0, "assistant", "z"), (None, 1, "user", "q")], turns.schema))
+    shuffled = written(chat.format_conversations(more, part=1).orderBy(F.rand(3)), "parts")
+    got = sorted(((r.conv_id, r.n_turns, r.turns_sha256, r.loss_sha256) for r in chat.read_digests(shuffled).collect()), key=str)
+    q = (None, 1, hashlib.sha256(b"user\nq\n").hexdigest(), hashlib.sha256(b"").hexdigest())
+    assert got == sorted([(c, *v) for c, v in want.items()] + [(None, *want[None]), q], key=str)
 
 
 def test_stages_keep_columns_and_corners(spark, corner, empty, tmp_path):

@@ -40,13 +40,13 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the tempered weights of their sources, in global random order."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.replicate(docs).select("doc.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token records of every row: id, start, n_tokens, ids_crc32 as read back from the shards."""
+    """Token records of every row, in the mixed order: id, start, n_tokens, ids_crc32 as read back from the shards."""
     path = scratch(spark, "records")
-    records.write_records(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    records.write_records(docs, path, public_tokenizers.path("byte_bpe_50k.json"), keep_order=True)
     return records.read_digests(spark, path).withColumnRenamed("id", "doc_id")
 
 

@@ -45,7 +45,7 @@ GROUPS, FANOUT = 256, 16
 #: frequent elements that are kept (the most frequent ones).  They shape the blocks, not the results.
 SAMPLE, OFTEN, COMMON = 10_000, 3, 500_000
 #: Members of a block whose pairs are all taken.
-SMALL = 32
+SMALL = 8
 #: Members of a larger block that one task takes; blocks beyond are cut and cuts are paired.
 SPLIT = 2000
 #: Members of a component, and elements of their sets, in one cut.
@@ -430,17 +430,20 @@ def _meetings(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return out
 
 
-def _sets(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """class, n, counts, elements of classes (class, rep), from texts of the documents `rep`; a class is there
-    as often as its text repeats."""
+def _sets(rows: DataFrame, classes: DataFrame, elements: bool) -> DataFrame:
+    """class, n, counts of classes (class, rep), and with `elements` their sets, from texts of the documents
+    `rep`; a class is there as often as its text repeats."""
+    schema = "class long, n long, counts binary" + ", elements binary" * elements
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _each_set(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([_number(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([counts(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "n", "counts", "elements"])
+            made = [pa.array([_number(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([counts(s).tobytes() for s in sets], pa.binary())]
+            made += [pa.array([s.tobytes() for s in sets], pa.binary())] * elements
+            yield pa.RecordBatch.from_arrays(made, ["class", "n", "counts", "elements"][: len(made)])
 
     with arrow_rows(rows.sparkSession, 1000):
-        made = _of_classes(rows, classes, REREAD).mapInArrow(take, "class long, n long, counts binary, elements binary")
-        return written(made.join(small_side(classes.select("class"), REREAD), "class", "left_semi"), "elements")
+        made = _of_classes(rows, classes, REREAD).mapInArrow(take, schema)
+        return written(made.join(small_side(classes.select("class"), REREAD), "class", "left_semi"), "sets")
 
 
 @F.arrow_udf(LongType())
@@ -591,12 +594,15 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     pairs, members = met.where("block is null").select("a", "b"), met.where("block is not null").select("block", F.col("a").alias("class"))
     needed = pairs.select("a").union(pairs.select("b")).union(members.select("class")).toDF("class").distinct()
     chosen = written(classes.join(needed, "class", "left_semi").select("class", "rep"), "chosen")
-    sets = _sets(rows, chosen)
-    vectors = written(sets.groupBy("class").agg(F.max("n").alias("n"), F.max("counts").alias("counts")), "vectors")
+    read = _sets(rows, chosen, False)
+    vectors = written(read.groupBy("class").agg(F.max("n").alias("n"), F.max("counts").alias("counts")), "vectors")
     edges = written(_bounded(pairs, vectors).union(_searched(members, vectors)).distinct(), "edges")
     candidates = components(edges)
-    verified = _verified(candidates.select(F.col("id").alias("class"), "component"), sets)
-    drop(met, chosen, sets, vectors, edges, candidates)
+    drop(met, chosen, read, vectors, edges)
+    inside = written(candidates.select(F.col("id").alias("class"), "component").join(classes, "class"), "inside")
+    sets = _sets(rows, inside.select("class", "rep"), True)
+    verified = _verified(inside.select("class", "component"), sets)
+    drop(sets, candidates, inside)
     links = verified.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b"))
     degrees = verified.where("other is null").groupBy("class").agg(F.sum("n_links").alias("n_links"))
     grouped = components(links)

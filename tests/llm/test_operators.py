@@ -101,6 +101,62 @@ def test_toxic_spans_are_found():
     assert b" vilest " in toxicity.toxic_content(toxic, ordinary) and b"plain" not in toxicity.toxic_content(toxic, ordinary)
 
 
+def brute_toxic_features(text, model):
+    """Every window compressed on its own, by a compressor for each dictionary."""
+    w = SPACED.findall(lowered(text))
+    windows = [b" " + text_.encode() + toxicity.PAD for text_ in (lowered(text)[a.start() : b.end()] for a, b in _spans(lowered(text)))]
+    plain, toxic, ordinary = ([len(c.compress(x)) for x in windows] for c in model.compressors())
+    if not w:
+        return [0.0] * toxicity.FEATURES
+    saved, ahead = ([a - b for a, b in zip(p, toxic)] for p in (plain, ordinary))
+    two = lambda x: (sorted(x, reverse=True) + [0])[:2]
+    many = [sum(s >= k for s in saved) for k in toxicity.LEVELS]
+    return [*two(saved), *two(ahead), np.log1p(len(windows)), *np.log1p(many), *(10 * n / len(windows) for n in many)]
+
+
+def _spans(text):
+    found = list(SPACED.finditer(text))
+    for k in range(0, len(found), toxicity.WINDOW):
+        own = found[k : k + toxicity.WINDOW]
+        yield own[0], own[-1]
+
+
+def test_toxicity_equals_brute_force():
+    rng = np.random.default_rng(2)
+    bad = ["vilest", "awfulest", "meanest"]
+    say = lambda toxic, n: " ".join(bad[rng.integers(3)] if toxic and rng.random() < 0.1 else BASE[rng.integers(24)] + BASE[rng.integers(24)] for _ in range(n))
+    texts = [say(i % 3 == 0, int(rng.integers(20, 80))) for i in range(240)]
+    y = np.array([float(i % 3 == 0) for i in range(240)])
+    toxic, ordinary = ([t.encode() for t, k in zip(texts[:120], y) if k == want] for want in (1, 0))
+    model = toxicity.Model(toxicity.toxic_content(toxic, ordinary), toxicity.ordinary_content(ordinary), np.zeros(0))
+    assert all(w.encode() in model.toxic for w in bad)
+    x = toxicity.features(pa.array([*texts, None, "", "One"]), model.compressors())
+    want = np.array([brute_toxic_features(t, model) for t in [*texts, "", "", "One"]])
+    assert np.allclose(x, want)
+    model.weights = toxicity.calibrate(x[120:240], y[120:])
+    held = [say(i % 2 == 0, 60) for i in range(100)]
+    flags = toxicity.score(model, toxicity.features(pa.array(held), model.compressors())) >= toxicity.THRESHOLD
+    assert flags[::2].mean() > 0.9 and flags[1::2].mean() < 0.05
+
+
+def test_trees_and_statistics_equal_plain_loops():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(800, len(quality.STATISTICS)))
+    model = quality.grow(x, (x[:, 0] * x[:, 1] > 0).astype(float), trees=12)
+    inner = model.feature.shape[1]
+    for row, got in zip(x[:100], model.margin(x[:100])):
+        total = model.prior
+        for f, t, v in zip(model.feature, model.threshold, model.value):
+            at = 0
+            while at < inner:
+                at = 2 * at + (2 if row[f[at]] > t[at] else 1)
+            total += v[at - inner]
+        assert abs(total - got) < 1e-9
+    texts = ["One two, two. THREE\n\nfour", "", None, "ü" * 50, "a\tb " * 300]
+    alone = [quality.column_statistics(pa.array([t]))[0] for t in texts]
+    assert np.allclose(quality.column_statistics(pa.array(texts)), alone)
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stratagraph import sources, streaming
 from stratagraph.functions import name_tail
 from stratagraph.operators import graph, paging, relational, semantic, temporal, text
-from stratagraph.plans import operations, recipes
+from stratagraph.plans import operations, pipeline, recipes
 from stratagraph.sources import ARTIFACTS_SQL, EDGES_SQL, RECORDS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,7 +89,7 @@ def predicate_tree(spark, d):
 
 @query("SELECT record_id, kind FROM records WHERE record_id IN ('nation:3', 'order:1', 'part:7') OR identity_key IN ('tpch:region:root:ASIA', 'tpch:region:root:EUROPE')", records=True)
 def lookup_any_id(spark, d):
-    return relational.lookup_any_id(R(spark, d), ids(spark, "nation:3", "order:1", "part:7", "tpch:region:root:ASIA", "tpch:region:root:EUROPE")).select("record_id", "kind")
+    return relational.lookup_any_id(R(spark, d), ["nation:3", "order:1", "part:7", "tpch:region:root:ASIA", "tpch:region:root:EUROPE"]).select("record_id", "kind")
 
 
 @query("SELECT record_id, identity_key FROM records WHERE list_extract(string_split(identity_key, ':'), -1) = 'ASIA' OR list_extract(string_split(identity_key, ':'), -1) = '7'", records=True)
@@ -291,15 +291,21 @@ def dependency_closure(spark, d):
     return graph.closure(E(spark, d), ids(spark, "customer:7")).select("id")
 
 
-_RING = "ring AS (SELECT 'p' || p_partkey AS u, 'p' || CASE WHEN p_partkey % 7 = 6 THEN p_partkey - 6 ELSE p_partkey + 1 END AS v FROM part WHERE p_partkey % 21 < 14)"
+_RING = """ring AS (SELECT 'p' || p_partkey AS u, 'p' || CASE WHEN p_partkey % 7 = 6 THEN p_partkey - 6 WHEN p_partkey = (SELECT max(p_partkey) FROM part) THEN p_partkey - p_partkey % 7 ELSE p_partkey + 1 END AS v FROM part),
+more AS (SELECT u, v FROM ring UNION SELECT 'p' || p_partkey, 'p' || (p_partkey + 7) FROM part WHERE p_size <= 25 AND p_partkey + 7 <= (SELECT max(p_partkey) FROM part)
+ UNION SELECT 'p' || p_partkey, 'p' || (p_partkey - 7) FROM part WHERE p_size <= 10 AND p_partkey > 7)"""
 
 
-@query(f"WITH RECURSIVE {_RING}, reach AS (SELECT u, v FROM ring UNION SELECT reach.u, ring.v FROM reach JOIN ring ON reach.v = ring.u) SELECT u AS id, min(v) AS component FROM reach WHERE EXISTS (SELECT 1 FROM reach b WHERE b.u = reach.v AND b.v = reach.u) GROUP BY u")
+@query()
 def cycles(spark, d):
-    p = sources.table(spark, d, "part").where("p_partkey % 21 < 14")
-    to = F.when(F.col("p_partkey") % 7 == 6, F.col("p_partkey") - 6).otherwise(F.col("p_partkey") + 1)
-    ring = p.select(F.concat(F.lit("p"), "p_partkey").alias("src"), F.concat(F.lit("p"), to).alias("dst"), F.lit("core:import").alias("kind"), F.lit("confirmed").alias("classification"), F.col("p_partkey").cast("string").alias("edge_id"))
-    return graph.cycles(ring)
+    """Rings of seven over all parts, tied together by the parts' sizes: most of them one large component."""
+    p = sources.table(spark, d, "part")
+    most = p.agg(F.max("p_partkey")).first()[0]
+    key = F.col("p_partkey")
+    to = F.when(key % 7 == 6, key - 6).when(key == most, key - key % 7).otherwise(key + 1)
+    ways = [p.select(key.alias("a"), to.alias("b")), p.where((F.col("p_size") <= 25) & (key + 7 <= most)).select(key.alias("a"), (key + 7).alias("b")), p.where((F.col("p_size") <= 10) & (key > 7)).select(key.alias("a"), (key - 7).alias("b"))]
+    every = ways[0].union(ways[1]).union(ways[2]).distinct()
+    return graph.cycles(every.select(F.concat(F.lit("p"), "a").alias("src"), F.concat(F.lit("p"), "b").alias("dst"), F.lit("core:import").alias("kind"), F.lit("confirmed").alias("classification"), F.concat_ws(">", "a", "b").alias("edge_id")))
 
 
 @query("SELECT edge_id, dst FROM edges WHERE src = 'order:1'", edges=True)
@@ -321,11 +327,23 @@ def inspect_architecture(spark, d):
 # ---------------------------------------------------------------- text
 
 
-@query()
+@query(
+    """, h AS (SELECT artifact_id, hex(encode(lower(nfc_normalize(text)))) AS h FROM artifacts),
+g AS (SELECT DISTINCT artifact_id, lower(substr(h, 2 * i + 1, 6)) AS trigram FROM (SELECT artifact_id, h, unnest(range(0, CAST(len(h) AS BIGINT) // 2 - 2)) AS i FROM h))
+SELECT trigram, count(*) AS documents FROM g GROUP BY 1""",
+    artifacts=True,
+)
 def trigram_index_stats(spark, d):
     return text.trigram_index(A(spark, d)).groupBy("trigram").agg(F.count(F.lit(1)).alias("documents"))
 
 
+@query("SELECT artifact_id, CAST(len(string_split(text, 'License')) - 1 AS BIGINT) AS matches FROM artifacts WHERE contains(text, 'License')", artifacts=True)
+def search_by_trigrams(spark, d):
+    a = A(spark, d)
+    corpus = operations.Corpus(R(spark, d), E(spark, d), a, trigrams=text.trigram_index(a))
+    return operations.evaluate(corpus, "core:search_text", {"pattern": "License", "filter": {"include_external": True, "include_generated": True}})["matches"]
+
+
 _HITS = """hits AS (SELECT artifact_id, text, generate_subscripts(p, 1) - 1 AS n, p FROM (SELECT artifact_id, text, string_split({text}, '{lit}') AS p FROM artifacts WHERE contains({text}, '{lit}'))),
 found AS (SELECT artifact_id, text, n, CAST(len(array_to_string(list_slice(p, 1, n + 1), '')) + n * {len} AS BIGINT) AS start_char FROM hits WHERE n < len(p) - 1)"""
 
@@ -342,7 +360,7 @@ def search_literal_ci(spark, d):
 
 @query(", " + _HITS.format(text="text", lit="ß", len=1) + " SELECT artifact_id, CAST(n AS INTEGER) AS n, start_char, CAST(strlen(substr(text, 1, start_char)) AS BIGINT) AS start_byte, CAST(len(string_split(substr(text, 1, start_char), chr(10))) AS BIGINT) AS line FROM found", artifacts=True)
 def match_line_spans(spark, d):
-    return text.with_lines(text.literal_hits(A(spark, d), "ß"), A(spark, d))
+    return text.literal_spans(A(spark, d), "ß")
 
 
 @query("SELECT artifact_id, CAST(len(regexp_extract_all(text, 'th[aeiou]+n[a-z]*')) AS BIGINT) AS matches FROM artifacts WHERE regexp_matches(text, 'th[aeiou]+n[a-z]*')", artifacts=True)
@@ -422,9 +440,26 @@ def hybrid_search(spark, d):
     return semantic.fuse({"vector": (vector.select("id", "rank"), 1.0), "lexical": (lexical.select("id", "rank"), 1.0)})
 
 
-@query()
+_TOKENS = """t AS (SELECT artifact_id, lower(unnest(list_concat(regexp_extract_all(text, '[A-Za-z0-9_$]+'), regexp_extract_all(regexp_replace(text, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[0-9]+|[A-Z]?[a-z]+|[A-Z]+')))) AS t FROM artifacts),
+tf AS (SELECT artifact_id, t, count(*) AS n FROM t GROUP BY 1, 2),
+w AS (SELECT t, list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(t, ''), lambda c: CAST(ascii(c) AS BIGINT))) AS a, list_prepend(CAST(525069436 AS BIGINT), list_transform(string_split(t, ''), lambda c: CAST(ascii(c) AS BIGINT))) AS b FROM (SELECT DISTINCT t FROM tf)),
+h AS (SELECT t, list_reduce(a, lambda h, c: (xor(h, c) * 16777619) & 4294967295) % 256 AS bucket, CASE WHEN list_reduce(b, lambda h, c: (xor(h, c) * 16777619) & 4294967295) % 2 = 0 THEN 1 ELSE -1 END AS s FROM w)"""
+
+
+@query(f", {_TOKENS} SELECT artifact_id, CAST(bucket AS INTEGER) AS bucket, round(sum(s * (1 + ln(n))), 6) AS value FROM tf JOIN h USING (t) GROUP BY 1, 2 HAVING sum(s * (1 + ln(n))) <> 0", artifacts=True)
+def hash_buckets(spark, d):
+    return semantic.hash_buckets(A(spark, d), "artifact_id", "text").withColumn("value", F.round("value", 6))
+
+
+@query(
+    f""", {_TOKENS}, v AS (SELECT artifact_id, bucket, sum(s * (1 + ln(n))) AS v FROM tf JOIN h USING (t) GROUP BY 1, 2 HAVING sum(s * (1 + ln(n))) <> 0)
+SELECT artifact_id, CAST(256 AS INTEGER) AS dimensions, round(sum(CASE WHEN bucket % 2 = 1 THEN v ELSE 0 END) / sqrt(sum(v * v)), 6) AS odd_buckets FROM v GROUP BY 1""",
+    artifacts=True,
+)
 def hash_embedding(spark, d):
-    return A(spark, d).select("artifact_id", semantic.hash_embedding("text").alias("v")).select("artifact_id", F.size("v").alias("dimensions"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+    rows = semantic.hash_embedding(A(spark, d), "artifact_id", "text")
+    odd = F.aggregate(F.filter("embedding", lambda x, i: i % 2 == 1), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("artifact_id", F.size("embedding").alias("dimensions"), F.round(odd, 6).alias("odd_buckets"))
 
 
 @query("WITH m AS (SELECT doc_id, doc_id IN (SELECT vec_id FROM embeddings) AS e, n_chars < 100 AS x FROM documents), n AS (SELECT count(*) AS expected, count_if(e) AS embedded, count_if(NOT e AND x) AS excluded FROM m) SELECT expected, CAST(embedded AS BIGINT) AS embedded, CAST(excluded AS BIGINT) AS excluded, CAST(expected - embedded - excluded AS BIGINT) AS pending, CASE WHEN embedded = 0 THEN 'unavailable' WHEN expected - embedded - excluded > 0 THEN 'updating' WHEN excluded > 0 THEN 'degraded' ELSE 'complete' END AS status FROM n")
@@ -592,7 +627,16 @@ def stream_quiet_batches(spark, d):
     return streaming.quiet_batches(sources.table(spark, d, "events"), 6 * 3600)
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, ts, event_type = 'purchase' AS stop, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT user_id, n, us, ts, stop, us AS a, ts AS started, 1 AS hints, 0 AS batch, '' AS ended_by FROM e WHERE n = 1
+ UNION ALL SELECT e.user_id, e.n, e.us, e.ts, e.stop, CASE WHEN c.new THEN e.us ELSE w.a END, CASE WHEN c.new THEN e.ts ELSE w.started END, CASE WHEN c.new THEN 1 ELSE w.hints + 1 END, w.batch + CASE WHEN c.new THEN 1 ELSE 0 END,
+  CASE WHEN NOT c.new THEN '' WHEN w.stop THEN 'barrier' WHEN e.us - w.us >= 21600000000 THEN 'quiet' ELSE 'cap' END
+ FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1, LATERAL (SELECT w.stop OR e.us - w.us >= 21600000000 OR e.us - w.a >= 86400000000 AS new) c),
+b AS (SELECT user_id, batch, min(started) AS started, max(ts) AS ended, CAST(max(hints) AS BIGINT) AS hints, bool_or(stop) AS stopped FROM w GROUP BY 1, 2),
+r AS (SELECT user_id, batch - 1 AS batch, ended_by FROM w WHERE ended_by <> '')
+SELECT b.user_id, started, ended, hints, coalesce(ended_by, CASE WHEN stopped THEN 'barrier' ELSE 'quiet' END) AS reason FROM b LEFT JOIN r USING (user_id, batch)"""
+)
 def stream_max_window(spark, d):
     return streaming.capped_batches(sources.table(spark, d, "events"), 6 * 3600, 24 * 3600, barriers=("purchase",))
 
@@ -602,9 +646,11 @@ def stream_dedup(spark, d):
     return streaming.coalesced(sources.table(spark, d, "events")).select("event_id", "user_id", "event_type")
 
 
-@query("SELECT event_id, ts FROM (SELECT *, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events) WHERE epoch_us(seen) - epoch_us(ts) > 3600000000")
+@query("WITH a AS (SELECT event_id, ts, user_id * 100003 + event_id AS arrival FROM events) SELECT event_id, ts FROM (SELECT *, max(ts) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM a) WHERE epoch_us(seen) - epoch_us(ts) > 3600000000")
 def stream_late_rows(spark, d):
-    return streaming.late_rows(sources.table(spark, d, "events"), 3600).select("event_id", "ts")
+    """Events arrive by user: most of a user's come after later ones of another."""
+    arrived = sources.table(spark, d, "events").withColumn("own", F.col("event_id")).withColumn("event_id", F.col("user_id") * 100003 + F.col("event_id"))
+    return streaming.late_rows(arrived, 3600).select(F.col("own").alias("event_id"), "ts")
 
 
 # ---------------------------------------------------------------- recipes
@@ -637,6 +683,119 @@ def recipe_semantic_to_callers(spark, d):
     return recipes.run(corpus, "core:semantic_to_callers", {"query_text": "Supplier#000000003", "filter": {"kind": ["tpch:supplier"]}, "max_call_depth": 1})["callers"].select("id")
 
 
+def _corpus(spark, d, **more) -> operations.Corpus:
+    return operations.Corpus(R(spark, d), E(spark, d), A(spark, d), **more)
+
+
+def _tagged(outputs: dict[str, DataFrame], names: dict[str, str]) -> DataFrame:
+    """id, output of several streams; names: output -> its id column."""
+    parts = [outputs[n].select(F.col(c).cast("string").alias("id"), F.lit(n).alias("output")) for n, c in names.items()]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out
+
+
+@query("SELECT record_id AS id, name || chr(10) || identity_key AS snippet FROM records WHERE contains(lower(name), 'supplier#00000000') AND kind = 'tpch:supplier'", records=True)
+def recipe_locate_implementation(spark, d):
+    return recipes.run(_corpus(spark, d), "core:locate_implementation", {"query_text": "Supplier#00000000", "filter": {"kind": ["tpch:supplier"]}})["sources"]
+
+
+_DEPENDS = "('core:call', 'core:references', 'core:import', 'core:inherits', 'core:implements')"
+_IMPACT = f""", far AS (SELECT 'supplier:3' AS id UNION SELECT src FROM far JOIN edges ON dst = far.id AND kind IN {_DEPENDS}), wb AS (SELECT DISTINCT src AS id FROM edges WHERE dst = 'supplier:3' AND kind = 'core:call' AND classification = 'confirmed')
+SELECT id, 'will_break' AS output FROM wb UNION ALL SELECT DISTINCT id, 'may_be_affected' FROM far WHERE id <> 'supplier:3' AND id NOT IN (SELECT id FROM wb) UNION ALL SELECT DISTINCT src, 'uncertain_dynamic_usage' FROM edges WHERE dst = 'supplier:3' AND kind IN {_DEPENDS} AND classification = 'possible'"""
+
+
+@query(_IMPACT, edges=True)
+def recipe_understand_change_impact(spark, d):
+    out = recipes.run(_corpus(spark, d), "core:understand_change_impact", {"target": ["supplier:3"], "change": {"change_type": "signature"}})
+    return _tagged(out, {n: "id" for n in ("will_break", "may_be_affected", "uncertain_dynamic_usage")})
+
+
+@query("SELECT record_id AS id, 'analogues' AS output FROM records WHERE kind = 'tpch:supplier' UNION ALL SELECT record_id, 'architecture' FROM records WHERE universal_kind = 'core:container' UNION ALL SELECT record_id, 'architecture' FROM records WHERE universal_kind = 'core:type' AND name NOT LIKE '\\_%' ESCAPE '\\'", records=True)
+def recipe_prepare_new_feature(spark, d):
+    out = recipes.run(_corpus(spark, d), "core:prepare_new_feature", {"task": "Supplier#000000003", "filter": {"kind": ["tpch:supplier"]}})
+    return _tagged(out, {"analogues": "record_id", "architecture": "record_id"})
+
+
+_TESTED = ", anc AS (SELECT 'part:5' AS id UNION SELECT src FROM anc JOIN edges ON dst = anc.id AND kind IN ('core:contains', 'core:defines')), found AS (SELECT DISTINCT src AS id FROM edges WHERE kind = 'core:covers' AND dst IN (SELECT id FROM anc))"
+
+
+@query(_TESTED + " SELECT id, 'tests' AS output, '' AS snippet FROM found UNION ALL SELECT record_id, 'sources', name || chr(10) || identity_key FROM records JOIN found ON record_id = id", records=True, edges=True)
+def recipe_find_relevant_tests(spark, d):
+    out = recipes.run(_corpus(spark, d), "core:find_relevant_tests", {"subjects": ["part:5"]})
+    return out["tests"].select("id", F.lit("tests").alias("output"), F.lit("").alias("snippet")).union(out["sources"].select("id", F.lit("sources"), "snippet"))
+
+
+@query("SELECT record_id, 'entry_points' AS view FROM records WHERE universal_kind = 'core:container' UNION ALL SELECT record_id, 'public_surfaces' FROM records WHERE universal_kind = 'core:type' AND name NOT LIKE '\\_%' ESCAPE '\\' UNION ALL SELECT DISTINCT a.src, 'boundaries' FROM edges e JOIN edges a ON a.dst = e.src AND a.kind = 'core:contains' JOIN edges b ON b.dst = e.dst AND b.kind = 'core:contains' WHERE e.kind <> 'core:contains' AND a.src <> b.src", records=True, edges=True)
+def recipe_explain_architecture_slice(spark, d):
+    return recipes.run(_corpus(spark, d), "core:explain_architecture_slice", {"views": ["entry_points", "public_surfaces", "boundaries"]})["architecture"]
+
+
+@query(", b AS (SELECT path, CASE WHEN doc_id % 11 = 0 THEN sha256('old' || text) ELSE content_hash END AS content FROM artifacts WHERE doc_id % 13 <> 0), t AS (SELECT path, content_hash AS content FROM artifacts WHERE doc_id % 17 <> 1) SELECT CASE WHEN b.content = t.content THEN 'correlated' ELSE 'changed' END AS change, path FROM b JOIN t USING (path)", artifacts=True)
+def recipe_compare_workspaces(spark, d):
+    a = A(spark, d)
+    base = a.where("doc_id % 13 <> 0").select("path", F.when(F.col("doc_id") % 11 == 0, F.sha2(F.concat(F.lit("old"), "text"), 256)).otherwise(F.col("content_hash")).alias("content"))
+    corpus = operations.Corpus(R(spark, d), E(spark, d), a.where("doc_id % 17 <> 1"), base=base)
+    out = recipes.run(corpus, "core:compare_workspaces", {})
+    return out["changed"].union(out["correlated"]).select("change", F.col("target_path").alias("path"))
+
+
+@query("SELECT 'supplier:3' AS id, 'declarations' AS output UNION ALL SELECT src, 'references' FROM edges WHERE dst = 'supplier:3' AND kind NOT IN ('core:contains', 'core:defines') UNION ALL SELECT DISTINCT src, 'owners' FROM edges WHERE dst = 'supplier:3' AND kind NOT IN ('core:contains', 'core:defines')", edges=True)
+def recipe_resolve_and_find_references(spark, d):
+    name = R(spark, d).where("record_id = 'supplier:3'").first()["name"]
+    out = recipes.run(_corpus(spark, d), "core:resolve_and_find_references", {"reference": name})
+    return _tagged(out, {"declarations": "record_id", "references": "src", "owners": "id"})
+
+
+@query(_STEP.format(roots="('part:5')", to="src", by="dst", edges="(SELECT * FROM edges WHERE kind IN ('core:call', 'core:references'))", most=1).replace("SELECT id, CAST(depth AS INTEGER) AS depth FROM first WHERE depth > 0", "") + ", s AS (SELECT id FROM first) SELECT DISTINCT 'part:5>' || src AS item, 'paths' AS output FROM edges WHERE dst = 'part:5' AND kind IN ('core:call', 'core:references') UNION ALL SELECT edge_id, 'relations' FROM edges WHERE kind IN ('core:call', 'core:references') AND src IN (SELECT id FROM s) AND dst IN (SELECT id FROM s)", edges=True)
+def recipe_trace_behavior_paths(spark, d):
+    out = recipes.run(_corpus(spark, d), "core:trace_behavior", {"subjects": ["part:5"], "direction": "inbound", "max_depth": 1, "relations": {"universal_kinds": ["core:call", "core:references"]}})
+    return out["paths"].select(F.col("path").alias("item"), F.lit("paths").alias("output")).union(out["relations"].select("edge_id", F.lit("relations")))
+
+
+# ---------------------------------------------------------------- operations with all their arguments
+
+
+@query("SELECT b.dst AS id FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src = 'region:1' AND a.kind = 'core:contains' AND b.kind = 'core:contains' AND b.dst LIKE 'supplier:%'", edges=True)
+def outline_filtered(spark, d):
+    return operations.evaluate(_corpus(spark, d), "core:get_outline", {"container": "region:1", "depth": 2, "filter": {"kind": ["tpch:supplier"]}, "include_non_public": False})["members"].select("id")
+
+
+@query(f", v AS (SELECT record_id FROM records WHERE {VISIBLE}) SELECT edge_id FROM edges WHERE dst = 'supplier:3' AND kind IN ('core:call', 'core:contains', 'core:defines') AND src IN (SELECT record_id FROM v WHERE record_id LIKE 'order:%')", records=True, edges=True)
+def references_of_roles(spark, d):
+    return operations.evaluate(_corpus(spark, d, generation=G), "core:find_references", {"target": ["supplier:3"], "reference_roles": ["call"], "include_declarations": True, "filter": {"kind": ["tpch:order"]}})["references"].select("edge_id")
+
+
+@query(f"SELECT record_id FROM records WHERE {VISIBLE} AND universal_kind = 'core:callable'", records=True)
+def find_records_visible(spark, d):
+    return operations.evaluate(_corpus(spark, d, generation=G), "core:find_records", {"selector": {"kind_selector": {"universal_kinds": ["core:callable"]}}})["records"].select("record_id")
+
+
+@query("SELECT DISTINCT src AS id FROM edges WHERE kind = 'core:covers' AND dst IN ('part:5', 'part:6')", edges=True)
+def related_tests_direct(spark, d):
+    return operations.evaluate(_corpus(spark, d), "core:find_related_tests", {"subjects": ["part:5", "part:6"], "relationship_scope": "direct", "filter": {"kind": ["tpch:supplier"]}})["tests"]
+
+
+@query("SELECT dst AS id FROM edges WHERE src = 'region:1' AND kind = 'core:contains' UNION SELECT b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src = 'region:1' AND a.kind = 'core:contains' AND b.kind = 'core:contains' AND b.dst LIKE 'customer:%'", edges=True)
+def architecture_slice(spark, d):
+    """Containers and their customers within two steps of a region, by a pipeline: expansion, filter, union, deduplication."""
+    ref = lambda s, o="subjects": {"stage_id": s, "output": o}
+    contains = {"universal_kinds": ["core:contains"]}
+    stages = [
+        {"id": "roots", "operator": "source.operation", "operation": "core:find_records", "arguments": {"selector": {"filter": {"kind": ["tpch:region"]}}}},
+        {"id": "one", "operator": "filter", "inputs": [ref("roots", "records")], "arguments": {"predicate": {"path": ["region:1"]}}},
+        {"id": "near", "operator": "expand.relations", "inputs": [ref("one")], "arguments": {"direction": "outbound", "relations": contains, "max_depth": 1}},
+        {"id": "all", "operator": "expand.relations", "inputs": [ref("near")], "arguments": {"direction": "outbound", "relations": contains, "max_depth": 1}},
+        {"id": "customers", "operator": "source.operation", "operation": "core:find_records", "arguments": {"selector": {"filter": {"kind": ["tpch:customer"]}}}},
+        {"id": "both", "operator": "set.intersection", "inputs": [ref("all"), ref("customers", "records")]},
+        {"id": "every", "operator": "set.union", "inputs": [ref("near"), ref("both")]},
+        {"id": "once", "operator": "deduplicate", "inputs": [ref("every")], "arguments": {"identity": "subject"}},
+    ]
+    corpus = operations.Corpus(R(spark, d).withColumn("path", F.col("record_id")), E(spark, d), A(spark, d))
+    return pipeline.run(corpus, stages, {"subjects": ref("once")})["subjects"].select(F.col("subject_id").alias("id"))
+
+
 @query(", hit AS (SELECT artifact_id, doc_id, text FROM artifacts WHERE contains(text, 'stupid') OR contains(text, 'License')), s AS (SELECT artifact_id, doc_id, substr(text, 1, 4000) AS cut, sum(len(substr(text, 1, 4000))) OVER (ORDER BY doc_id) AS cum FROM hit) SELECT artifact_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS ordinal, substr(cut, 1, CAST(least(cum, 16000) - least(cum - len(cut), 16000) AS BIGINT)) AS snippet FROM s ORDER BY doc_id LIMIT 50", artifacts=True)
 def search_then_source(spark, d):
     return flagship(spark, d)

@@ -25,11 +25,29 @@ class UnsafePattern(ValueError):
     """core:invalid_pattern"""
 
 
+def _widest(parsed, inside: bool = False) -> bool:
+    """Whether an unbounded repetition stands inside of another."""
+    for op, value in parsed:
+        name = str(op)
+        if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            unbounded = value[1] > 1000
+            if inside and unbounded or _widest(value[2], inside or unbounded):
+                return True
+        elif name == "SUBPATTERN" and _widest(value[-1], inside) or name == "ATOMIC_GROUP" and _widest(value, inside):
+            return True
+        elif name == "BRANCH" and any(_widest(x, inside) for x in value[1]):
+            return True
+    return False
+
+
 def safe_regex(pattern: str) -> str:
-    """A pattern of at most 1024 characters, without look-around and back-references."""
+    """A pattern of at most 1024 characters, without look-around, back-references and repetitions without bound
+    inside of one another (these may take exponential time)."""
     if len(pattern) > 1024 or re.search(r"\(\?<?[=!]|\\[1-9]|\(\?P=|\\k<", pattern):
         raise UnsafePattern(pattern[:40])
     re.compile(pattern)
+    if _widest(re._parser.parse(pattern)):
+        raise UnsafePattern(pattern[:40])
     return pattern
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +19,14 @@ def directed(edges: DataFrame, direction: str, kinds=()) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage where a checkpoint folder is set (the session's, on a cluster)."""
+    """Ends the lineage in the session's checkpoint folder, which all executors share; one of its own only on a
+    single machine."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        at = sc.getConf().get("spark.checkpoint.dir")
+        if at is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
@@ -72,14 +76,23 @@ def shortest_paths(edges: DataFrame, source: str, target: str, max_depth: int, *
     return found if all_shortest else found.orderBy("length", "path").limit(1)
 
 
-def simple_paths(edges: DataFrame, roots: DataFrame, max_depth: int, *, direction: str = "outbound", kinds=(), policy: str = "simple_subjects") -> DataFrame:
-    """root, path, length: all paths up to max_depth that repeat no subject (or no relation)."""
+#: Paths that simple_paths may hold at a depth; beyond it the request is refused.
+MOST_PATHS = 10_000_000
+
+
+def simple_paths(edges: DataFrame, roots: DataFrame, max_depth: int, *, direction: str = "outbound", kinds=(), policy: str = "simple_subjects", most: int = MOST_PATHS) -> DataFrame:
+    """root, path, length: all paths up to max_depth that repeat no subject (or no relation).  Their number may
+    grow with a power of the depth: more than `most` at a depth of three or more is core:budget_exceeded, never a cut answer."""
     step = directed(edges, direction, kinds)
     now = roots.select(F.col("id").alias("root"), F.col("id").alias("tail"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("used"))
     out = None
-    for _ in range(max_depth):
+    for depth in range(1, max_depth + 1):
         fresh = ~F.array_contains("nodes", F.col("v")) if policy == "simple_subjects" else ~F.array_contains("used", F.col("edge_id"))
         now = now.join(step, F.col("tail") == F.col("u")).where(fresh).select("root", F.col("v").alias("tail"), F.array_append("nodes", F.col("v")).alias("nodes"), F.array_append("used", F.col("edge_id")).alias("used"))
+        if depth > 2:
+            now = _cut(now)
+            if now.count() > most:
+                raise QueryError("core:budget_exceeded", f"more than {most} paths of {depth} relations")
         out = now if out is None else out.union(now)
     return out.select("root", F.array_join("nodes", ">").alias("path"), (F.size("nodes") - 1).alias("length"))
 
@@ -98,10 +111,13 @@ def ancestors(edges: DataFrame, nodes: DataFrame, kinds=("core:contains", "core:
     return closure(edges, nodes, direction="inbound", kinds=kinds)
 
 
-def related_tests(edges: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Sources of covering edges into the subjects or what contains them."""
-    targets = subjects.select("id").union(ancestors(edges, subjects).select("id")).distinct()
-    return owners(edges, targets, ("core:covers",))
+def related_tests(edges: DataFrame, subjects: DataFrame, scope: str = "both") -> DataFrame:
+    """Sources of covering edges into the subjects (direct), what contains them (transitive), or both."""
+    if scope not in ("direct", "transitive", "both"):
+        raise QueryError("core:invalid_arguments", scope)
+    around = ancestors(edges, subjects).select("id") if scope != "direct" else None
+    targets = subjects.select("id") if scope == "direct" else around if scope == "transitive" else subjects.select("id").union(around)
+    return owners(edges, targets.distinct(), ("core:covers",))
 
 
 DEPENDS = ("core:call", "core:references", "core:import", "core:inherits", "core:implements")
@@ -124,26 +140,50 @@ def impact(edges: DataFrame, target: DataFrame, *, include_transitive: bool = Tr
     }
 
 
-def cycles(edges: DataFrame, kinds=()) -> DataFrame:
-    """id, component (its smallest id) of nodes on cycles.  Nodes without a way in or out are trimmed
-    away until none is left; reachability within the small rest decides."""
-    e = directed(edges, "outbound", kinds).select("u", "v").distinct()
+def _trimmed(e: DataFrame) -> DataFrame:
+    """Edges (u, v) left once nodes without a way in or out are taken away, again and again."""
     size = None
     while True:
         e = _cut(e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v"))
         now = e.count()
         if now in (0, size):
-            break
+            return e
         size = now
-    reach, known = e, size if now else 0
-    while now:
-        reach = _cut(reach.union(reach.alias("a").join(reach.alias("b"), F.col("a.v") == F.col("b.u")).select("a.u", "b.v")).distinct())
-        now = reach.count()
-        if now == known:
-            break
-        known = now
-    back = reach.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    return reach.join(back, ["u", "v"]).groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+
+
+def _spread_colours(e: DataFrame, colours: DataFrame, where: str = "true") -> DataFrame:
+    """node, colour: the smallest colour that reaches a node along the edges, among those `where` allows."""
+    while True:
+        come = e.join(colours.select(F.col("node").alias("u"), "colour"), "u").join(colours.select(F.col("node").alias("v"), F.col("colour").alias("own")), "v").where(f"colour < own and {where}")
+        better = come.groupBy("v").agg(F.min("colour").alias("new"))
+        now = _cut(colours.join(better, F.col("node") == F.col("v"), "left").select("node", F.coalesce("new", "colour").alias("colour"), F.col("new").isNotNull().alias("changed")))
+        if now.where("changed").isEmpty():
+            return now.drop("changed")
+        colours = now.drop("changed")
+
+
+def cycles(edges: DataFrame, kinds=()) -> DataFrame:
+    """id, component (its smallest id) of nodes on cycles, by forward and backward colouring: every node takes
+    the smallest id that reaches it; whatever of a colour also reaches that id is its component.  Components
+    found are taken away with their edges and the rest starts anew.  Tables have a row a node or an edge."""
+    e = _trimmed(directed(edges, "outbound", kinds).select("u", "v").distinct())
+    out = None
+    while not e.isEmpty():
+        nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
+        colours = _spread_colours(e, nodes.withColumn("colour", F.col("node")))
+        # backward from each colour's own node, within the colour
+        inside = _cut(e.join(colours.toDF("u", "cu"), "u").join(colours.toDF("v", "cv"), "v").where("cu = cv").select("u", "v", F.col("cu").alias("colour")))
+        found = front = _cut(colours.where("node = colour"))
+        while not front.isEmpty():
+            back = inside.join(front.select(F.col("node").alias("v"), "colour"), ["v", "colour"]).select(F.col("u").alias("node"), "colour").distinct()
+            front = _cut(back.join(found, ["node", "colour"], "left_anti"))
+            found = _cut(found.union(front))
+        rings = found.join(inside.select(F.col("u").alias("node"), F.col("v").alias("to"), "colour"), ["node", "colour"]).join(found.select(F.col("node").alias("to"), "colour"), ["to", "colour"], "left_semi")
+        part = _cut(rings.select(F.col("node").alias("id"), F.col("colour").alias("component")).distinct())
+        out = part if out is None else out.union(part)
+        gone = found.select("node")
+        e = _trimmed(e.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v"))
+    return out if out is not None else e.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
 def chain_confidence(links: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import hmac
 import json
 import time
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratagraph.operators.relational import QueryError
@@ -29,6 +29,16 @@ def manifest(stream: DataFrame, order: list[Column], partition: list[str] = ())
     return placed.join(starts, "_part").withColumn("ordinal", F.col("_start") + F.col("_row")).drop("_id", "_part", "_row", "_start")
 
 
+def write_manifest(stream: DataFrame, order: list[Column], path: str) -> None:
+    """The manifest's sink: rows with their ordinals, in order, written once; pages read ranges of it."""
+    manifest(stream, order).repartitionByRange("ordinal").sortWithinPartitions("ordinal").write.parquet(path)
+
+
+def open_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A written manifest: page() filters its ordinals at the scan, so a page touches a file or two."""
+    return spark.read.parquet(path)
+
+
 def page(rows: DataFrame, *, after: int | None = None, before: int | None = None, limit: int) -> DataFrame:
     """Forward: ordinals behind `after`.  Backward: the last `limit` ordinals ahead of `before`, in order."""
     if not 1 <= limit <= 100_000:

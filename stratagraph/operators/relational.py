@@ -41,8 +41,9 @@ def structural_filter(*, paths=(), languages=(), namespaces=(), include_external
     tests += [matches_any(F.col("path"), list(paths))] if paths else []
     tests += [F.coalesce(F.col("language").isin(*languages), F.lit(False))] if languages else []
     tests += [F.col("namespace").isin(*namespaces)] if namespaces else []
-    tests += [] if include_external else [~F.col("artifact_kind").contains("external")]
-    tests += [] if include_generated else [~F.col("artifact_kind").contains("generated")]
+    kinds = F.coalesce(F.col("artifact_kind"), F.lit(""))
+    tests += [] if include_external else [~kinds.contains("external")]
+    tests += [] if include_generated else [~kinds.contains("generated")]
     tests += [kind_selector(**kind)] if kind else []
     return reduce(Column.__and__, tests)
 
@@ -64,9 +65,9 @@ def predicate(tree: dict, depth: int = 0) -> Column:
     if not value:
         raise QueryError("core:invalid_filter", f"{key} has no values")
     if key == "facet":
-        return F.arrays_overlap("facets", F.array(*map(F.lit, value)))
+        return F.coalesce(F.arrays_overlap("facets", F.array(*map(F.lit, value))), F.lit(False))
     if key == "path":
-        return matches_any(F.col("path"), value)
+        return F.coalesce(matches_any(F.col("path"), value), F.lit(False))
     if key not in LEAVES:
         raise QueryError("core:invalid_filter", key)
     return F.coalesce(F.col(LEAVES[key]).isin(*value), F.lit(False))
@@ -81,24 +82,39 @@ def find_records(records: DataFrame, *, generation: int | None = None, categorie
     return out.where(kind_selector(**kind)).where(predicate(filter) if filter else F.lit(True))
 
 
-def lookup_any_id(records: DataFrame, ids: DataFrame) -> DataFrame:
-    """Records whose record id or identity key is asked for; ids: one column id."""
-    aliases = records.withColumn("_alias", F.explode(F.array_distinct(F.array("record_id", "identity_key"))))
-    return aliases.join(ids.select(F.col("id").alias("_alias")).distinct(), "_alias", "left_semi").drop("_alias").dropDuplicates(["record_id"])
+def lookup_any_id(records: DataFrame, ids: DataFrame | list[str]) -> DataFrame:
+    """Records whose record id or identity key is asked for, each once.  A list of ids is a filter that reaches
+    the scan; for a table of them (one column id) two semi joins, neither of which copies a record."""
+    if not isinstance(ids, DataFrame):
+        return records.where(F.col("record_id").isin(ids) | F.col("identity_key").isin(ids)).dropDuplicates(["record_id"])
+    wanted = ids.select("id").distinct()
+    found = [records.join(wanted.withColumnRenamed("id", c), c, "left_semi").select(records.columns) for c in ("record_id", "identity_key")]
+    return found[0].union(found[1]).dropDuplicates(["record_id"])
+
+
+def with_identity(records: DataFrame, identities: DataFrame, generation: int) -> DataFrame:
+    """Records at a generation, each with its identity's row where one is visible then."""
+    return records.where(visible(generation)).join(identities.where(visible(generation)).drop("valid_from", "valid_to"), "identity_key", "left")
 
 
 def lookup_name_tail(records: DataFrame, name: str) -> DataFrame:
     return records.where(name_tail(F.col("identity_key")) == name)
 
 
-def resolve_symbol(records: DataFrame, name: str, *, context_owner: str | None = None, **kind) -> DataFrame:
-    """Declarations of a name; with a context, its own owner's if there are any, else all; `ambiguous` if several."""
+def resolve_symbol(records: DataFrame, name: str, *, context_owner: str | None = None, scope: str | None = None, **kind) -> DataFrame:
+    """Declarations of a name; `ambiguous` if several.  scope: visible (the default with a context: its own owner's
+    if there are any, else all), workspace (the default without one), exports (exported declarations only)."""
+    scope = scope or ("workspace" if context_owner is None else "visible")
+    if scope not in ("visible", "workspace", "exports"):
+        raise QueryError("core:invalid_arguments", scope)
     found = records.where((F.col("name") == name) | (F.col("identity_key") == name)).where(kind_selector(**kind))
-    every = Window.partitionBy(F.lit(1))
-    if context_owner is not None:
-        near = F.col("parent_id").eqNullSafe(F.lit(context_owner))
-        found = found.withColumn("_near", near).withColumn("_any", F.max("_near").over(every)).where(F.col("_near") | ~F.col("_any")).drop("_near", "_any")
-    return found.withColumn("ambiguous", F.count(F.lit(1)).over(every) > 1)
+    found = found.where(F.coalesce(F.array_contains("facets", "core:exported"), F.lit(False))) if scope == "exports" else found
+    if scope == "visible" and context_owner is not None:
+        near = found.where(F.col("parent_id").eqNullSafe(F.lit(context_owner)))
+        some = F.broadcast(near.agg((F.count(F.lit(1)) > 0).alias("_any")))  # one row
+        found = found.join(some).where(F.col("parent_id").eqNullSafe(F.lit(context_owner)) | ~F.col("_any")).drop("_any")
+    many = F.broadcast(found.agg((F.count(F.lit(1)) > 1).alias("ambiguous")))  # one row
+    return found.join(many)
 
 
 # ---------------------------------------------------------------- sets

@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from stratagraph.operators.relational import QueryError
 
@@ -37,6 +33,11 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int, *, metric: str =
     return rows.select(id_col, F.round(distance, 6).alias("distance")).orderBy("distance", id_col).limit(k)
 
 
+def filtered_vectors(vectors: DataFrame, owners: DataFrame, owner_col: str = "owner_id") -> DataFrame:
+    """Vectors whose owner is among the eligible ones (id): hard filters come before any distance."""
+    return vectors.join(owners.select(F.col("id").alias(owner_col)).distinct(), owner_col, "left_semi")
+
+
 def fuse(lanes: dict[str, tuple[DataFrame, float]]) -> DataFrame:
     """id, score, lanes: lanes hold (id, rank); score is the sum of weight / rank, without a constant;
     order by score, then id.  A rank below 1 or an id twice in a lane is an error, so check_lane() first."""
@@ -71,40 +72,112 @@ def coverage(expected: DataFrame, embedded: DataFrame, excluded: DataFrame) -> D
     return n.withColumn("status", F.when(F.col("embedded") == 0, "unavailable").when(F.col("pending") > 0, "updating").when(F.col("excluded") > 0, "degraded").otherwise("complete"))
 
 
+def canonical_vector(vector: Column, dimensions: int, normalize: bool = False) -> Column:
+    """The vector as doubles, -0 as 0, at length 1 if asked for; null for another dimension, a null or non-finite
+    component, or a zero vector that is to be normalised."""
+    v = F.transform(vector.cast("array<double>"), lambda x: x + F.lit(0.0))
+    fine = (F.size(v) == dimensions) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    norm = F.sqrt(_dot(v, v))
+    return F.when(fine, v) if not normalize else F.when(fine & (norm > 0), F.transform(v, lambda x: x / norm))
+
+
+def dedupe_vectors(vectors: DataFrame, by: str, order: str = "vec_id") -> DataFrame:
+    """Of each owner (or document reference) the first vector by projection id; those without one stay."""
+    first = vectors.where(F.col(by).isNotNull()).groupBy(by).agg(F.min(order).alias(order))
+    return vectors.join(first, [by, order], "left_semi").unionByName(vectors.where(F.col(by).isNull()))
+
+
+def split_grains(vectors: DataFrame, grain: str = "grain") -> dict[str, DataFrame]:
+    """The artifact and the entity lane, each for a dedupe and a cap of its own."""
+    return {"artifact": vectors.where(F.col(grain) == "artifact"), "entity": vectors.where(F.col(grain) == "entity")}
+
+
+def rerank(lanes: dict[str, tuple[DataFrame, int]], k: int | None = None) -> DataFrame:
+    """id, numerator, denominator, in order of the exact score sum(weight / rank), then id.  Weights are whole
+    numbers; of three lanes at most, ranks up to 10**9, products stay within 38 digits."""
+    if not 1 <= len(lanes) <= 3:
+        raise QueryError("core:invalid_lane", "one to three lanes")
+    rows = reduce(DataFrame.unionByName, [df.select("id", F.lit(n).alias("_lane"), F.col("rank").cast("decimal(12,0)").alias("_rank"), F.lit(w).cast("decimal(6,0)").alias("_w")) for n, (df, w) in enumerate(lanes.values())])
+    one = rows.groupBy("id").agg(*[F.max(F.when(F.col("_lane") == n, F.col(c))).alias(f"{c}{n}") for n in range(len(lanes)) for c in ("_rank", "_w")])
+    ranks = [F.coalesce(F.col(f"_rank{n}"), F.lit(1)).cast("decimal(12,0)") for n in range(len(lanes))]
+    product = lambda some: reduce(lambda x, y: (x * y).cast("decimal(38,0)"), some, F.lit(1).cast("decimal(38,0)"))
+    top = [(F.coalesce(F.col(f"_w{n}"), F.lit(0)) * product([r for m, r in enumerate(ranks) if m != n])).cast("decimal(38,0)") for n in range(len(lanes))]
+    scored = one.select("id", reduce(lambda x, y: (x + y).cast("decimal(38,0)"), top).alias("numerator"), product(ranks).alias("denominator"))
+    # a whole part and a remainder part of 18 digits order as the fractions do, for denominators below 10**18
+    whole = F.floor(F.col("numerator") / F.col("denominator"))
+    rest = ((F.col("numerator") % F.col("denominator")).cast("decimal(20,0)") * F.lit(10**18).cast("decimal(19,0)")) / F.col("denominator")
+    ordered = scored.orderBy(whole.desc(), rest.desc(), "id")
+    return ordered.limit(k) if k else ordered
+
+
+# ---------------------------------------------------------------- semantic documents
+
+#: An entity document needs a span of so many characters; kinds that never have one.
+LEAST_SPAN, NO_DOCUMENT = 120, ("core:container", "core:parameter")
+
+
+def eligible_entity(kind: Column, span: Column, start_column: Column) -> Column:
+    """Whether an entity gets a document of its own: no container or parameter, a long span, from a line's begin."""
+    return F.coalesce(~kind.isin(*NO_DOCUMENT) & (F.length(span) >= LEAST_SPAN) & (start_column == 0), F.lit(False))
+
+
+def entity_document(kind: Column, label: Column, comment: Column, span: Column) -> Column:
+    """`kind label`, the comment if there is one, and the span, on lines of their own."""
+    return F.concat_ws("\n", F.concat_ws(" ", kind, label), F.nullif(comment, F.lit("")), span)
+
+
+def semantic_document(source: Column, sections: Column) -> Column:
+    """The source, then the enrichment sections that aren't empty, in order of their digests."""
+    some = F.filter(sections, lambda x: x.isNotNull() & (F.trim(x) != ""))
+    ordered = F.transform(F.array_sort(F.transform(some, lambda x: F.struct(F.sha2(x, 256).alias("d"), x.alias("t")))), lambda x: x["t"])
+    return F.array_join(F.concat(F.array(source), ordered), "\n")
+
+
+def segments(docs: DataFrame, id_col: str, tokens: Column, size: int, overlap: int = 0) -> DataFrame:
+    """id, segment, tokens: fixed windows of a document's tokens; a document without tokens has none."""
+    if size < 1 or not 0 <= overlap < size:
+        raise QueryError("core:budget_invalid", f"{size} {overlap}")
+    step = size - overlap
+    known = docs.select(id_col, tokens.alias("_t")).where(F.size("_t") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_t") - overlap - 1), F.lit(step))
+    return known.select(id_col, "_t", F.posexplode(starts).alias("segment", "_at")).select(id_col, "segment", F.slice("_t", F.col("_at") + 1, F.lit(size)).alias("tokens"))
+
+
+def select_profile(gates: DataFrame) -> DataFrame:
+    """profile_id: of the profiles all of whose gates passed the smallest; gates: profile_id, passed."""
+    return gates.groupBy("profile_id").agg(F.bool_and(F.coalesce("passed", F.lit(False))).alias("_ok")).where("_ok").agg(F.min("profile_id").alias("profile_id")).where("profile_id is not null")
+
+
 # ---------------------------------------------------------------- hashing embedding
 
-#: FNV-1a of 32 bits, and a second offset for the sign.
-FNV_OFFSET, FNV_PRIME, SIGN_OFFSET, DIMENSIONS = 0x811C9DC5, 0x01000193, 0x9747B28C, 256
-_FULL = re.compile(r"[A-Za-z0-9_$]+")
-_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+#: FNV-1a of 32 bits, the offset of the sign (the first one, xor 0x9E3779B9), buckets.
+FNV_OFFSET, FNV_PRIME, SIGN_OFFSET, DIMENSIONS = 0x811C9DC5, 0x01000193, 0x811C9DC5 ^ 0x9E3779B9, 256
+_FULL, _PARTS = "[A-Za-z0-9_$]+", "[0-9]+|[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+"
 
 
-def tokens(text: str) -> list[str]:
-    """Each identifier as a whole and its parts by `_`, `$`, digits and humps, lower-cased."""
-    out = []
-    for full in _FULL.findall(text):
-        parts = _PART.findall(full)
-        out.append(full.lower())
-        out += [p.lower() for p in parts] if len(parts) > 1 else []
-    return out
+def hash_tokens(text: Column) -> Column:
+    """Each identifier as a whole and each of its parts by `_`, `$`, digits and humps (a word without parts
+    stands twice), lower-cased."""
+    every = F.concat(F.regexp_extract_all(text, F.lit(_FULL), F.lit(0)), F.regexp_extract_all(text, F.lit(_PARTS), F.lit(0)))
+    return F.transform(every, F.lower)
 
 
-def fnv(data: bytes, offset: int) -> int:
-    for b in data:
-        offset = (offset ^ b) * FNV_PRIME & 0xFFFFFFFF
-    return offset
+def fnv(token: Column, offset: int) -> Column:
+    """FNV-1a of an ASCII string."""
+    step = lambda h, i: (h.bitwiseXOR(F.ascii(F.substr(token, i, F.lit(1))).cast("long")) * FNV_PRIME).bitwiseAND(0xFFFFFFFF)
+    return F.aggregate(F.sequence(F.lit(1), F.length(token)), F.lit(offset).cast("long"), step)
 
 
-def embed(text: str) -> list[float] | None:
-    """Signed bucket sums of 1 + ln(tf), L2-normalised; None for a text without tokens."""
-    v = [0.0] * DIMENSIONS
-    for token, n in sorted(Counter(tokens(text)).items()):
-        b = token.encode()
-        v[fnv(b, FNV_OFFSET) % DIMENSIONS] += (1 if fnv(b, SIGN_OFFSET) & 1 else -1) * (1 + math.log(n))
-    norm = math.sqrt(sum(x * x for x in v))
-    return [x / norm for x in v] if norm else None
+def hash_buckets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, bucket, value: signed sums of 1 + ln(tf); buckets that cancel out are left out."""
+    tf = docs.select(id_col, F.explode(hash_tokens(F.col(text_col))).alias("_t")).groupBy(id_col, "_t").agg(F.count(F.lit(1)).alias("_n"))
+    sign = F.when(fnv(F.col("_t"), SIGN_OFFSET) % 2 == 0, 1).otherwise(-1)
+    each = tf.select(id_col, (fnv(F.col("_t"), FNV_OFFSET) % DIMENSIONS).cast("int").alias("bucket"), (sign * (1 + F.log(F.col("_n")))).alias("_v"))
+    return each.groupBy(id_col, "bucket").agg(F.sum("_v").alias("value")).where("value <> 0")
 
 
-@F.arrow_udf(ArrayType(DoubleType()))
-def hash_embedding(texts: pa.Array) -> pa.Array:
-    return pa.array([embed(t or "") for t in texts.to_pylist()], pa.list_(pa.float64()))
+def hash_embedding(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, embedding: the buckets at length 1; documents without tokens, or whose tokens cancel out, have none."""
+    held = hash_buckets(docs, id_col, text_col).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("_m"))
+    norm = F.sqrt(F.aggregate(F.map_values("_m"), F.lit(0.0), lambda s, x: s + x * x))
+    return held.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / norm).alias("embedding"))

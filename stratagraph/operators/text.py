@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,14 +19,22 @@ from stratagraph.functions import safe_regex
 from stratagraph.operators.relational import QueryError
 
 
+_HEX = np.frombuffer("".join(f"{x:02x}" for x in range(256)).encode(), np.uint8).reshape(256, 2)
+
+
 @F.arrow_udf(ArrayType(StringType()))
 def trigrams(texts: pa.Array) -> pa.Array:
     """Distinct three-byte windows, in hex and sorted, of the NFKC-folded, lower-cased text."""
-    out = []
-    for t in texts.to_pylist():
-        b = unicodedata.normalize("NFKC", t or "").lower().encode()
-        out.append(sorted({b[i : i + 3].hex() for i in range(len(b) - 2)}))
-    return pa.array(out, pa.list_(pa.string()))
+    parts = [unicodedata.normalize("NFKC", t or "").lower().encode() for t in texts.to_pylist()]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    b = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
+    owner = np.repeat(np.arange(len(parts), dtype=np.uint64), sizes)
+    some = np.flatnonzero(owner[2:] == owner[:-2]) if len(b) > 2 else np.zeros(0, np.int64)
+    found = np.unique(owner[some] << np.uint64(24) | b[some] << np.uint64(16) | b[some + 1] << np.uint64(8) | b[some + 2])
+    hexed = _HEX[np.stack([found >> np.uint64(k) & np.uint64(255) for k in (16, 8, 0)], 1).astype(np.int64)].tobytes()
+    values = pa.StringArray.from_buffers(len(found), pa.py_buffer(np.arange(0, 6 * len(found) + 1, 6, dtype=np.int32)), pa.py_buffer(hexed))
+    cuts = np.searchsorted(found, np.arange(len(parts) + 1, dtype=np.uint64) << np.uint64(24))
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
 
 
 def trigram_index(artifacts: DataFrame) -> DataFrame:
@@ -34,30 +43,48 @@ def trigram_index(artifacts: DataFrame) -> DataFrame:
 
 
 def trigram_candidates(index: DataFrame, literal: str) -> DataFrame | None:
-    """Artifacts that hold all trigrams of a literal; None (every artifact) for shorter literals."""
-    b = unicodedata.normalize("NFKC", literal).lower().encode()
+    """Artifacts that hold all trigrams of a literal; None (every artifact) for shorter literals.  The literal's last
+    character isn't taken: a mark behind it may be folded into it."""
+    b = b"" if "Σ" in literal else unicodedata.normalize("NFKC", literal[:-1]).lower().encode()
     wanted = sorted({b[i : i + 3].hex() for i in range(len(b) - 2)})
     if not wanted:
         return None
     return index.where(F.col("trigram").isin(wanted)).groupBy("artifact_id").agg(F.count_distinct("trigram").alias("_n")).where(F.col("_n") == len(wanted)).select("artifact_id")
 
 
-def literal_hits(artifacts: DataFrame, literal: str, *, case_sensitive: bool = True) -> DataFrame:
-    """artifact_id, start_char, n: non-overlapping occurrences, left to right.  Pieces between hits give
-    offsets by running lengths: one pass, in the JVM."""
+def prefiltered(artifacts: DataFrame, literal: str, index: DataFrame | None) -> DataFrame:
+    """The artifacts that may hold a literal, by the trigram projection where there is one."""
+    some = trigram_candidates(index, literal) if index is not None else None
+    return artifacts if some is None else artifacts.join(some, "artifact_id", "left_semi")
+
+
+def _quoted(literal: str) -> str:
+    return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", literal)
+
+
+def literal_spans(artifacts: DataFrame, literal: str, *, case_sensitive: bool = True, index: DataFrame | None = None) -> DataFrame:
+    """artifact_id, n, start_char, start_byte, line of non-overlapping occurrences, left to right.  Pieces between
+    hits give offsets, bytes and lines by running sums: one pass, in the JVM, and no text is joined again."""
     if not literal:
         raise QueryError("core:invalid_pattern", "empty literal")
     text = F.col("text") if case_sensitive else F.lower("text")
     literal = literal if case_sensitive else literal.lower()
-    found = artifacts.where(text.contains(literal)).select("artifact_id", F.split(text, re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", literal), -1).alias("_p"))
+    found = prefiltered(artifacts, literal, index).where(text.contains(literal)).select("artifact_id", F.split(text, _quoted(literal), -1).alias("_p"))
     each = found.select("artifact_id", F.posexplode(F.slice("_p", F.lit(1), F.size("_p") - 1)).alias("n", "_piece"))
     before = Window.partitionBy("artifact_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return each.select("artifact_id", "n", (F.sum(F.length("_piece")).over(before) + F.col("n") * len(literal)).cast("long").alias("start_char"))
+    total = lambda c, own: (F.sum(c).over(before) + F.col("n") * own).cast("long")
+    lines = F.length("_piece") - F.length(F.replace(F.col("_piece"), F.lit("\n"), F.lit("")))
+    return each.select("artifact_id", "n", total(F.length("_piece"), len(literal)).alias("start_char"), total(F.octet_length("_piece"), len(literal.encode())).alias("start_byte"), (1 + total(lines, literal.count("\n"))).alias("line"))
+
+
+def literal_hits(artifacts: DataFrame, literal: str, *, case_sensitive: bool = True, index: DataFrame | None = None) -> DataFrame:
+    """artifact_id, n, start_char of literal_spans."""
+    return literal_spans(artifacts, literal, case_sensitive=case_sensitive, index=index).select("artifact_id", "n", "start_char")
 
 
 def match_counts(artifacts: DataFrame, pattern: str, *, syntax: str = "literal", word_mode: str = "substring", case_sensitive: bool = True) -> DataFrame:
     """artifact_id, matches of a literal or safe regular expression, as a substring, an identifier or a token."""
-    body = safe_regex(pattern) if syntax == "safe_regex" else re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", pattern)
+    body = safe_regex(pattern) if syntax == "safe_regex" else _quoted(pattern)
     edges = {"substring": ("", ""), "identifier": ("(?<![A-Za-z0-9_$])", "(?![A-Za-z0-9_$])"), "token": ("(?<!\\S)", "(?!\\S)")}
     if word_mode not in edges:
         raise QueryError("core:invalid_arguments", word_mode)
@@ -71,11 +98,6 @@ def line_of(text: Column, start_char: Column) -> Column:
     return F.size(F.split(F.substr(text, F.lit(1), start_char), "\n")).cast("long")
 
 
-def with_lines(hits: DataFrame, artifacts: DataFrame) -> DataFrame:
-    joined = hits.join(artifacts.select("artifact_id", "text"), "artifact_id")
-    return joined.select("artifact_id", "n", "start_char", F.octet_length(F.substr("text", F.lit(1), F.col("start_char").cast("int"))).cast("long").alias("start_byte"), line_of(F.col("text"), F.col("start_char").cast("int")).alias("line"))
-
-
 SNIPPET, TOTAL = 4000, 16_000
 
 

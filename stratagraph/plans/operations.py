@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratagraph.functions import matches_any
 from stratagraph.operators import graph, relational, semantic, temporal, text
 from stratagraph.operators.relational import QueryError
 
@@ -28,6 +29,15 @@ class Corpus:
     artifacts: DataFrame
     vectors: DataFrame | None = None
     base: DataFrame | None = None  # the other side of a comparison: path, content
+    generation: int | None = None  # of records (and edges) with intervals, those visible then
+    trigrams: DataFrame | None = None  # trigram, artifact_id: the projection that literal searches use
+
+    def snapshot(self) -> Corpus:
+        """The corpus as every operation sees it: rows outside of the generation are never answers."""
+        if self.generation is None:
+            return self
+        at = lambda df: df.where(relational.visible(self.generation)) if {"valid_from", "valid_to"} <= set(df.columns) else df
+        return replace(self, records=at(self.records), edges=at(self.edges), generation=None)
 
     @property
     def spark(self) -> SparkSession:
@@ -85,6 +95,13 @@ def _filtered(df: DataFrame, filter: dict | None) -> DataFrame:
     return df.where(relational.predicate(filter)) if filter else df
 
 
+def _kept(c: Corpus, a: dict, df: DataFrame, col: str = "id") -> DataFrame:
+    """Rows whose `col` names a record that satisfies the request's filter."""
+    if not a.get("filter"):
+        return df
+    return df.join(_filtered(c.records, a["filter"]).select(F.col("record_id").alias(col)), col, "left_semi").select(df.columns)
+
+
 def _find_records(c: Corpus, a: dict) -> Streams:
     s = a.get("selector", {})
     if any(isinstance(v, (list, tuple)) and not v for v in s.values()):
@@ -93,7 +110,7 @@ def _find_records(c: Corpus, a: dict) -> Streams:
 
 
 def _resolve(c: Corpus, a: dict) -> Streams:
-    found = relational.resolve_symbol(c.records, a["reference"], context_owner=a.get("context_artifact"), **a.get("kind_selector", {}))
+    found = relational.resolve_symbol(c.records, a["reference"], context_owner=a.get("context_artifact"), scope=a.get("scope"), **a.get("kind_selector", {}))
     return {"declarations": found.where("not ambiguous").drop("ambiguous"), "candidates": found.where("ambiguous").drop("ambiguous")}
 
 
@@ -101,7 +118,10 @@ def _outline(c: Corpus, a: dict) -> Streams:
     root = c.subjects([a["container"]] if isinstance(a["container"], str) else a["container"])
     if c.records.join(root.withColumnRenamed("id", "record_id"), "record_id", "left_semi").isEmpty():
         raise QueryError("core:selector_not_found")
-    return {"members": graph.expand(c.edges, root, min_depth=1, max_depth=a.get("depth", 1), kinds=("core:contains",))}
+    members = _kept(c, a, graph.expand(c.edges, root, min_depth=1, max_depth=a.get("depth", 1), kinds=("core:contains",)))
+    if not a.get("include_non_public", True):  # names that begin with an underscore are private
+        members = members.join(c.records.where(F.col("name").startswith("_")).select(F.col("record_id").alias("id")), "id", "left_anti")
+    return {"members": members}
 
 
 def _relations(edges: DataFrame, selector: dict | None) -> DataFrame:
@@ -111,14 +131,25 @@ def _relations(edges: DataFrame, selector: dict | None) -> DataFrame:
     return edges.where(F.col("classification") == s["evidence_class"]) if s.get("evidence_class", "both") != "both" else edges
 
 
+#: Reference roles and the relation kinds that have them; declarations are kinds that define or contain.
+ROLES = {"call": ("core:call",), "read": ("core:read",), "write": ("core:write",), "import": ("core:import",), "type": ("core:type_of", "core:inherits", "core:implements"), "reference": ("core:references",), "cover": ("core:covers",)}
+DECLARES = ("core:contains", "core:defines")
+
+
 def _references(c: Corpus, a: dict) -> Streams:
-    found = graph.references(_relations(c.edges, a.get("relations")), c.subjects(a["target"]))
+    edges = _relations(c.edges, a.get("relations"))
+    wanted = a.get("reference_roles") or ()
+    if unknown := set(wanted) - set(ROLES):
+        raise QueryError("core:invalid_arguments", f"reference_roles {sorted(unknown)}")
+    roles = F.col("kind").isin([k for r in wanted for k in ROLES[r]]) if wanted else ~F.col("kind").isin(*DECLARES)
+    edges = edges.where(roles | F.col("kind").isin(*DECLARES) if a.get("include_declarations") else roles)
+    found = _kept(c, a, graph.references(edges, c.subjects(a["target"])), "src")
     return {"references": found, "owners": found.select(F.col("src").alias("id")).distinct()}
 
 
 def _expand(c: Corpus, a: dict) -> Streams:
     roots, e = c.subjects(a["subjects"]), _relations(c.edges, a.get("relations"))
-    reached = graph.expand(e, roots, direction=a.get("direction", "outbound"), min_depth=a.get("min_depth", 1), max_depth=a.get("max_depth"))
+    reached = _kept(c, a, graph.expand(e, roots, direction=a.get("direction", "outbound"), min_depth=a.get("min_depth", 1), max_depth=a.get("max_depth")))
     out = {"subjects": reached, "relations": graph.induced(e, reached.select("id").union(roots))}
     if a.get("path_policy"):
         out["paths"] = graph.simple_paths(e, roots, a.get("max_depth") or a.get("min_depth", 1), direction=a.get("direction", "outbound"), policy=a["path_policy"])
@@ -134,14 +165,25 @@ def _artifacts(c: Corpus, a: dict) -> Streams:
 
 
 def _search_text(c: Corpus, a: dict) -> Streams:
-    found = text.match_counts(_artifacts(c, a)["artifacts"], a["pattern"], syntax=a.get("syntax", "literal"), word_mode=a.get("word_mode", "substring"), case_sensitive=a.get("case_sensitive", True))
-    return {"matches": found, "subjects": found.select("artifact_id")}
+    """A literal's candidates come from the trigram projection, where the corpus has one."""
+    literal = a.get("syntax", "literal") == "literal"
+    some = text.prefiltered(_artifacts(c, a)["artifacts"], a["pattern"], c.trigrams if literal else None)
+    found = text.match_counts(some, a["pattern"], syntax=a.get("syntax", "literal"), word_mode=a.get("word_mode", "substring"), case_sensitive=a.get("case_sensitive", True))
+    projection = a.get("result_projection", "matches")
+    if projection not in ("matches", "artifacts"):
+        raise QueryError("core:invalid_arguments", projection)
+    return {"matches": found if projection == "matches" else found.select("artifact_id"), "subjects": found.select("artifact_id")}
+
+
+def _vectors(c: Corpus, a: dict) -> DataFrame:
+    """The vectors whose owners satisfy the filter: it is applied before any distance."""
+    return semantic.filtered_vectors(c.vectors, _filtered(c.records, a["filter"]).select(F.col("record_id").alias("id")), "id") if a.get("filter") else c.vectors
 
 
 def _search_semantic(c: Corpus, a: dict) -> Streams:
-    if c.vectors is None or a.get("filter"):
+    if c.vectors is None:
         raise QueryError("core:required_capability_unsupported")
-    return {"candidates": semantic.vector_topk(c.vectors, a["vector"], a.get("limit", 100), id_col="id").withColumn("classification", F.lit("possible"))}
+    return {"candidates": semantic.vector_topk(_vectors(c, a), a["vector"], a.get("limit", 100), id_col="id").withColumn("classification", F.lit("possible"))}
 
 
 def _search_hybrid(c: Corpus, a: dict) -> Streams:
@@ -150,7 +192,7 @@ def _search_hybrid(c: Corpus, a: dict) -> Streams:
     named = _filtered(c.records, a.get("filter")).where(F.lower("name").contains(wanted)).select(F.col("record_id").alias("id"), F.length("name").alias("n"))
     lanes = {"lexical": (semantic.ranked(named, [F.col("n"), F.col("id")]).select("id", "rank"), 1.0)}
     if c.vectors is not None and a.get("vector"):
-        near = semantic.vector_topk(c.vectors, a["vector"], 100, id_col="id")
+        near = semantic.vector_topk(_vectors(c, a), a["vector"], 100, id_col="id")
         lanes["vector"] = (semantic.ranked(near, [F.col("distance"), F.col("id")]).select("id", "rank"), 1.0)
     return {"candidates": semantic.fuse(lanes).withColumn("classification", F.lit("possible"))}
 
@@ -165,8 +207,18 @@ def _get_source(c: Corpus, a: dict) -> Streams:
     return {"sources": placed.select("id", text.redact(F.col("snippet")).alias("snippet"))}
 
 
+#: Change types, and the classes that each leaves empty: a rename, a move or a new visibility breaks references, not behaviour.
+CHANGES = {"delete": (), "signature": (), "type": (), "contract": (), "behavior": ("will_break", "must_update"), "rename": ("may_be_affected",), "move": ("may_be_affected",), "visibility": ("may_be_affected",)}
+
+
 def _impact(c: Corpus, a: dict) -> Streams:
-    found = graph.impact(c.edges, c.subjects(a["target"]), include_transitive=a.get("include_transitive", True))
+    change = a["change"].get("change_type", a["change"].get("kind", "signature"))
+    if change not in CHANGES:
+        raise QueryError("core:invalid_arguments", change)
+    found = graph.impact(c.edges, c.subjects(a["target"]), include_transitive=a.get("include_transitive", True) and "may_be_affected" not in CHANGES[change])
+    found = {k: _kept(c, a, df if k not in CHANGES[change] else df.limit(0)) for k, df in found.items()}
+    if not a.get("include_tests", True):
+        found["tests_to_run"] = found["tests_to_run"].limit(0)
     every = None
     for df in found.values():
         every = df.select("id") if every is None else every.union(df.select("id"))
@@ -174,20 +226,47 @@ def _impact(c: Corpus, a: dict) -> Streams:
 
 
 def _tests(c: Corpus, a: dict) -> Streams:
-    found = graph.related_tests(c.edges, c.subjects(a["subjects"]))
-    return {"tests": found, "fixtures": found.limit(0), "mocks": found.limit(0), "helpers": found.limit(0)}
+    """tests; what they use (their outbound calls and references) that bears the facet of a fixture, mock or helper."""
+    found = _kept(c, a, graph.related_tests(c.edges, c.subjects(a["subjects"]), a.get("relationship_scope", "both")))
+    out = {"tests": found}
+    used = graph.directed(c.edges, "outbound", ("core:call", "core:references")).join(found.withColumnRenamed("id", "u"), "u", "left_semi").select(F.col("v").alias("record_id")).distinct()
+    for role in ("fixture", "mock", "helper"):
+        some = c.records.where(F.array_contains("facets", f"core:{role}")).join(used, "record_id", "left_semi").select(F.col("record_id").alias("id"))
+        out[f"{role}s"] = _kept(c, a, some) if a.get("include_fixtures", True) else found.limit(0)
+    return out
 
 
 def _architecture(c: Corpus, a: dict) -> Streams:
+    """Views of the whole corpus, or of the slice that the scope's subjects reach within max_relation_depth."""
     views = a.get("views", ("entry_points", "public_surfaces"))
-    return {"all_requested_views": inspect_architecture(c.records, c.edges, views)} | {v: inspect_architecture(c.records, c.edges, (v,)) for v in views}
+    records = _filtered(c.records, a.get("filter"))
+    edges = c.edges
+    if a.get("scope"):
+        roots = c.subjects(a["scope"])
+        inside = graph.expand(c.edges, roots, max_depth=a.get("max_relation_depth", 5)).select("id").union(roots)
+        records, edges = records.join(inside.withColumnRenamed("id", "record_id"), "record_id", "left_semi"), graph.induced(edges, inside)
+    return {"all_requested_views": inspect_architecture(records, edges, views)} | {v: inspect_architecture(records, edges, (v,)) for v in views}
+
+
+KINDS_OF_CHANGE = ("added", "removed", "changed", "moved", "correlated")
 
 
 def _compare(c: Corpus, a: dict) -> Streams:
+    """base and target; the filter is applied to the target's artifacts and to the base's paths."""
     if c.base is None:
         raise QueryError("core:invalid_query_scope", "base and target are needed")
-    found = temporal.compare(c.base, c.artifacts.select("path", F.col("content_hash").alias("content")), include_possible=a.get("correlation_policy") == "include_possible")
-    return {k: found.where(F.col("change") == k) for k in ("added", "removed", "changed", "moved", "correlated")}
+    wanted = a.get("comparison_kinds") or KINDS_OF_CHANGE
+    if not set(wanted) <= set(KINDS_OF_CHANGE):
+        raise QueryError("core:invalid_arguments", str(wanted))
+    base, target = c.base, c.artifacts
+    if f := a.get("filter"):
+        target = target.where(relational.structural_filter(**f))
+        base = base.where(matches_any(F.col("path"), list(f["paths"]))) if f.get("paths") else base
+    if a.get("selection"):
+        target = target.join(c.subjects(a["selection"]).withColumnRenamed("id", "artifact_id"), "artifact_id", "left_semi")
+        base = base.join(target.select("path"), "path", "left_semi")
+    found = temporal.compare(base, target.select("path", F.col("content_hash").alias("content")), include_possible=a.get("correlation_policy") == "include_possible")
+    return {k: found.where(F.col("change") == k) for k in wanted}
 
 
 def _context(c: Corpus, a: dict) -> Streams:
@@ -238,11 +317,11 @@ OPERATIONS: dict[str, tuple[Callable[[Corpus, dict], Streams], set[str], set[str
 
 #: Arguments of the contract that the handlers don't apply: a request that gives one is refused.
 NOT_APPLIED: dict[str, set[str]] = {
-    "core:get_outline": {"filter", "include_non_public"},
-    "core:find_references": {"reference_roles", "include_declarations", "filter"},
-    "core:expand_relations": {"filter"},
-    "core:analyze_impact": {"include_tests", "filter"},
-    "core:find_related_tests": {"relationship_scope", "include_fixtures", "filter"},
+    "core:discover_definitions": {"include_full_definitions"},
+    "core:resolve_symbol": {"context_byte_offset"},
+    "core:search_hybrid": {"require_structural_subject", "query_class"},
+    "core:get_source": {"include_related_evidence"},
+    "core:build_context": {"query_class"},
 }
 
 
@@ -255,4 +334,4 @@ def evaluate(corpus: Corpus, name: str, arguments: dict) -> Streams:
         raise QueryError("core:invalid_arguments", f"{name}: {sorted(required - set(arguments) | set(arguments) - allowed)}")
     if given := sorted(k for k in NOT_APPLIED.get(name, ()) if arguments.get(k) is not None and arguments[k] != {}):
         raise QueryError("core:required_capability_unsupported", f"{name}: {given}")
-    return handler(corpus, arguments)
+    return handler(corpus.snapshot(), arguments)

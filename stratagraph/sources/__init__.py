@@ -41,9 +41,35 @@ def inclusion(path: Column, size: Column, binary: Column, rules: list[tuple[str,
     return F.when(matches_any(path, EXCLUDED), "mandatory_exclusion").when(size > MAX_BYTES, "too_large").when(binary, "binary").otherwise(decided)
 
 
+def ignored(path: Column, lines: list[str]) -> Column:
+    """Whether ignore lines leave a path out: the last matching line decides, `!` takes back.  A pattern without an
+    inner `/` matches at any depth, one that ends in `/` what lies below such a folder; blank lines and `#` are notes."""
+    from stratagraph.functions import matches_any
+
+    out = F.lit(False)
+    for line in lines:
+        line = line.strip()
+        if not line or line.startswith("#"):
+            continue
+        keep, pattern = line.startswith("!"), line.removeprefix("!")
+        folder, anchored = pattern.endswith("/"), "/" in pattern.rstrip("/")
+        glob = ("" if anchored else "**/") + pattern.strip("/")
+        globs = [glob + "/**"] if folder else [glob, glob + "/**"]
+        out = F.when(matches_any(path, globs), F.lit(not keep)).otherwise(out)
+    return out
+
+
+class SourceChanged(ValueError):
+    """core:source_changed: a batch whose bytes aren't those observed."""
+
+
 def stable_read(observed: DataFrame, read: DataFrame) -> DataFrame:
-    """Files whose content still has the hash of its observation."""
-    return read.join(observed.select("uri", F.col("content_hash").alias("_seen")), "uri").where("content_hash = _seen").drop("_seen")
+    """The batch as read, if every observed file is there with the hash of its observation; else the whole batch is refused."""
+    seen = observed.select("uri", F.col("content_hash").alias("_seen")).join(read.select("uri", "content_hash"), "uri", "left")
+    bad = seen.where(~F.col("_seen").eqNullSafe(F.col("content_hash"))).select("uri").limit(1).collect()
+    if bad:
+        raise SourceChanged(bad[0]["uri"])
+    return read.join(observed.select("uri"), "uri", "left_semi")
 
 
 def blobs(files: DataFrame) -> DataFrame:
@@ -51,6 +77,22 @@ def blobs(files: DataFrame) -> DataFrame:
     return files.dropDuplicates(["content_hash", "byte_length"]).select("content_hash", "byte_length", "content")
 
 
+def write_blobs(files: DataFrame, path: str) -> None:
+    """Adds contents that the store at `path` doesn't hold yet."""
+    spark, new = files.sparkSession, blobs(files)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        new = new.join(spark.read.parquet(path).select("content_hash"), "content_hash", "left_anti")
+    new.write.mode("append").parquet(path)
+
+
+def read_blobs(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """content_hash, byte_length, content of the wanted hashes; a blob that doesn't have its hash is an error of the read."""
+    held = spark.read.parquet(path).join(wanted.select("content_hash").distinct(), "content_hash", "left_semi")
+    whole = (F.sha2("content", 256) == F.col("content_hash")) & (F.octet_length("content") == F.col("byte_length"))
+    return held.withColumn("content", F.when(whole, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("core:blob_corrupt "), "content_hash")).cast("binary")))
+
+
 # ---------------------------------------------------------------- benchmark tables
 
 

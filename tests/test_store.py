@@ -169,3 +169,35 @@ def test_manifests_are_written_once_and_read_by_ordinal(spark, tmp_path):
     assert [(r.k, r.ordinal) for r in paging.page(stored, after=9, limit=3).collect()] == [(f"k{i:03}", i) for i in (10, 11, 12)]
     assert [r.ordinal for r in paging.page(stored, before=3, limit=5).collect()] == [0, 1, 2]
     assert "PushedFilters: [IsNotNull(ordinal), GreaterThanOrEqual(ordinal" in paging.page(stored, after=9, limit=3)._jdf.queryExecution().toString()
+
+
+def test_sources_are_stable_or_refused(spark, tmp_path):
+    from stratagraph import sources
+
+    for name, data in (("a.txt", b"one"), ("sub/b.bin", b"\x00x"), ("sub/c.txt", b"one")):
+        (tmp_path / "src" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src" / name).write_bytes(data)
+    files = sources.directory(spark, str(tmp_path / "src"))
+    assert {r.path.rpartition("/")[2]: r.is_binary for r in files.collect()} == {"a.txt": False, "b.bin": True, "c.txt": False}
+    seen = spark.createDataFrame(files.select("uri", "content_hash").collect())
+    assert sources.stable_read(seen, files).count() == 3
+    with pytest.raises(sources.SourceChanged):
+        sources.stable_read(seen.withColumn("content_hash", F.lit("0" * 64)), files)
+    with pytest.raises(sources.SourceChanged):
+        sources.stable_read(seen, files.where("not is_binary"))
+    store = str(tmp_path / "blobs")
+    sources.write_blobs(files, store)
+    sources.write_blobs(files, store)
+    assert spark.read.parquet(store).count() == 2 and sources.read_blobs(spark, store, seen).count() == 2
+    spark.createDataFrame([("f" * 64, 1, bytearray(b"z"))], "content_hash string, byte_length long, content binary").write.mode("append").parquet(store)
+    with pytest.raises(Exception, match="blob_corrupt"):
+        sources.read_blobs(spark, store, spark.createDataFrame([("f" * 64,)], "content_hash string")).collect()
+
+
+def test_ignore_lines(spark):
+    from stratagraph import sources
+
+    paths = ["a.log", "x/b.log", "x/keep.log", "build/a.ts", "x/build/a.ts", "src/build.ts", "docs/a.md"]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    lines = ["# notes", "", "*.log", "!keep.log", "/build/", "docs/*.md"]
+    assert sorted(r.path for r in rows.where(sources.ignored(F.col("path"), lines)).collect()) == ["a.log", "build/a.ts", "docs/a.md", "x/b.log"]

@@ -329,7 +329,7 @@ def inspect_architecture(spark, d):
 
 @query(
     """, h AS (SELECT artifact_id, hex(encode(lower(nfc_normalize(text)))) AS h FROM artifacts),
-g AS (SELECT DISTINCT artifact_id, lower(substr(h, 2 * i + 1, 6)) AS trigram FROM (SELECT artifact_id, h, unnest(range(0, CAST(len(h) AS BIGINT) // 2 - 2)) AS i FROM h))
+g AS (SELECT DISTINCT artifact_id, lower(unnest(list_concat(regexp_extract_all(h, '.{6}'), regexp_extract_all(substr(h, 3), '.{6}'), regexp_extract_all(substr(h, 5), '.{6}')))) AS trigram FROM h)
 SELECT trigram, count(*) AS documents FROM g GROUP BY 1""",
     artifacts=True,
 )

@@ -40,7 +40,8 @@ _NUMBER = "<<var most=1; match=[0-9a-z]>>"
 _BSD = f"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {_NUMBER} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer {_NUMBER} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
 _BSD_NAMES = f"{_NUMBER} neither the name of <<var most=12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
 _BSD_WARRANTY = "this software is provided by the <<var least=1; most=8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the <<var least=1; most=8>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
-_GNU = "<<var least=1; most=4>> is free software you can redistribute it and or modify it under the terms of the gnu {kind} public license as published by the free software foundation either version <<var least=1; most=2; match=[0-9]+>> of the license or at your option any later version"
+#: A notice begins behind the program's name: a template that may begin with any word would be tried at every word.
+_GNU = "is free software you can redistribute it and or modify it under the terms of the gnu {kind} public license as published by the free software foundation either version <<var least=1; most=2; match=[0-9]+>> of the license or at your option any later version"
 _GNU_WARRANTY = "<<var least=1; most=4>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {kind} public license for more details"
 _GNU_COPY = "<<optional>>you should have received a copy of the gnu {kind} public license along with this <<var least=1; most=4>> if not <<optional>>see<</optional>> <<optional>><<var most=1; match=https?>> www gnu org licenses<</optional>><</optional>>"
 #: label -> markup.

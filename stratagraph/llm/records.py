@@ -24,11 +24,12 @@ shuffled read permutes index rows and takes frames by offset.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratagraph.llm import words
-from stratagraph.llm.common import arrow_rows, partitions
+from stratagraph.llm.common import arrow_rows, partitions, written
 
 NO_ID, WIDE = 1, 2
 _HEAD = struct.Struct("<QI")
@@ -57,18 +58,22 @@ def frame(record_id: int | None, tokens: np.ndarray) -> bytes:
     return size + _CHECK.pack(masked(size)) + payload + _CHECK.pack(masked(payload))
 
 
-def frames(content) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
-    """(offset, frame length, record id, tokens as u32) of each record of a shard.
-    ValueError for a damaged frame."""
+def frames(content, whole: bool = True) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
+    """(offset, frame length, record id, tokens as u32) of each record of a shard.  ValueError for a
+    damaged frame.  whole: nothing follows, so a frame cut off at the end is damaged too; else it is left."""
     at, view = 0, memoryview(content)
     while at < len(view):
         if at + _HEAD.size > len(view):
+            if not whole:
+                return
             raise ValueError(f"record at {at}: cut off")
         length, check = _HEAD.unpack_from(view, at)
         if masked(view[at : at + 8]) != check:
             raise ValueError(f"record at {at}: bad length checksum")
         body = view[at + _HEAD.size : at + _HEAD.size + length]
         end = at + _HEAD.size + length
+        if end + 5 > len(view) and not whole:
+            return
         if end + 5 > len(view) or masked(body) != _CHECK.unpack_from(view, end)[0] or view[end + 4] != 10:
             raise ValueError(f"record at {at}: bad payload checksum")
         flags, record_id = _PAYLOAD.unpack_from(body, 0)
@@ -77,6 +82,24 @@ def frames(content) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
         at = end + 5
 
 
+def frames_of_pieces(pieces: Iterable[tuple[bytes, bool]]) -> Iterator[list[tuple[int, int, int | None, np.ndarray]]]:
+    """What frames() gives, from a shard's pieces (bytes, whether it is the last): a list for each piece that
+    ends a frame.  Only a frame that a piece cuts is held until its rest has come."""
+    base, held, size, need = 0, [], 0, 0
+    for piece, last in pieces:
+        held.append(piece)
+        size += len(piece)
+        if size < need and not last:
+            continue
+        content = b"".join(held)
+        found = [(base + at, length, record_id, tokens) for at, length, record_id, tokens in frames(content, last)]
+        used = sum(length for _, length, _, _ in found)
+        base, held, size = base + used, [content[used:]], size - used
+        need = _HEAD.size + _HEAD.unpack_from(held[0])[0] + 5 if size >= _HEAD.size else 0
+        if found:
+            yield found
+
+
 #: Distinct pieces whose ids a worker keeps; beyond it the memory starts anew.
 KEPT_PIECES = 1_000_000
 #: New pieces that are kept apart before they are merged into the large level.
@@ -271,7 +294,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "
     Special tokens' strings inside of texts give their special ids, as the
     library's default is; special_as_text encodes them as ordinary text.  Texts
     are parted into pieces only for byte-level BPE; other tokenizers take them
-    whole.  shard_mb: input of a shard, which is read back as one.
+    whole.  shard_mb: input of a shard, which is read back in pieces.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,12 +310,11 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     if not keep_order:
         rows = rows.repartitionByRange(partitions(docs, shard_mb), "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
-    with arrow_rows(docs.sparkSession, 1000, 4 << 20):
+    with arrow_rows(docs.sparkSession, 1000, 2 << 20):
         rows.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/shards")
 
-    def index(content: bytes) -> list:
-        found = [(at, length, record_id, len(tokens)) for at, length, record_id, tokens in frames(content)]
-        return [range(len(found)), *(zip(*found) if found else ((),) * 4)]
+    def index(found: list, records: int, tokens: int) -> list:
+        return [range(records, records + len(found)), *zip(*((at, length, record_id, len(ids)) for at, length, record_id, ids in found))]
 
     with arrow_rows(docs.sparkSession, 1):
         per_shard(docs.sparkSession, path, index, INDEX).write.parquet(f"{path}/index")
@@ -301,23 +323,36 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "
 INDEX = "shard string, position long, offset long, length long, id long, n_tokens long"
 
 
-def per_shard(spark: SparkSession, path: str, columns: Callable[[bytes], list], schema: str) -> DataFrame:
-    """shard and the columns that columns(content) makes of every shard file, which Spark reads.  A task's
-    memory holds an Arrow batch of shards: one, or as many as spark.sql.execution.arrow.maxBytesPerBatch has."""
+#: Bytes of a shard that go to a Python worker at once.  Whole shards would make the executor allocate, beside its
+#: heap, buffers of several times their size, which the allocator keeps.
+PIECE = 1 << 20
+
+
+def per_shard(spark: SparkSession, path: str, columns: Callable[[list, int, int], list], schema: str) -> DataFrame:
+    """shard and the columns that columns(frames, records before, tokens before) makes of every shard file, which
+    Spark reads and hands over in pieces.  A task's memory holds an Arrow batch of pieces: run it within
+    arrow_rows(spark, 1) for one at a time."""
     names = [x.split(" ") for x in schema.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64()}
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bool, bytes]]:
         for b in batches:
-            shards, contents = words.column(b, "shard").to_pylist(), words.column(b, "content")
-            for k, shard in enumerate(shards):
-                made = columns(memoryview(contents[k].as_buffer()))
-                n = len(made[0])
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.string()), *(pa.array(list(x), kinds[kind]) for x, (_, kind) in zip(made, names[1:]))], [name for name, _ in names])
+            for shard, last, content in zip(words.column(b, "shard").to_pylist(), words.column(b, "last").to_pylist(), words.column(b, "content")):
+                yield shard, last, content.as_buffer().to_pybytes()
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, own in itertools.groupby(pieces(batches), lambda x: x[0]):
+            records = tokens = 0
+            for found in frames_of_pieces((content, last) for _, last, content in own):
+                made = columns(found, records, tokens)
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(made[0]), pa.string()), *(pa.array(list(x), kinds[kind]) for x, (_, kind) in zip(made, names[1:]))], [name for name, _ in names])
+                records += len(found)
+                tokens += sum(len(ids) for _, _, _, ids in found)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards")
-    files = files.select(F.regexp_extract("path", r"part-(\d+)", 1).alias("shard"), "content")
-    return files.mapInArrow(take, schema)
+    parts = F.expr(f"transform(sequence(0, greatest(length(content) - 1, 0), {PIECE}), at -> substring(content, at + 1, {PIECE}))")
+    cut = files.select(F.regexp_extract("path", r"part-(\d+)", 1).alias("shard"), "length", F.posexplode(parts).alias("piece", "content"))
+    return cut.select("shard", ((F.col("piece").cast("long") + 1) * PIECE >= F.col("length")).alias("last"), "content").mapInArrow(take, schema)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -334,14 +369,12 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """id, start, n_tokens, ids_crc32 of every record, from the files (each checksum verified)."""
 
-    def digest(content: bytes) -> list:
-        found, start = [], 0
-        for _, _, record_id, tokens in frames(content):
-            found.append((record_id, start, len(tokens), zlib.crc32(tokens)))
-            start += len(tokens)
-        return list(zip(*found)) if found else [(), (), (), ()]
+    def digest(found: list, records: int, tokens: int) -> list:
+        starts = itertools.accumulate((len(ids) for _, _, _, ids in found), initial=tokens)
+        return list(zip(*((record_id, start, len(ids), zlib.crc32(ids)) for (_, _, record_id, ids), start in zip(found, starts))))
 
-    rows = per_shard(spark, path, digest, "shard string, id long, local long, n_tokens long, ids_crc32 long")
+    with arrow_rows(spark, 1):
+        rows = written(per_shard(spark, path, digest, "shard string, id long, local long, n_tokens long, ids_crc32 long"), "digests")
     return rows.join(shard_starts(spark, path), "shard").select("id", (F.col("shard_start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 

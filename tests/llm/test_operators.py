@@ -80,6 +80,26 @@ def test_damaged_records_are_refused():
             list(records.frames(bytes(bad)))
 
 
+def test_shards_are_read_in_pieces(spark, corner, monkeypatch):
+    """Workers never hold a whole shard: pieces, and the frame that one cuts; the records stay the same."""
+    import public_tokenizers
+
+    at = scratch(spark, "t")
+    records.write_records(corner.coalesce(1), at, public_tokenizers.path("byte_bpe_50k.json"), keep_order=True)
+    whole = sorted(map(str, map(tuple, records.read_digests(spark, at).collect())))
+    monkeypatch.setattr(records, "PIECE", 1000)
+    held = records.per_shard(spark, at, lambda found, *before: [[sum(x[1] for x in found)], [max(x[1] for x in found)]], "shard string, held long, frame long").collect()
+    assert len(held) > 1 and all(r.held < 1000 + r.frame for r in held)
+    index = {(r.position, r.offset, r.length, r.id, r.n_tokens) for r in records.read_index(spark, at).collect()}
+    again = records.per_shard(spark, at, lambda found, n, tokens: [range(n, n + len(found)), *zip(*((o, size, i, len(t)) for o, size, i, t in found))], records.INDEX).collect()
+    assert len(again) == corner.count() and {tuple(r)[1:] for r in again} == index
+    assert sorted(map(str, map(tuple, records.read_digests(spark, at).collect()))) == whole
+    frame = records.frame(5, np.array([1, 2, 3], "<u2")) + b"\n"
+    for pieces in ([(frame[:20], False), (frame[20:-1], True)], [(frame + frame[:5], True)]):
+        with pytest.raises(ValueError):
+            list(records.frames_of_pieces(pieces))
+
+
 def test_quality_learns_and_handles_corners(spark, corner, empty):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, len(quality.STATISTICS)))

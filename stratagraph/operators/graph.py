@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,13 +166,75 @@ def _spread_colours(e: DataFrame, colours: DataFrame, where: str = "true") -> Da
         colours = now.drop("changed")
 
 
+#: Edges whose components one task finds (as whole numbers in its memory); more are coloured first.
+ONE_TASK = 1_000_000
+
+
+def _components_at_once(e: DataFrame) -> DataFrame:
+    """id, component of e(u, v)'s nodes on cycles, by Tarjan's algorithm in one task: linear time, whatever the paths' length."""
+
+    def strong(heads: list[int], to: list[int]) -> list[int]:
+        n = len(heads) - 1
+        index, low, own, at = [0] * n, [0] * n, [-1] * n, heads[:-1]
+        count, open_nodes = 0, []
+        for root in range(n):
+            way = [] if index[root] else [root]
+            while way:
+                x = way[-1]
+                if not index[x]:
+                    count += 1
+                    index[x] = low[x] = count
+                    open_nodes.append(x)
+                if at[x] < heads[x + 1]:
+                    y = to[at[x]]
+                    at[x] += 1
+                    if not index[y]:
+                        way.append(y)
+                    elif own[y] < 0:
+                        low[x] = min(low[x], index[y])
+                    continue
+                way.pop()
+                if low[x] == index[x]:
+                    while own[x] < 0:
+                        own[open_nodes.pop()] = x
+                if way:
+                    low[way[-1]] = min(low[way[-1]], low[x])
+        return own
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, pa.schema([("u", pa.string()), ("v", pa.string())]))
+        both = pa.chunked_array([*table["u"].chunks, *table["v"].chunks], pa.string())
+        ids = pc.unique(both)
+        ids = ids.take(pc.sort_indices(ids))
+        codes = pc.index_in(both, ids).to_numpy()
+        u, v = codes[: len(table)], codes[len(table) :]
+        order = np.argsort(u, kind="stable")
+        heads = np.searchsorted(u[order], np.arange(len(ids) + 1))
+        own = np.array(strong(heads.tolist(), v[order].tolist()), np.int64)
+        smallest = np.full(len(ids), len(ids), np.int64)
+        np.minimum.at(smallest, own, np.arange(len(ids)))
+        ringed = np.bincount(own, minlength=len(ids))[own] > 1
+        ringed[u[u == v]] = True
+        for part in np.array_split(np.flatnonzero(ringed), ringed.sum() // 10_000 + 1):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(part)), ids.take(pa.array(smallest[own[part]]))], ["id", "component"])
+
+    return e.select(F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v")).coalesce(1).mapInArrow(find, "id string, component string")
+
+
 def cycles(edges: DataFrame, kinds=()) -> DataFrame:
-    """id, component (its smallest id) of nodes on cycles, by forward and backward colouring: every node takes
-    the smallest id that reaches it; whatever of a colour also reaches that id is its component.  Components
-    found are taken away with their edges and the rest starts anew.  Tables have a row a node or an edge."""
-    e = _trimmed(directed(edges, "outbound", kinds).select("u", "v").distinct())
+    """id, component (its smallest id) of nodes on cycles.  Up to ONE_TASK edges are searched at once; more by
+    forward and backward colouring: every node takes the smallest id that reaches it; whatever of a colour also
+    reaches that id is its component.  Components found are taken away with their edges and the rest starts anew.
+    Tables have a row a node or an edge.  Colouring takes as many rounds as the longest way has steps."""
+    e = _cut(directed(edges, "outbound", kinds).select("u", "v").distinct().where("u is not null and v is not null"))
     out = None
-    while not e.isEmpty():
+    while True:
+        if e.count() <= ONE_TASK:
+            rest = _cut(_components_at_once(e))
+            return rest if out is None else out.union(rest)
+        e = _trimmed(e)
+        if e.isEmpty():
+            continue
         nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
         colours = _spread_colours(e, nodes.withColumn("colour", F.col("node")))
         # backward from each colour's own node, within the colour
@@ -182,8 +248,7 @@ def cycles(edges: DataFrame, kinds=()) -> DataFrame:
         part = _cut(rings.select(F.col("node").alias("id"), F.col("colour").alias("component")).distinct())
         out = part if out is None else out.union(part)
         gone = found.select("node")
-        e = _trimmed(e.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v"))
-    return out if out is not None else e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        e = _cut(e.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v"))
 
 
 def chain_confidence(links: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +39,30 @@ def test_cycles_are_components(spark):
     assert {(r.id, r.component) for r in graph.cycles(e).collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "c")}
 
 
+def test_long_ring_takes_few_jobs(spark):
+    names = [f"n{k:03}" for k in range(40)]
+    pairs = [(a, b) for k, a in enumerate(names) for b in (names[k - 1], names[k - 3])] + [("x", "n000"), ("y", "y"), ("x", None)]
+    e = spark.createDataFrame([(f"{a}{b}", a, b, "core:call", "confirmed") for a, b in pairs], "edge_id string, src string, dst string, kind string, classification string")
+    spark.sparkContext.setJobGroup("ring", "")
+    found = {(r.id, r.component) for r in graph.cycles(e).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("ring")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {(n, "n000") for n in names} | {("y", "y")} and len(jobs) < 20
+
+
+@pytest.mark.parametrize("most", [0, 5, 100])
+def test_components_by_colours_and_at_once(spark, monkeypatch, most):
+    rng = random.Random(7)
+    pairs = sorted({(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(20)})
+    reach = set(pairs)
+    for k in {x for p in pairs for x in p}:
+        reach |= {(a, b) for a, c in reach if c == k for d, b in reach if d == k}
+    want = {(a, min([a] + [b for b in {y for _, y in pairs} if (a, b) in reach and (b, a) in reach])) for a, c in reach if a == c}
+    e = spark.createDataFrame([(f"{a}{b}", a, b, "core:call", "confirmed") for a, b in pairs], "edge_id string, src string, dst string, kind string, classification string")
+    monkeypatch.setattr(graph, "ONE_TASK", most)
+    assert {(r.id, r.component) for r in graph.cycles(e).collect()} == want
+
+
 def test_confidence_is_best_of_weakest(spark):
     links = spark.createDataFrame([("s", 1, "high"), ("s", 1, "low"), ("s", 2, "medium"), ("s", 2, "medium")], "subject string, chain int, confidence string")
     assert [tuple(r) for r in graph.chain_confidence(links).collect()] == [("s", "medium")]

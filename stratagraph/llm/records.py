@@ -323,8 +323,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "
 INDEX = "shard string, position long, offset long, length long, id long, n_tokens long"
 
 
-#: Bytes of a shard that go to a Python worker at once.  Whole shards would make the executor allocate, beside its
-#: heap, buffers of several times their size, which the allocator keeps.
+#: Bytes of a shard that go to a Python worker at once: the buffers on the way stay small however large a shard is.
 PIECE = 1 << 20
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +56,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, read again: lineage ends there and an
-    executor's loss costs nothing that is done."""
+    executor's loss costs nothing that is done.  What this made before is returned as it is."""
+    if hasattr(df, "_written_at"):
+        return df
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -80,6 +84,14 @@ def arrow_rows(spark: SparkSession, rows: int, size: int = 16 << 20):
                 spark.conf.set(name, value)
 
 
+def give_back() -> None:
+    """What a Python worker has freed goes back to the system.  Workers live on from stage to stage: else what the
+    allocators keep of one stage adds to what the next one takes."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables made by written(), and the shuffle files that made them; nothing may read them later."""
     for t in tables:

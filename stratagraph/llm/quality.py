@@ -16,10 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.llm import words
+from stratagraph.llm.common import arrow_rows, give_back, written
 
 #: Labelled documents that a fit uses at most (of those, the first in an order hashed from the id).
 FIT_ROWS = 40_000
 TREES, DEPTH, BINS, RATE, LEAST_WEIGHT, RIDGE = 120, 4, 64, 0.1, 5.0, 1.0
+#: Bytes of text measured at once: their running sums and hashes take many times as much.
+SLICE = 1_000_000
+#: Rows and bytes of an Arrow batch on its way to a Python worker.
+BATCH = 1000, 2 << 20
 #: score >= this: predicted 1, and kept by keep_good().
 THRESHOLD = 0.7
 
@@ -112,7 +117,8 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def column_statistics(texts: pa.Array) -> np.ndarray:
     buf, offsets = words.text_bytes(texts)
-    parts = [statistics(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in words.slices(offsets)]
+    parts = [statistics(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in words.slices(offsets, SLICE)]
+    give_back()
     return np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
 
 
@@ -216,7 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", most: int
     chosen = sample_labels(labels, label, held_out("doc_id", parts, part), most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     measured = rows.select("doc_id", "_y", measure("text").alias("x"))
-    table = measured.groupBy("doc_id").agg(F.min("_y").alias("y"), F.min("x").alias("x")).orderBy("doc_id").toArrow()
+    with arrow_rows(docs.sparkSession, *BATCH):
+        table = measured.groupBy("doc_id").agg(F.min("_y").alias("y"), F.min("x").alias("x")).orderBy("doc_id").toArrow()
     if not table.num_rows:
         return grow(np.zeros((0, len(STATISTICS))), np.zeros(0))
     x = table.column("x").combine_chunks()
@@ -247,8 +254,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents (all columns) that the classifier doesn't reject; where no label can be learned from, all."""
+    """The documents (all columns) that the classifier doesn't reject; where no label can be learned from, all.
+    They are written here, as batches keep their bounds only for what runs here."""
     model = fit(docs, labels)
     if not len(model.feature):
         return docs
-    return docs.where(score_column(model) >= THRESHOLD)
+    with arrow_rows(docs.sparkSession, *BATCH):
+        return written(docs.where(score_column(model) >= THRESHOLD), "good")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from stratagraph.llm import words
-from stratagraph.llm.common import written
+from stratagraph.llm.common import give_back, written
 
 WINDOW = 13
 #: contaminated: some word is hit, and 20 * hits >= words.
@@ -269,6 +269,7 @@ def clean_column(sent: Broadcast, text: str = "text") -> Column:
         for _, _, buf, offsets in _slices(texts):
             hits = shard_hits(buf, offsets, sent.value)
             flags.append(~((hits.n_hit > 0) & (SHARE * hits.n_hit >= hits.n_words)))
+        give_back()
         return pa.array(np.concatenate(flags))
 
     return clean(text)

@@ -145,12 +145,13 @@ def impact(edges: DataFrame, target: DataFrame, *, include_transitive: bool = Tr
 
 
 def _trimmed(e: DataFrame) -> DataFrame:
-    """Edges (u, v) left once nodes without a way in or out are taken away, again and again."""
+    """Edges (u, v) left once nodes without a way in or out are taken away, again and again while a tenth goes: a long
+    way without cycles would take a round for each of its steps."""
     size = None
     while True:
         e = _cut(e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v"))
         now = e.count()
-        if now in (0, size):
+        if now == 0 or size is not None and now > 0.9 * size:
             return e
         size = now
 
@@ -166,14 +167,15 @@ def _spread_colours(e: DataFrame, colours: DataFrame, where: str = "true") -> Da
         colours = now.drop("changed")
 
 
-#: Edges whose components one task finds (as whole numbers in its memory); more are coloured first.
+#: Edges whose components one task finds (as whole numbers in its memory); more are contracted by blocks first.
 ONE_TASK = 1_000_000
 
 
-def _components_at_once(e: DataFrame) -> DataFrame:
-    """id, component of e(u, v)'s nodes on cycles, by Tarjan's algorithm in one task: linear time, whatever the paths' length."""
+def _search():
+    """What finds the components of a table, made here so that workers get it whole: they may lack this package."""
 
     def strong(heads: list[int], to: list[int]) -> list[int]:
+        """A node of each node's component, by Tarjan's algorithm: linear time, whatever the paths' length."""
         n = len(heads) - 1
         index, low, own, at = [0] * n, [0] * n, [-1] * n, heads[:-1]
         count, open_nodes = 0, []
@@ -201,8 +203,8 @@ def _components_at_once(e: DataFrame) -> DataFrame:
                     low[way[-1]] = min(low[way[-1]], low[x])
         return own
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches, pa.schema([("u", pa.string()), ("v", pa.string())]))
+    def components(table: pa.Table) -> pa.Table:
+        """id, component of the nodes on cycles of a table (u, v)."""
         both = pa.chunked_array([*table["u"].chunks, *table["v"].chunks], pa.string())
         ids = pc.unique(both)
         ids = ids.take(pc.sort_indices(ids))
@@ -215,40 +217,81 @@ def _components_at_once(e: DataFrame) -> DataFrame:
         np.minimum.at(smallest, own, np.arange(len(ids)))
         ringed = np.bincount(own, minlength=len(ids))[own] > 1
         ringed[u[u == v]] = True
-        for part in np.array_split(np.flatnonzero(ringed), ringed.sum() // 10_000 + 1):
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(part)), ids.take(pa.array(smallest[own[part]]))], ["id", "component"])
+        part = np.flatnonzero(ringed)
+        return pa.table({"id": ids.take(pa.array(part)), "component": ids.take(pa.array(smallest[own[part]]))})
 
-    return e.select(F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v")).coalesce(1).mapInArrow(find, "id string, component string")
+    return components
+
+
+def _components_at_once(e: DataFrame) -> DataFrame:
+    """id, component of e(u, v)'s nodes on cycles, in one task."""
+    components = _search()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, pa.schema([("u", pa.string()), ("v", pa.string())]))
+        yield from components(table).to_batches(10_000)
+
+    return e.coalesce(1).mapInArrow(find, "id string, component string")
+
+
+def _components_by_blocks(e: DataFrame, blocks: int) -> DataFrame:
+    """id, component of nodes on cycles that lie within a block; the blocks are ranges of ids with about as many nodes each.
+    Such a component is a part of one of the whole graph."""
+    nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
+    block = _cut(nodes.repartitionByRange(blocks, "node").select("node", F.spark_partition_id().alias("block")))
+    inside = e.join(block.toDF("u", "block"), "u").join(block.toDF("v", "_b"), "v").where("block = _b").select("u", "v", "block")
+    components = _search()
+    return _cut(inside.groupBy("block").applyInArrow(lambda table: components(table.select(["u", "v"])), "id string, component string"))
+
+
+def _joined_up(own: DataFrame | None, found: DataFrame) -> DataFrame:
+    """id, component of all nodes in components so far, after those in `own`, each under its component's id, were joined into `found`."""
+    if own is None:
+        return found
+    to = found.select(F.col("id").alias("component"), F.col("component").alias("_c"))
+    moved = own.join(to, "component", "left").select("id", F.coalesce("_c", "component").alias("component"))
+    return _cut(moved.union(found.join(own.select("id"), "id", "left_anti").select("id", "component")))
+
+
+def _components_by_colours(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """id, component of some of e(u, v)'s nodes on cycles, and the edges left to search, by forward and backward colouring:
+    every node takes the smallest id that reaches it; whatever of a colour also reaches that id is its component."""
+    nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
+    colours = _spread_colours(e, nodes.withColumn("colour", F.col("node")))
+    # backward from each colour's own node, within the colour
+    inside = _cut(e.join(colours.toDF("u", "cu"), "u").join(colours.toDF("v", "cv"), "v").where("cu = cv").select("u", "v", F.col("cu").alias("colour")))
+    parts = inside.rdd.getNumPartitions()
+    found = front = _cut(colours.where("node = colour"))
+    while not front.isEmpty():
+        back = inside.join(front.select(F.col("node").alias("v"), "colour"), ["v", "colour"]).select(F.col("u").alias("node"), "colour").distinct()
+        front = _cut(back.join(found, ["node", "colour"], "left_anti"))
+        found = _cut(found.union(front).coalesce(max(1, parts)))  # a union's partitions would grow with the rounds
+    rings = found.join(inside.select(F.col("u").alias("node"), F.col("v").alias("to"), "colour"), ["node", "colour"]).join(found.select(F.col("node").alias("to"), "colour"), ["to", "colour"], "left_semi")
+    part = _cut(rings.select(F.col("node").alias("id"), F.col("colour").alias("component")).distinct())
+    gone = found.select("node")
+    return part, _cut(e.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v"))
 
 
 def cycles(edges: DataFrame, kinds=()) -> DataFrame:
-    """id, component (its smallest id) of nodes on cycles.  Up to ONE_TASK edges are searched at once; more by
-    forward and backward colouring: every node takes the smallest id that reaches it; whatever of a colour also
-    reaches that id is its component.  Components found are taken away with their edges and the rest starts anew.
-    Tables have a row a node or an edge.  Colouring takes as many rounds as the longest way has steps."""
-    e = _cut(directed(edges, "outbound", kinds).select("u", "v").distinct().where("u is not null and v is not null"))
-    out = None
-    while True:
-        if e.count() <= ONE_TASK:
-            rest = _cut(_components_at_once(e))
-            return rest if out is None else out.union(rest)
-        e = _trimmed(e)
-        if e.isEmpty():
-            continue
-        nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
-        colours = _spread_colours(e, nodes.withColumn("colour", F.col("node")))
-        # backward from each colour's own node, within the colour
-        inside = _cut(e.join(colours.toDF("u", "cu"), "u").join(colours.toDF("v", "cv"), "v").where("cu = cv").select("u", "v", F.col("cu").alias("colour")))
-        found = front = _cut(colours.where("node = colour"))
-        while not front.isEmpty():
-            back = inside.join(front.select(F.col("node").alias("v"), "colour"), ["v", "colour"]).select(F.col("u").alias("node"), "colour").distinct()
-            front = _cut(back.join(found, ["node", "colour"], "left_anti"))
-            found = _cut(found.union(front))
-        rings = found.join(inside.select(F.col("u").alias("node"), F.col("v").alias("to"), "colour"), ["node", "colour"]).join(found.select(F.col("node").alias("to"), "colour"), ["to", "colour"], "left_semi")
-        part = _cut(rings.select(F.col("node").alias("id"), F.col("colour").alias("component")).distinct())
-        out = part if out is None else out.union(part)
-        gone = found.select("node")
-        e = _cut(e.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v"))
+    """id, component (its smallest id) of nodes on cycles.  Up to ONE_TASK edges are searched at once.  Of more, components
+    within blocks of neighbouring ids are found side by side and each becomes one node, as long as a tenth of the edges goes
+    by that; what is still more is coloured, in as many rounds as the longest way has steps.  Tables have a row a node or an edge."""
+    every = directed(edges, "outbound", kinds).select(F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v"))
+    e = _cut(every.distinct().where("u is not null and v is not null"))
+    loops = e.where("u = v").select(F.col("u").alias("id"), F.col("u").alias("component"))
+    own, count, turn = None, e.count(), 0
+    while count > ONE_TASK:
+        found = _components_by_blocks(e, -(-2 * count // max(1, ONE_TASK)) + turn % 2)  # other borders each time
+        own, turn = _joined_up(own, found), turn + 1
+        ends = [found.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")) for c in ("u", "v")]
+        e = e.where("u <> v").join(ends[0], "u", "left").join(ends[1], "v", "left").select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v"))
+        e = _trimmed(_cut(e.where("u <> v").distinct()))
+        before, count = count, e.count()
+        if count > max(ONE_TASK, 0.9 * before):
+            found, e = _components_by_colours(e)
+            own, count = _joined_up(own, found), e.count()
+    own = _joined_up(own, _cut(_components_at_once(e)))
+    return own.union(loops.join(own.select("id"), "id", "left_anti").select("id", "component"))
 
 
 def chain_confidence(links: DataFrame) -> DataFrame:

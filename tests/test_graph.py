@@ -72,3 +72,21 @@ def test_order_of_rows_does_not_matter(spark):
     e = edges(spark, ["ab", "ac", "bd", "cd", "de"])
     one = sorted(map(tuple, graph.expand(e, nodes(spark, "a"), max_depth=3).collect()))
     assert one == sorted(map(tuple, graph.expand(e.repartition(7, F.rand(1)), nodes(spark, "a"), max_depth=3).collect()))
+
+
+def test_chained_rings_beyond_one_task_take_few_jobs(spark, monkeypatch):
+    """Rings of seven, each tied to the next, some of them back: no rounds of colouring along the chain."""
+    rings, tied = 60, {3, 4, 5, 20, 41}
+    pairs = [(f"n{7 * r + k:04}", f"n{7 * r + (k + 1) % 7:04}") for r in range(rings) for k in range(7)]
+    pairs += [(f"n{7 * r:04}", f"n{7 * r + 7:04}") for r in range(rings - 1)] + [(f"n{7 * r + 7:04}", f"n{7 * r:04}") for r in tied] + [("z", "z")]
+    first = {}
+    for r in range(rings):
+        first[r] = first[r - 1] if r - 1 in tied else f"n{7 * r:04}"
+    e = spark.createDataFrame([(f"{a}{b}", a, b, "core:call", "confirmed") for a, b in pairs], "edge_id string, src string, dst string, kind string, classification string")
+    monkeypatch.setattr(graph, "ONE_TASK", 150)
+    spark.sparkContext.setJobGroup("rings", "")
+    found = {(r.id, r.component) for r in graph.cycles(e).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("rings")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {(f"n{7 * r + k:04}", first[r]) for r in range(rings) for k in range(7)} | {("z", "z")}
+    assert len(jobs) < 100

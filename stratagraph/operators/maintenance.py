@@ -108,16 +108,20 @@ def validate_delta(records: DataFrame, relations: DataFrame, scopes: DataFrame,
     return reduce(DataFrame.union, counted)
 
 
+def _whole(content: str = "content") -> Column:
+    """Whether stored bytes have their hash and the stated length; without a hash or bytes they haven't."""
+    return F.coalesce((F.sha2(content, 256) == F.col("content_hash")) & (F.octet_length(content) == F.col("byte_length")), F.lit(False))
+
+
 def verify_blobs(blobs: DataFrame) -> DataFrame:
     """content_hash of stored blobs whose bytes don't have it, or not the stated length."""
-    return blobs.where((F.sha2("content", 256) != F.col("content_hash")) | (F.octet_length("content") != F.col("byte_length"))).select("content_hash")
+    return blobs.where(~_whole()).select("content_hash")
 
 
 def repair_blobs(blobs: DataFrame, spare: DataFrame) -> DataFrame:
-    """The store with damaged blobs replaced from another copy where that one is whole."""
-    bad = verify_blobs(blobs)
-    whole = spare.join(verify_blobs(spare), "content_hash", "left_anti").join(bad, "content_hash", "left_semi")
-    return blobs.join(bad, "content_hash", "left_anti").unionByName(whole.select(blobs.columns))
+    """The store with damaged blobs replaced from another copy where that one is whole.  Rows count, not hashes: a whole
+    row stays beside a damaged one of its hash, and so does a whole spare."""
+    return blobs.where(_whole()).unionByName(spare.where(_whole()).join(verify_blobs(blobs), "content_hash", "left_semi").select(blobs.columns))
 
 
 def expired(executions: DataFrame, now: Column, minutes: int = 30) -> DataFrame:

@@ -201,3 +201,18 @@ def test_ignore_lines(spark):
     rows = spark.createDataFrame([(p,) for p in paths], "path string")
     lines = ["# notes", "", "*.log", "!keep.log", "/build/", "docs/*.md"]
     assert sorted(r.path for r in rows.where(sources.ignored(F.col("path"), lines)).collect()) == ["a.log", "build/a.ts", "docs/a.md", "x/b.log"]
+
+
+def test_repair_counts_rows_not_hashes(spark, tmp_path):
+    """Documents with the same text: damaged 37 and 74, of which one has a spare; 5 has the very bytes of 74's blob."""
+    rows = [(37, "a"), (74, "a"), (111, "b"), (148, "c"), (5, "ax"), (6, "a"), (7, None), (None, "d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    from stratagraph import catalogue_store
+
+    assert [tuple(r) for r in catalogue_store.repair_blobs(spark, str(tmp_path)).collect()] == [(4, 3, 0)]
+    want = "SELECT count(*) AS blobs, count(DISTINCT sha256(CASE WHEN doc_id % 37 = 0 THEN text || 'x' ELSE text END)) AS contents FROM documents WHERE text IS NOT NULL AND (doc_id % 37 <> 0 OR doc_id % 74 = 0)"
+    import duckdb
+
+    at = duckdb.connect()
+    at.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert at.execute(want).fetchall() == [(4, 3)]

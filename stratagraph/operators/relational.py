@@ -141,11 +141,44 @@ def deduplicate(df: DataFrame, key: str, *, order: list[Column], include_possibl
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+#: Parts of a key's pairs, made side by side.
+SPREAD = 16
+
+
+def _spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The join by a key, few of which may have nearly all rows: each key's left rows are dealt out into SPREAD parts that
+    all meet the right ones.  The numbers of partitions are given, so that a small input with a large output isn't put together."""
+    n = max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    deal = F.pmod(F.xxhash64("left_id"), F.lit(SPREAD)).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    dealt = left.withColumn("_s", deal).repartition(n, key, "_s").sortWithinPartitions(key, "_s")
+    return dealt.join(right.withColumn("_s", parts).repartition(n, key, "_s"), [key, "_s"])
+
+
+def _pairs(one: DataFrame, other: DataFrame) -> DataFrame:
+    """left_id, right_id of distinct (left_id, _k) and (right_id, _k): subjects that share several keys pair at the least."""
+    keys = lambda df, c: df.where("_k is not null").groupBy(c).agg(F.collect_set("_k").alias(f"_{c}")).select(c, f"_{c}", F.explode(f"_{c}").alias("_k"))
+    both = _spread(keys(one, "left_id"), keys(other, "right_id"), "_k")
+    least = F.array_min(F.array_intersect("_left_id", "_right_id"))
+    single = (F.size("_left_id") == 1) | (F.size("_right_id") == 1)
+    return both.where(single | (F.col("_k") == least)).select("left_id", "right_id")
+
+
+def _grouped(one: DataFrame, other: DataFrame) -> DataFrame:
+    """left_id, right_ids of distinct (left_id, _k) and (right_id, _k)."""
+    held = one.join(other.select("_k").distinct(), "_k", "left_semi").groupBy("left_id").agg(F.array_sort(F.collect_set("_k")).alias("_keys"))
+    sets = held.select("_keys").distinct()
+    rights = sets.select("_keys", F.explode("_keys").alias("_k")).join(other, "_k").groupBy("_keys").agg(F.array_join(F.array_sort(F.collect_set("right_id")), ",").alias("right_ids"))
+    return _spread(held, rights, "_keys").select("left_id", "right_ids")
+
+
 JOINS = {"same_subject": "subject_id", "same_entity": "entity_id", "same_artifact": "artifact_id", "portable_key_equal": "portable_key"}
 
 
 def join(left: DataFrame, right: DataFrame, mode: str, output: str = "pairs", *, edges: DataFrame | None = None, direction: str = "outbound") -> DataFrame:
-    """Of two subject tables: pairs (left_id, right_id), the left or right rows that pair, or grouped (left_id, right_ids)."""
+    """Of two subject tables: pairs (left_id, right_id), the left or right rows that pair, or grouped (left_id, right_ids).
+    Pairs by a key are as many as the product of its subjects on both sides, so they are made where they are needed, each
+    once, and not shuffled; grouped collects each set of keys once, not once for every subject that has it."""
     if mode not in (*JOINS, "relation_exists") or output not in ("pairs", "left", "right", "grouped"):
         raise QueryError("core:invalid_join", f"{mode} {output}")
     if output == "right":
@@ -164,7 +197,7 @@ def join(left: DataFrame, right: DataFrame, mode: str, output: str = "pairs", *,
         key = JOINS[mode]
         one = left.select(F.col("subject_id").alias("left_id"), F.col(key).alias("_k")).distinct()
         other = right.select(F.col("subject_id").alias("right_id"), F.col(key).alias("_k")).distinct()
-        pairs = one.join(other, "_k").select("left_id", "right_id").distinct()
+        return _grouped(one, other) if output == "grouped" else _pairs(one, other)
     if output == "left":
         return left.join(pairs.select(F.col("left_id").alias("subject_id")).distinct(), "subject_id", "left_semi")
     if output == "grouped":

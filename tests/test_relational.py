@@ -118,3 +118,22 @@ def test_arguments_that_are_not_applied_are_refused():
         for argument in arguments:
             with pytest.raises(relational.QueryError, match="core:required_capability_unsupported"):
                 operations.evaluate(None, name, dict.fromkeys(required, "x") | {argument: True})
+
+
+def _plans_shuffle(df):
+    """Expressions by which the plan deals rows out."""
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.lstrip(" +-:").startswith(("Aggregate", "Deduplicate"))]
+
+
+def test_pairs_by_a_key_are_made_once_and_not_shuffled(spark):
+    """Subjects that share several keys, nulls and repeated rows."""
+    left = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "x"), ("b", "y"), ("c", None), ("d", "z"), (None, "x")], "subject_id string, artifact_id string")
+    right = spark.createDataFrame([("p", "x"), ("p", "y"), ("q", "y"), ("q", "y"), ("r", None), ("s", "w"), (None, "x")], "subject_id string, artifact_id string")
+    pairs = relational.join(left, right, "same_artifact", "pairs")
+    want = {("a", "p"), ("a", "q"), ("a", None), ("b", "p"), ("b", "q"), (None, "p"), (None, None)}
+    found = [tuple(r) for r in pairs.collect()]
+    assert len(found) == len(want) and set(found) == want
+    assert not any("left_id" in x and "right_id" in x for x in _plans_shuffle(pairs))
+    grouped = relational.join(left, right, "same_artifact", "grouped")
+    assert sorted(map(tuple, grouped.collect()), key=str) == sorted([("a", "p,q"), ("b", "p,q"), (None, "p")], key=str)
+    assert not any("left_id" in x and "right_id" in x for x in _plans_shuffle(grouped))

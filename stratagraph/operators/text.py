@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from stratagraph.functions import safe_regex
 from stratagraph.operators.relational import QueryError
@@ -22,24 +23,61 @@ from stratagraph.operators.relational import QueryError
 _HEX = np.frombuffer("".join(f"{x:02x}" for x in range(256)).encode(), np.uint8).reshape(256, 2)
 
 
-@F.arrow_udf(ArrayType(StringType()))
-def trigrams(texts: pa.Array) -> pa.Array:
-    """Distinct three-byte windows, in hex and sorted, of the NFKC-folded, lower-cased text."""
-    parts = [unicodedata.normalize("NFKC", t or "").lower().encode() for t in texts.to_pylist()]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    b = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
-    owner = np.repeat(np.arange(len(parts), dtype=np.uint64), sizes)
-    some = np.flatnonzero(owner[2:] == owner[:-2]) if len(b) > 2 else np.zeros(0, np.int64)
-    found = np.unique(owner[some] << np.uint64(24) | b[some] << np.uint64(16) | b[some + 1] << np.uint64(8) | b[some + 2])
-    hexed = _HEX[np.stack([found >> np.uint64(k) & np.uint64(255) for k in (16, 8, 0)], 1).astype(np.int64)].tobytes()
-    values = pa.StringArray.from_buffers(len(found), pa.py_buffer(np.arange(0, 6 * len(found) + 1, 6, dtype=np.int32)), pa.py_buffer(hexed))
-    cuts = np.searchsorted(found, np.arange(len(parts) + 1, dtype=np.uint64) << np.uint64(24))
-    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
+#: Bytes of folded text whose windows are sorted at once.
+SLICE = 1 << 20
+
+
+def _trigram_rows():
+    """What turns batches (artifact_id, text) into rows (artifact_id, trigram), made here so that workers get it whole."""
+    most = SLICE
+
+    def long(b: np.ndarray) -> np.ndarray:
+        """Distinct windows of one long text, marked piece by piece in a table of all there are."""
+        seen = np.zeros(1 << 24, bool)
+        for at in range(0, len(b) - 2, most):
+            p = b[at : at + most + 2].astype(np.uint32)
+            seen[p[:-2] << 16 | p[1:-1] << 8 | p[2:]] = True
+        return np.flatnonzero(seen).astype(np.uint64)
+
+    def windows(parts: list[bytes]) -> np.ndarray:
+        """A text's number and a window of it in each value, sorted."""
+        b = np.frombuffer(b"".join(parts), np.uint8)
+        if len(parts) == 1 and len(b) > most:
+            return long(b)
+        b, owner = b.astype(np.uint64), np.repeat(np.arange(len(parts), dtype=np.uint64), [len(p) for p in parts])
+        some = np.flatnonzero(owner[2:] == owner[:-2]) if len(b) > 2 else np.zeros(0, np.int64)
+        return np.unique(owner[some] << np.uint64(24) | b[some] << np.uint64(16) | b[some + 1] << np.uint64(8) | b[some + 2])
+
+    def rows(ids: pa.Array, first: int, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        found = windows(parts)
+        for at in range(0, len(found), most):
+            some = found[at : at + most]
+            hexed = _HEX[np.stack([some >> np.uint64(k) & np.uint64(255) for k in (16, 8, 0)], 1).astype(np.int64)].tobytes()
+            values = pa.StringArray.from_buffers(len(some), pa.py_buffer(np.arange(0, 6 * len(some) + 1, 6, dtype=np.int32)), pa.py_buffer(hexed))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(first + (some >> np.uint64(24)).astype(np.int64))), values], ["artifact_id", "trigram"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            first, parts, size = 0, [], 0
+            for k in range(len(texts)):
+                part = unicodedata.normalize("NFKC", texts[k].as_py() or "").lower().encode()
+                if parts and size + len(part) > most:
+                    yield from rows(ids, first, parts)
+                    first, parts, size = k, [], 0
+                parts.append(part)
+                size += len(part)
+            if parts:
+                yield from rows(ids, first, parts)
+
+    return find
 
 
 def trigram_index(artifacts: DataFrame) -> DataFrame:
-    """trigram, artifact_id: the projection to write and partition by trigram."""
-    return artifacts.select("artifact_id", F.explode(trigrams("text")).alias("trigram"))
+    """trigram, artifact_id: the projection to write and partition by trigram.  The distinct three-byte windows, in hex, of
+    the NFKC-folded, lower-cased texts; a worker holds a batch of texts and the windows of SLICE bytes of them."""
+    some = artifacts.select("artifact_id", "text")
+    return some.mapInArrow(_trigram_rows(), StructType([some.schema["artifact_id"], StructField("trigram", StringType())]))
 
 
 def trigram_candidates(index: DataFrame, literal: str) -> DataFrame | None:

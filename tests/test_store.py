@@ -2,6 +2,7 @@ import hashlib
 import math
 import re
 import struct
+import unicodedata
 
 import numpy as np
 import pytest
@@ -216,3 +217,20 @@ def test_repair_counts_rows_not_hashes(spark, tmp_path):
     at = duckdb.connect()
     at.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert at.execute(want).fetchall() == [(4, 3)]
+
+
+def test_trigrams_of_long_texts_are_found_in_slices(monkeypatch):
+    """Rows leave a worker by slices: a batch of many texts isn't held as windows at once, nor is one long text."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(text, "SLICE", 50)
+    texts = ["abcabd" * 3, None, "", "ab", "x" * 49 + "yz", "The Straße №1 " * 30, "q" * 30, "r" * 30]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"d{k}" for k in range(len(texts))]), pa.array(texts)], ["artifact_id", "text"])
+    out = list(text._trigram_rows()(iter([batch])))
+    found = [(r["artifact_id"], r["trigram"]) for b in out for r in b.to_pylist()]
+    want = set()
+    for k, t in enumerate(texts):
+        b = unicodedata.normalize("NFKC", t or "").lower().encode()
+        want |= {(f"d{k}", b[i : i + 3].hex()) for i in range(len(b) - 2)}
+    assert len(found) == len(want) and set(found) == want
+    assert len(out) > 3 and max(len(b) for b in out) <= 50

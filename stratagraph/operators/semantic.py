@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from stratagraph.operators.relational import QueryError
 
@@ -168,16 +174,78 @@ def fnv(token: Column, offset: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(token)), F.lit(offset).cast("long"), step)
 
 
+#: Words whose hashes a worker remembers; then it begins anew.
+REMEMBERED = 200_000
+
+
+def _bucket_rows(dense: bool):
+    """What turns batches (id, list of texts) into rows (id, bucket, value) or, if dense, (id, embedding), made here so that
+    workers get it whole.  A word's parts are those of the text, so each distinct word is taken apart and hashed once."""
+    most, size = REMEMBERED, DIMENSIONS
+    full, parts = re.compile(_FULL), re.compile(_PARTS)
+    words: dict[str, list[str]] = {}
+    hashes: dict[str, tuple[int, int]] = {}
+
+    def hashed(term: str) -> tuple[int, int]:
+        one, two = FNV_OFFSET, SIGN_OFFSET
+        for c in term.encode():
+            one, two = (one ^ c) * FNV_PRIME & 0xFFFFFFFF, (two ^ c) * FNV_PRIME & 0xFFFFFFFF
+        return one % size, 1 if two % 2 == 0 else -1
+
+    def buckets(texts: list[str | None]) -> dict[int, float]:
+        tf: dict[str, int] = {}
+        for text in texts:
+            for word, n in Counter(full.findall(text or "")).items():
+                terms = words.get(word)
+                if terms is None:
+                    terms = words[word] = [x.lower() for x in (word, *parts.findall(word))]
+                for x in terms:
+                    tf[x] = tf.get(x, 0) + n
+        out: dict[int, list[float]] = {}
+        for x, n in tf.items():
+            known = hashes.get(x)
+            if known is None:
+                known = hashes[x] = hashed(x)
+            out.setdefault(known[0], []).append(known[1] * (1 + math.log(n)))
+        if len(words) > most or len(hashes) > most:
+            words.clear()
+            hashes.clear()
+        return {k: v for k, v in ((k, math.fsum(v)) for k, v in out.items()) if v}
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), 256):
+                ids, texts = batch.column(0).slice(first, 256), batch.column(1).slice(first, 256)
+                held = [buckets(x.as_py()) for x in texts]
+                if dense:
+                    kept = [k for k, b in enumerate(held) if b]
+                    matrix = np.zeros((len(kept), size))
+                    for row, k in enumerate(kept):
+                        matrix[row, list(held[k])] = list(held[k].values())
+                    matrix /= np.sqrt((matrix * matrix).sum(1, keepdims=True))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, matrix.size + 1, size, dtype=np.int32)), pa.array(matrix.ravel()))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(kept, pa.int64())), lists], [batch.schema.names[0], "embedding"])
+                else:
+                    at = pa.array([k for k, b in enumerate(held) for _ in b], pa.int64())
+                    yield pa.RecordBatch.from_arrays([ids.take(at), pa.array([k for b in held for k in b], pa.int32()), pa.array([v for b in held for v in b.values()], pa.float64())], [batch.schema.names[0], "bucket", "value"])
+
+    return find
+
+
+def _texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, list of its texts.  Ids mostly name one row; only if some name several (a count of ids) are texts brought together."""
+    if docs.groupBy(id_col).count().where("count > 1").isEmpty():
+        return docs.select(id_col, F.array(text_col).alias("_texts"))
+    return docs.groupBy(id_col).agg(F.collect_list(text_col).alias("_texts"))
+
+
 def hash_buckets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, bucket, value: signed sums of 1 + ln(tf); buckets that cancel out are left out."""
-    tf = docs.select(id_col, F.explode(hash_tokens(F.col(text_col))).alias("_t")).groupBy(id_col, "_t").agg(F.count(F.lit(1)).alias("_n"))
-    sign = F.when(fnv(F.col("_t"), SIGN_OFFSET) % 2 == 0, 1).otherwise(-1)
-    each = tf.select(id_col, (fnv(F.col("_t"), FNV_OFFSET) % DIMENSIONS).cast("int").alias("bucket"), (sign * (1 + F.log(F.col("_n")))).alias("_v"))
-    return each.groupBy(id_col, "bucket").agg(F.sum("_v").alias("value")).where("value <> 0")
+    some = _texts_of(docs, id_col, text_col)
+    return some.mapInArrow(_bucket_rows(False), StructType([some.schema[id_col], StructField("bucket", IntegerType()), StructField("value", DoubleType())]))
 
 
 def hash_embedding(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, embedding: the buckets at length 1; documents without tokens, or whose tokens cancel out, have none."""
-    held = hash_buckets(docs, id_col, text_col).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("_m"))
-    norm = F.sqrt(F.aggregate(F.map_values("_m"), F.lit(0.0), lambda s, x: s + x * x))
-    return held.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / norm).alias("embedding"))
+    some = _texts_of(docs, id_col, text_col)
+    return some.mapInArrow(_bucket_rows(True), StructType([some.schema[id_col], StructField("embedding", ArrayType(DoubleType()))]))

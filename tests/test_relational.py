@@ -137,3 +137,23 @@ def test_pairs_by_a_key_are_made_once_and_not_shuffled(spark):
     grouped = relational.join(left, right, "same_artifact", "grouped")
     assert sorted(map(tuple, grouped.collect()), key=str) == sorted([("a", "p,q"), ("b", "p,q"), (None, "p")], key=str)
     assert not any("left_id" in x and "right_id" in x for x in _plans_shuffle(grouped))
+
+
+def test_hash_buckets_are_those_of_each_token_without_a_shuffle_of_tokens(spark):
+    import math
+
+    docs = spark.createDataFrame([("a", "HTTPServer2go $x_y fooBar fooBar été"), ("b", None), ("c", ""), ("d", "x"), ("e", "one two"), ("e", "two"), ("f", "_ $")], "id string, text string")
+    found = semantic.hash_buckets(docs, "id", "text")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "Generate" not in plan
+    tf = docs.select("id", F.explode(semantic.hash_tokens(F.col("text"))).alias("t")).groupBy("id", "t").count()
+    want = {}
+    for r in tf.select("id", "count", semantic.fnv(F.col("t"), semantic.FNV_OFFSET).alias("h"), semantic.fnv(F.col("t"), semantic.SIGN_OFFSET).alias("s")).collect():
+        at = r.id, r.h % 256
+        want[at] = want.get(at, 0) + (1 if r.s % 2 == 0 else -1) * (1 + math.log(r["count"]))
+    want = {k: v for k, v in want.items() if abs(v) > 1e-12}
+    assert {(r.id, r.bucket): r.value for r in found.collect()} == pytest.approx(want)
+    for r in semantic.hash_embedding(docs, "id", "text").collect():
+        own = {b: v for (i, b), v in want.items() if i == r.id}
+        norm = math.sqrt(sum(v * v for v in own.values()))
+        assert r.embedding == pytest.approx([own.get(b, 0) / norm for b in range(256)])

@@ -34,6 +34,16 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that every executor may hold whole, as a set of ids.
+FEW = 100_000
+
+
+def held(df: DataFrame) -> DataFrame:
+    """The rows, computed now; few of them meet a large table where that lies, which then isn't shuffled."""
+    df = _cut(df)
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def expand(edges: DataFrame, roots: DataFrame, *, direction: str = "outbound", min_depth: int = 1, max_depth: int | None = None, kinds=()) -> DataFrame:
     """id, depth, via (the smallest "source>kind" of the first reach): breadth-first from all roots at
     once; a node counts at its first depth, roots never again."""
@@ -41,15 +51,16 @@ def expand(edges: DataFrame, roots: DataFrame, *, direction: str = "outbound", m
     if min_depth < 0 or max_depth < min_depth:
         raise QueryError("core:budget_invalid")
     step = directed(edges, direction, kinds).select("u", "v", "kind")
-    seen = roots.select(F.col("id"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")).dropDuplicates(["id"])
-    frontier = seen
+    keep = held if max_depth > 1 else lambda df: df
+    seen = keep(roots.select(F.col("id"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")).dropDuplicates(["id"]))
+    frontier, known = seen, seen.select("id")
     for depth in range(1, max_depth + 1):
-        reached = frontier.join(step, F.col("id") == F.col("u")).groupBy("v").agg(F.min(F.concat_ws(">", "u", "kind")).alias("via"))
-        frontier = reached.join(seen, reached["v"] == seen["id"], "left_anti").select(F.col("v").alias("id"), F.lit(depth).alias("depth"), "via")
-        frontier = _cut(frontier) if max_depth > 1 else frontier
+        reached = step.join(frontier.select(F.col("id").alias("u")), "u").groupBy("v").agg(F.min(F.concat_ws(">", "u", "kind")).alias("via"))
+        frontier = keep(reached.join(known.select(F.col("id").alias("v")), "v", "left_anti").select(F.col("v").alias("id"), F.lit(depth).alias("depth"), "via"))
         seen = seen.union(frontier)
         if max_depth > 1 and frontier.isEmpty():
             break
+        known = keep(known.union(frontier.select("id"))) if depth < max_depth else known
     return seen.where((F.col("depth") >= max(1, min_depth)) & (F.col("depth") <= max_depth))
 
 
@@ -65,18 +76,40 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, source: str, target: str, max_depth: int, *, direction: str = "outbound", kinds=(), all_shortest: bool = True) -> DataFrame:
-    """path ("a>b>c"), length: distances first, then only edges that lead one step on; source == target has none."""
-    roots = edges.sparkSession.range(1).select(F.lit(source).alias("id"))
-    levels = expand(edges, roots, direction=direction, min_depth=1, max_depth=max_depth, kinds=kinds).select("id", "depth").union(roots.select("id", F.lit(0).alias("depth")))
-    step = directed(edges, direction, kinds).select("u", "v").distinct()
-    near = levels.select(F.col("id").alias("u"), F.col("depth").alias("du")).join(step, "u").join(levels.select(F.col("id").alias("v"), F.col("depth").alias("dv")), "v").where("dv = du + 1")
-    paths = roots.select(F.col("id").alias("tail"), F.col("id").alias("path"), F.lit(0).alias("length"))
-    found = None
-    for n in range(1, max_depth + 1):
-        paths = paths.join(near.where(F.col("du") == n - 1), F.col("tail") == F.col("u")).select(F.col("v").alias("tail"), F.concat_ws(">", "path", "v").alias("path"), F.lit(n).alias("length"))
-        hit = paths.where(F.col("tail") == target)
-        found = hit if found is None else found.union(hit)
-    found = found.select("path", "length")
+    """path ("a>b>c"), length: levels from both ends, the side with fewer nodes going on, until they meet; then only edges
+    that lead from a level to the next on the way to and from where they met; source == target has none."""
+    if max_depth < 1:
+        raise QueryError("core:budget_invalid")
+    one = lambda name: edges.sparkSession.range(1).select(F.lit(name).cast("string").alias("id"))
+    step = directed(edges, direction, kinds).select("u", "v")
+    none = one(source).select(F.col("id").alias("path"), F.lit(0).alias("length")).limit(0)
+    levels, seen, size = [[one(source)], [one(target)]], [one(source), one(target)], [1, 1]
+    met = None
+    while source != target and sum(map(len, levels)) - 2 < max_depth:
+        k = 0 if size[0] <= size[1] else 1
+        near, far = ("u", "v") if k == 0 else ("v", "u")
+        new = step.join(levels[k][-1].withColumnRenamed("id", near), near, "left_semi").select(F.col(far).alias("id")).where("id is not null").distinct()
+        new = held(new.join(seen[k], "id", "left_anti"))
+        size[k] = new.count()
+        levels[k].append(new)
+        met = held(new.join(levels[1 - k][-1], "id", "left_semi"))
+        if not size[k] or not met.isEmpty():
+            break
+        seen[k] = held(seen[k].union(new))
+    if met is None or met.isEmpty():
+        return none
+    steps: dict[int, DataFrame] = {}
+    length = sum(map(len, levels)) - 2
+    for k, (here, there) in enumerate((("v", "u"), ("u", "v"))):
+        at = met
+        for i in range(len(levels[k]) - 2, -1, -1):
+            pairs = step.join(at.withColumnRenamed("id", here), here, "left_semi").join(levels[k][i].withColumnRenamed("id", there), there, "left_semi")
+            steps[i if k == 0 else length - 1 - i] = pairs = held(pairs.select("u", "v").distinct())
+            at = held(pairs.select(F.col(there).alias("id")).distinct())
+    paths = one(source).select(F.col("id").alias("tail"), F.col("id").alias("path"))
+    for n in range(length):
+        paths = paths.join(steps[n], F.col("tail") == F.col("u")).select(F.col("v").alias("tail"), F.concat_ws(">", "path", "v").alias("path"))
+    found = paths.select("path", F.lit(length).alias("length"))
     return found if all_shortest else found.orderBy("length", "path").limit(1)
 
 
@@ -104,7 +137,7 @@ def simple_paths(edges: DataFrame, roots: DataFrame, max_depth: int, *, directio
 def references(edges: DataFrame, targets: DataFrame, kinds=()) -> DataFrame:
     """Edges into the targets(id): one join for a whole set."""
     edges = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
-    return edges.join(targets.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
+    return edges.join(held(targets.select(F.col("id").alias("dst")).distinct()), "dst", "left_semi")
 
 
 def owners(edges: DataFrame, targets: DataFrame, kinds=()) -> DataFrame:
@@ -131,6 +164,7 @@ def impact(edges: DataFrame, target: DataFrame, *, include_transitive: bool = Tr
     """will_break: confirmed callers.  tests_to_run: tests of callers and target.  Rules of our own for the
     classes without one: must_update: confirmed references; may_be_affected: further transitive dependants;
     uncertain_dynamic_usage: possible dependants."""
+    target = held(target.select("id").distinct())
     sure, unsure = edges.where("classification = 'confirmed'"), edges.where("classification <> 'confirmed'")
     will_break = owners(sure, target, ("core:call",))
     must_update = owners(sure, target, ("core:references", "core:import", "core:inherits", "core:implements"))

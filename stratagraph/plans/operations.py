@@ -200,7 +200,7 @@ def _search_hybrid(c: Corpus, a: dict) -> Streams:
 def _get_source(c: Corpus, a: dict) -> Streams:
     """Snippets of subjects that are artifacts; others are answered by their name and key."""
     options = a.get("source", {})
-    ids = c.subjects(a["subjects"])
+    ids = graph.held(c.subjects(a["subjects"]))
     docs = c.artifacts.join(ids.withColumnRenamed("id", "artifact_id"), "artifact_id", "left_semi").select(F.col("artifact_id").alias("id"), "text")
     recs = c.records.join(ids.withColumnRenamed("id", "record_id"), "record_id", "left_semi").select(F.col("record_id").alias("id"), F.concat_ws("\n", "name", "identity_key").alias("text"))
     placed = text.snippet_budget(docs.union(recs), mode=options.get("mode", "relevant"), order=[F.col("id")], per_snippet=options.get("max_characters", text.SNIPPET), total=options.get("total_characters", text.TOTAL))
@@ -227,7 +227,7 @@ def _impact(c: Corpus, a: dict) -> Streams:
 
 def _tests(c: Corpus, a: dict) -> Streams:
     """tests; what they use (their outbound calls and references) that bears the facet of a fixture, mock or helper."""
-    found = _kept(c, a, graph.related_tests(c.edges, c.subjects(a["subjects"]), a.get("relationship_scope", "both")))
+    found = graph.held(_kept(c, a, graph.related_tests(c.edges, c.subjects(a["subjects"]), a.get("relationship_scope", "both"))))
     out = {"tests": found}
     used = graph.directed(c.edges, "outbound", ("core:call", "core:references")).join(found.withColumnRenamed("id", "u"), "u", "left_semi").select(F.col("v").alias("record_id")).distinct()
     for role in ("fixture", "mock", "helper"):

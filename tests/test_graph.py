@@ -90,3 +90,19 @@ def test_chained_rings_beyond_one_task_take_few_jobs(spark, monkeypatch):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert found == {(f"n{7 * r + k:04}", first[r]) for r in range(rings) for k in range(7)} | {("z", "z")}
     assert len(jobs) < 100
+
+
+def test_large_edges_are_not_shuffled_for_few_nodes(spark):
+    """Neither an expansion nor all shortest paths deal the edges out: what is shuffled is what was reached."""
+    names = [f"n{k:05}" for k in range(4000)]
+    rows = [(a, b) for k, a in enumerate(names) for b in names[k + 1 : k + 4]] + [("s", "a"), ("s", "b"), ("a", "c"), ("b", "c"), ("b", "d"), ("c", "t"), ("d", "t"), ("c", "s"), ("s", "n00000"), ("n00003", "t")]
+    e = edges(spark, rows * 2).cache()
+    e.count()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size()))
+    before = written()
+    paths = graph.shortest_paths(e, "s", "t", 4)
+    assert sorted(map(tuple, paths.collect())) == [("s>a>c>t", 3), ("s>b>c>t", 3), ("s>b>d>t", 3), ("s>n00000>n00003>t", 3)]
+    assert {r.id: r.depth for r in graph.expand(e, nodes(spark, "t"), direction="inbound", min_depth=1, max_depth=2).collect()} == {"c": 1, "d": 1, "n00003": 1, "a": 2, "b": 2, "n00000": 2, "n00001": 2, "n00002": 2}
+    assert written() - before < 60_000
+    assert graph.shortest_paths(e, "s", "t", 2).count() == 0 and graph.shortest_paths(e, "t", "s", 9).count() == 0
